@@ -80,3 +80,43 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .cast("timestamp").alias("channel_created_at"),
                     F.col("c_mktsegment").alias("segment"),
                     F.lit(CRAWLED_AT).cast("timestamp").alias("crawled_at")))
+
+
+def control_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """channels_config rows from customers: frequency, status, last/next run, activity and priority are
+    deterministic functions of the customer key and balance."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    asof = F.lit(AS_OF).cast("timestamp")
+    last = F.when(k % 7 == 0, F.lit(None).cast("timestamp")).otherwise(
+        asof - F.make_dt_interval(hours=(k % 96).cast("int")))
+    freq = F.when(k % 3 == 0, F.lit(12)).when(k % 3 == 1, F.lit(24)).otherwise(F.lit(48))
+    subs = F.floor(F.greatest(F.col("c_acctbal"), F.lit(0.0)) * 1000)
+    from ..functions.exprs import crawl_priority
+    return c.select(
+        k.alias("channel_id"), F.col("c_name").alias("channel_name"), freq.alias("crawl_frequency_hours"),
+        F.when(k % 11 == 0, F.lit("failed")).when(k % 7 == 0, F.lit("pending")).otherwise(F.lit("success"))
+         .alias("crawl_status"),
+        last.alias("last_crawl_ts"),
+        F.coalesce(last + F.make_dt_interval(hours=freq), asof - F.make_dt_interval(hours=F.lit(1)))
+         .alias("next_crawl_ts"),
+        F.lit(None).cast("timestamp").alias("last_video_published_at"),
+        (k % 13 != 0).alias("is_active"),
+        crawl_priority(subs).alias("priority"),
+        (k % 2 == 0).alias("include_comments"),
+        (F.lit("2001-01-01").cast("timestamp") + F.make_dt_interval(hours=(k % 200).cast("int"))).alias("created_at"),
+        asof.alias("updated_at"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """crawl_log rows from events: one run per event, 'error' events are failed runs."""
+    e = table(spark, sf_dir, "events")
+    err = F.col("event_type") == "error"
+    return e.select(
+        F.col("event_id").alias("log_id"), F.col("user_id").alias("channel_id"),
+        F.col("ts").cast("timestamp").alias("crawl_ts"),
+        F.floor("value").cast("int").alias("records_fetched"),
+        F.when(err, F.lit("failed")).otherwise(F.lit("success")).alias("status"),
+        F.when(err, F.concat(F.lit("error "), F.col("props"))).alias("error_msg"),
+        (F.col("value") / 10).alias("execution_time_seconds"),
+        F.date_format("ts", "yyyy-MM-dd HH").alias("batch_id"))
