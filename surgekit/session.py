@@ -21,6 +21,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     parts = shuffle_partitions or int(os.environ.get("SURGEKIT_SHUFFLE_PARTITIONS", "8"))
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
