@@ -56,6 +56,12 @@ def finite_or(c, default=0.0) -> Column:
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(default)).otherwise(c)
 
 
+def safe_corr(a, b) -> Column:
+    """Pearson r that is NULL (not an ANSI divide-by-zero error) for constant or single-row input."""
+    x, y = col_(a).cast("double"), col_(b).cast("double")
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
 def clip(c, lower=None, upper=None) -> Column:
     c = col_(c)
     if lower is not None:
@@ -147,7 +153,7 @@ def human_age(as_of, ts) -> Column:
 
 def word_count(c) -> Column:
     """Whitespace word count, 0 for empty/NULL."""
-    t = F.trim(F.coalesce(col_(c), F.lit("")))
+    t = F.regexp_replace(F.coalesce(col_(c), F.lit("")), r"^\s+|\s+$", "")
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"\s+")))
 
 

@@ -136,9 +136,9 @@ def leak_correlations(labeled: DataFrame, engagement: DataFrame, label: str = "i
     from ..functions.exprs import level_code
     j = labeled.select("video_id", label).join(
         engagement.select("video_id", "is_potentially_viral", "engagement_level"), "video_id", "left")
-    r = j.agg(F.corr(F.col(label).cast("double"),
-                     F.col("is_potentially_viral").cast("int").cast("double")).alias("is_potentially_viral"),
-              F.corr(F.col(label).cast("double"), level_code("engagement_level").cast("double")).alias("engagement_level"))
+    from ..functions.exprs import safe_corr
+    r = j.agg(safe_corr(F.col(label), F.col("is_potentially_viral").cast("int")).alias("is_potentially_viral"),
+              safe_corr(F.col(label), level_code("engagement_level")).alias("engagement_level"))
     long = r.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("corr"))
                                         for c in ("is_potentially_viral", "engagement_level")])).alias("kv")) \
         .select("kv.*")
