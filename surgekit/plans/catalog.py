@@ -99,4 +99,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     """Import the modules that register further queries."""
-    from . import catalog_features, catalog_ops, catalog_staging  # noqa: F401
+    from . import catalog_features, catalog_ops, catalog_profiles, catalog_staging  # noqa: F401
