@@ -169,14 +169,18 @@ def extract_json(df: DataFrame, raw: str, fields: Mapping[str, tuple[str, str]],
     """
     parsed = {a: _parse_path(p) for a, (p, _) in fields.items()}
     schema = _schema_for(list(parsed.values()))
-    j = F.from_json(F.col(raw), schema)
+    # parse once. The parsed struct comes out of a one-element explode (a Generate), so filters on the
+    # extracted fields stay above it: predicate pushdown would otherwise inline from_json into every
+    # predicate that references a field (one full JSON parse per predicate and row).
+    keep_cols = [F.col(k) if isinstance(k, str) else k for k in keep]
+    kept = df.select(*keep_cols, F.explode(F.array(F.from_json(F.col(raw), schema))).alias("_j"))
+    names = [c for c in kept.columns if c != "_j"]
     cols = []
     for alias, (_, kind) in fields.items():
-        c = j
+        c = F.col("_j")
         for t in parsed[alias]:
             c = c[t] if isinstance(t, int) else c.getField(t)
         if kind == "array_len":
-            # the leaf of an array path is read as JSON text of the array
             cols.append(F.json_array_length(c).alias(alias))
             continue
         if kind == "query":
@@ -189,7 +193,7 @@ def extract_json(df: DataFrame, raw: str, fields: Mapping[str, tuple[str, str]],
             cols.append((v.cast("timestamp") if strict else v.try_cast("timestamp")).alias(alias))
         else:
             cols.append((v.cast(kind) if strict else v.try_cast(kind)).alias(alias))
-    return df.select(*keep, *cols)
+    return kept.select(*names, *cols)
 
 
 # ------------------------------------------------------------------------------------------------
