@@ -6,7 +6,9 @@ collect a group into one task.
 
 1. ``repartitionByRange(group..., value)`` spreads every group, hot ones included, over contiguous
    ranges of partitions, then each partition is sorted locally;
-2. ``monotonically_increasing_id`` after the sort numbers rows in value order inside a partition;
+2. ``monotonically_increasing_id`` after the sort numbers rows in value order inside a partition; the
+   numbered copy is checkpointed (shared checkpoint folder), so ids are fixed for every later branch
+   and for recomputation after an executor loss;
 3. a small aggregate gives per (partition, group) chunk the row count and first id, and a window over
    that small table (<= partitions x groups rows) gives chunk offsets and group sizes;
 4. from it the ids of the (at most 2 per probability) rows needed per group are computed, and a
@@ -42,10 +44,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
     if not by:
         d = d.withColumn("_g", F.lit(0))
     d = d.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    r = (d.repartitionByRange(_nparts(df, nparts), *[F.col(c) for c in gcols], F.col("_v"))
-          .sortWithinPartitions(*gcols, "_v")
-          .withColumn("_id", F.monotonically_increasing_id()))
-    chunks = r.groupBy(F.spark_partition_id().alias("_pid"), *gcols).agg(
+    from ..session import materialize
+    r = materialize(d.repartitionByRange(_nparts(df, nparts), *[F.col(c) for c in gcols], F.col("_v"))
+                    .sortWithinPartitions(*gcols, "_v")
+                    .withColumn("_id", F.monotonically_increasing_id())
+                    .withColumn("_pid", F.spark_partition_id()))
+    chunks = r.groupBy("_pid", *gcols).agg(
         F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_first"))
     wg = Window.partitionBy(*gcols)
     chunks = (chunks

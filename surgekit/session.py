@@ -65,3 +65,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint).
+
+    Used where two branches of a plan must see the same physical partitioning (range partition ids,
+    row ids): the checkpointed data is written once and both branches read it, and a lost executor
+    re-reads it instead of re-sampling range bounds."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
