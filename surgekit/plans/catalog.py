@@ -99,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     """Import the modules that register further queries."""
-    from . import catalog_features, catalog_ml, catalog_ops, catalog_profiles, catalog_staging  # noqa: F401
+    from . import (catalog_features, catalog_ml, catalog_ops, catalog_profiles, catalog_staging,  # noqa: F401
+                   catalog_streaming)
