@@ -161,3 +161,36 @@ def additive_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], m
 def delete_keys(df: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Remove keys (apply to every table that references them)."""
     return df.join(doomed.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def entity_match(queries: DataFrame, candidates: DataFrame, qkey: str, qtext: str, cid: str, cname: str,
+                 rank: str) -> DataFrame:
+    """Per query the first candidate (by rank) whose name equals or contains the query text
+    (case-insensitive), else the first candidate; NOT_FOUND without candidates.
+
+    Candidates arrive as a ranked list per query (equi-join on the query key, the list size is whatever the
+    search returned); picking is a ``min_by`` aggregate, so no window and no all-pairs join."""
+    c = candidates.select(F.col(qkey).alias("_qk"), cid, cname, rank)
+    j = queries.join(c, queries[qkey] == c["_qk"], "left")
+    q, n = F.lower(F.col(qtext)), F.lower(F.col(cname))
+    hit = (n == q) | n.contains(q)
+    g = j.groupBy(qkey, qtext).agg(
+        F.min_by(F.struct(F.col(cid).alias("id"), F.col(cname).alias("name")), F.when(hit, F.col(rank))).alias("_m"),
+        F.min_by(F.struct(F.col(cid).alias("id"), F.col(cname).alias("name")), F.col(rank)).alias("_f"),
+        F.count(F.col(cid)).alias("n_candidates"))
+    pick = F.coalesce(F.col("_m"), F.col("_f"))
+    return g.select(qkey, qtext, pick["id"].alias("matched_id"), pick["name"].alias("matched_name"),
+                    F.when(F.col("_m").isNotNull(), F.lit("matched")).when(F.col("_f").isNotNull(), F.lit("first_result"))
+                    .alias("match_kind"),
+                    F.when(F.col("n_candidates") > 0, F.lit("FOUND")).otherwise(F.lit("NOT_FOUND")).alias("status"))
+
+
+def upsert_plan(candidates: DataFrame, existing: DataFrame, key: str, update_existing: bool = True) -> DataFrame:
+    """Classify candidates against existing keys: no key -> failed, existing -> updated / skipped,
+    new -> added (semi-join flag, then one aggregate per action)."""
+    ex = existing.select(key).distinct().withColumn("_exists", F.lit(True))
+    j = candidates.join(ex, key, "left")
+    act = (F.when(F.col(key).isNull(), F.lit("failed"))
+           .when(F.col("_exists"), F.lit("updated" if update_existing else "skipped"))
+           .otherwise(F.lit("added")))
+    return j.withColumn("action", act).drop("_exists")

@@ -253,3 +253,92 @@ def q_c23(spark, sf):
 
 
 __all__ = ["C"]
+
+
+_MATCH_SQL = """
+q AS (SELECT s_suppkey AS query_id,
+        CASE WHEN s_suppkey % 3 = 0 THEN 'CUSTOMER#' || lpad(CAST(s_suppkey * 5 + 2 AS VARCHAR), 9, '0')
+             WHEN s_suppkey % 3 = 1 THEN lpad(CAST(s_suppkey * 5 + 3 AS VARCHAR), 9, '0')
+             ELSE 'zz' || CAST(s_suppkey AS VARCHAR) END AS query_text FROM supplier),
+cand AS (SELECT q.query_id, c.c_custkey AS cand_id, c.c_name AS cand_name, c.c_custkey - q.query_id * 5 + 1 AS cand_rank
+         FROM q JOIN customer c ON c.c_custkey BETWEEN q.query_id * 5 AND q.query_id * 5 + 4),
+j AS (SELECT q.query_id, q.query_text, cand.cand_id, cand.cand_name, cand.cand_rank,
+        lower(cand.cand_name) = lower(q.query_text) OR contains(lower(cand.cand_name), lower(q.query_text)) AS hit
+      FROM q LEFT JOIN cand ON q.query_id = cand.query_id),
+g AS (SELECT query_id, query_text,
+        arg_min(cand_id, cand_rank) FILTER (WHERE hit) AS m_id, arg_min(cand_name, cand_rank) FILTER (WHERE hit) AS m_name,
+        arg_min(cand_id, cand_rank) AS f_id, arg_min(cand_name, cand_rank) AS f_name, count(cand_id) AS n
+      FROM j GROUP BY query_id, query_text)"""
+
+
+def _match_inputs(spark, sf):
+    s = fx.table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    q = s.select(k.alias("query_id"), F.when(k % 3 == 0, F.concat(F.lit("CUSTOMER#"), F.lpad((k * 5 + 2).cast("string"), 9, "0")))
+                 .when(k % 3 == 1, F.lpad((k * 5 + 3).cast("string"), 9, "0"))
+                 .otherwise(F.concat(F.lit("zz"), k.cast("string"))).alias("query_text"))
+    # each query's search returns the 5 consecutive customer keys from 5 * id (ranked 1..5)
+    ranked = q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("_i")) \
+        .withColumn("cand_id", F.col("query_id") * 5 + F.col("_i")).withColumn("cand_rank", F.col("_i") + 1)
+    cust = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("cand_id"), F.col("c_name").alias("cand_name"))
+    cand = ranked.join(cust, "cand_id").select("query_id", "cand_id", "cand_name", "cand_rank")
+    return q, cand
+
+
+@register("j12_entity_match", "WITH " + _MATCH_SQL.strip() + """
+SELECT query_id, query_text, coalesce(m_id, f_id) AS matched_id,
+  CASE WHEN m_id IS NOT NULL THEN m_name ELSE f_name END AS matched_name,
+  CASE WHEN m_id IS NOT NULL THEN 'matched' WHEN f_id IS NOT NULL THEN 'first_result' END AS match_kind,
+  CASE WHEN n > 0 THEN 'FOUND' ELSE 'NOT_FOUND' END AS status FROM g""")
+def q_j12(spark, sf):
+    """J12 name -> entity: first ranked candidate equal to or containing the query, else the first one."""
+    q, cand = _match_inputs(spark, sf)
+    return TB.entity_match(q, cand, "query_id", "query_text", "cand_id", "cand_name", "cand_rank")
+
+
+@register("j13_upsert_plan", "WITH " + CONTROL_SQL.strip() + """,
+cands AS (SELECT CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE c_custkey + CASE WHEN c_mktsegment = 'BUILDING' THEN 0
+                 ELSE 1000000 END END AS channel_id, c_name AS channel_name
+          FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING'))
+SELECT action, count(*) AS n FROM (
+  SELECT CASE WHEN c.channel_id IS NULL THEN 'failed'
+              WHEN c.channel_id IN (SELECT channel_id FROM control) THEN 'updated' ELSE 'added' END AS action
+  FROM cands c) GROUP BY action""")
+def q_j13(spark, sf):
+    """J13 candidates vs existing control rows -> added / updated / failed counts."""
+    cu = fx.table(spark, sf, "customer").where(F.col("c_mktsegment").isin("MACHINERY", "BUILDING"))
+    k = F.col("c_custkey")
+    cands = cu.select(F.when(k % 97 == 0, F.lit(None).cast("bigint"))
+                      .otherwise(k + F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(1000000)).alias("channel_id"),
+                      F.col("c_name").alias("channel_name"))
+    plan = TB.upsert_plan(cands, fx.control_table(spark, sf), "channel_id")
+    return plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a30_run_report", "WITH " + RUNLOG_SQL.strip() + """
+SELECT r.batch_id, r.channel_id, r.status, r.records_fetched, substr(r.error_msg, 1, 50) AS error_short,
+  t.total, t.succeeded, t.succeeded / t.total * 100 AS success_rate
+FROM runlog r JOIN (SELECT batch_id, count(*) AS total, CAST(sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) AS BIGINT)
+                    AS succeeded FROM runlog GROUP BY batch_id) t ON r.batch_id = t.batch_id""", ["success_rate"])
+def q_a30(spark, sf):
+    """A30 batch run report rows: per-entity result with the error cut to 50 chars, plus batch totals."""
+    log = fx.run_log(spark, sf)
+    tot = C.batch_quality(log).select("batch_id", "total", "succeeded", "success_rate")
+    return log.select("batch_id", "channel_id", "status", "records_fetched",
+                      F.substring("error_msg", 1, 50).alias("error_short")).join(tot, "batch_id")
+
+
+@register("a23_row_counts", """
+SELECT 'orders' AS table_name, count(*) AS row_count, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status FROM orders
+UNION ALL SELECT 'lineitem', count(*), CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END FROM lineitem
+UNION ALL SELECT 'events', count(*), CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END FROM events
+UNION ALL SELECT 'customer_building_negative', count(*), CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END
+  FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < -10000""")
+def q_a23(spark, sf):
+    """A23 row count per table with ok / empty status."""
+    from ..operators import quality as Q
+    cu = fx.table(spark, sf, "customer")
+    return Q.row_counts({"orders": fx.table(spark, sf, "orders"), "lineitem": fx.table(spark, sf, "lineitem"),
+                         "events": fx.table(spark, sf, "events"),
+                         "customer_building_negative": cu.where((F.col("c_mktsegment") == "BUILDING")
+                                                                & (F.col("c_acctbal") < -10000))})
