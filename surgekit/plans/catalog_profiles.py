@@ -473,3 +473,80 @@ def q_q12(spark, sf):
     it = fx.items(spark, sf)
     o = fx.table(spark, sf, "orders")
     return Q.join_drift(it, it.join(o, it["channel_id"] == o["o_custkey"]))
+
+
+# --- A18 / A19 / A21 / W07 / C16 ------------------------------------------------------------------
+
+from .catalog_ops import LABEL_SQL  # noqa: E402
+
+
+def _labeled(spark, sf):
+    b = base(spark, sf)
+    return L.viral_label(b["engagement"], b["channel_summary"])
+
+
+@register("a18_class_weights", with_ctes("engagement", "summary", extra=LABEL_SQL) + """,
+c AS (SELECT is_viral, count(*) AS n FROM labeled GROUP BY is_viral),
+t AS (SELECT sum(n) AS tot, count(*) AS k, sum(CASE WHEN is_viral = 0 THEN n END) AS neg,
+             sum(CASE WHEN is_viral = 1 THEN n END) AS pos FROM c)
+SELECT is_viral, n, tot / (k * n) AS balanced_weight, neg / nullif(pos, 0) AS scale_pos_weight FROM c CROSS JOIN t""",
+          ["balanced_weight", "scale_pos_weight"])
+def q_a18(spark, sf):
+    """A18 class balance: n_neg / n_pos and 'balanced' weights n / (k n_c)."""
+    return L.class_weights(_labeled(spark, sf), "is_viral")
+
+
+@register("a19_label_distribution", with_ctes("engagement", extra=ZSCORE_SQL) + """
+SELECT time_window_label, count(*) AS n, count(*) / (SELECT count(*) FROM zl) * 100 AS pct FROM zl
+GROUP BY time_window_label""", ["pct"])
+def q_a19(spark, sf):
+    """A19 distribution report: count and share per label value."""
+    return L.label_distribution(_zlabels(spark, sf), "time_window_label")
+
+
+def _a21_sql() -> str:
+    parts = [f"SELECT '{f}' AS feature, quantile_cont({f}, 0.25) AS p25, quantile_cont({f}, 0.5) AS p50, "
+             f"quantile_cont({f}, 0.75) AS p75, avg({f}) AS mean, CAST(min({f}) AS DOUBLE) AS min, "
+             f"CAST(max({f}) AS DOUBLE) AS max, stddev_samp({f}) AS std FROM ofeat" for f in _OF]
+    return with_ctes("summary", extra=OWNER_FEAT_SQL) + "\nUNION ALL\n".join(parts)
+
+
+@register("a21_feature_stats", _a21_sql(), ["p25", "p50", "p75", "mean", "min", "max", "std"])
+def q_a21(spark, sf):
+    """A21 global per-feature stats (p25 / p50 / p75 / mean / min / max / std) in one unpivoted pass."""
+    from ..operators.quantiles import quantiles_long
+    o = _owner_feats(spark, sf)
+    q = quantiles_long(o, _OF, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    long = o.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v"))
+                                       for f in _OF])).alias("kv")).select("kv.*")
+    m = long.groupBy("feature").agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"),
+                                    F.stddev_samp("v").alias("std"))
+    return q.join(m, "feature")
+
+
+@register("w07_minmax_percentile", with_ctes("summary", extra=OWNER_FEAT_SQL) + """,
+r AS (SELECT min(f6_avg_views) AS lo, max(f6_avg_views) AS hi FROM ofeat)
+SELECT channel_id, CASE WHEN hi > lo THEN least(greatest((f6_avg_views - lo) / (hi - lo) * 100, 0.0), 100.0)
+                        ELSE 50.0 END AS pct_of_range FROM ofeat CROSS JOIN r""", ["pct_of_range"])
+def q_w07(spark, sf):
+    """W07 min-max percentile of an owner feature clipped to 0..100."""
+    from ..operators.tables import attach_scalars
+    o = _owner_feats(spark, sf)
+    r = o.agg(F.min("f6_avg_views").alias("_lo"), F.max("f6_avg_views").alias("_hi"))
+    j = attach_scalars(o, r)
+    return j.select("channel_id", PR.minmax_percentile(F.col("f6_avg_views"), F.col("_lo"), F.col("_hi"))
+                    .alias("pct_of_range"))
+
+
+_FILL = ["avg_days_between_uploads", "avg_video_duration_seconds", "avg_like_rate_pct"]
+
+
+@register("c16_fill_missing", with_ctes("summary") + ",\nmed AS (SELECT " + ", ".join(
+    f"coalesce(quantile_cont({c}, 0.5), 0.0) AS m_{c}" for c in _FILL) + " FROM summary)\nSELECT channel_id, " + ", ".join(
+    f"CASE WHEN {c} IS NULL OR isnan({c}) THEN m_{c} ELSE {c} END AS {c}" for c in _FILL) + " FROM summary CROSS JOIN med",
+          _FILL)
+def q_c16(spark, sf):
+    """C16 imputation: NULL / NaN numeric columns filled with exact training medians."""
+    from ..operators import features as FE
+    s = base(spark, sf)["channel_summary"].select("channel_id", *_FILL)
+    return FE.fill_missing(s, _FILL)
