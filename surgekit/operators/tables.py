@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 
 def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Append the columns of a global (ungrouped) aggregate to every row.
+    """Append the columns of a one-row relation (a global aggregate) to every row.
 
-    ``scalars`` must be a global aggregate, which yields exactly one row by construction, so the
-    broadcast is bounded at one row whatever the data size.
-    """
-    return df.join(F.broadcast(scalars), how="cross")
+    Planned as a scalar subquery: evaluated once, inlined as a value into the projection — no join and
+    no broadcast of anything but one row. More than one row is a runtime error (the bound is enforced),
+    an empty relation gives NULLs."""
+    sc = scalars.select(F.struct(*[F.col(c) for c in scalars.columns]).alias("_s")).scalar()
+    return df.select("*", *[sc[c].alias(c) for c in scalars.columns])
 
 
 def _ordering(order_cols: Sequence[str | Column]) -> Column:

@@ -13,6 +13,7 @@ from ..operators import features as FE
 from ..operators import labels as L
 from ..operators import ml as M
 from ..operators import ordering as O
+from ..operators.tables import attach_scalars
 from .catalog import base, register
 from .catalog_features import FM_WITH, matrix
 
@@ -61,13 +62,11 @@ def q_m03(spark, sf):
         val = train.where(F.col("split") == "val")
         model = M.gbt_pipeline(feats, "is_viral", maxIter=20, maxDepth=4).fit(tr)
         thr = M.f1_optimal_threshold(M.positive_probability(model.transform(val)), "is_viral")
-        t = thr.first()["optimal_threshold"]
         final = M.gbt_pipeline(feats, "is_viral", maxIter=20, maxDepth=4).fit(train)
         scored = M.positive_probability(final.transform(test))
-        r = M.binary_metrics(scored, "is_viral", threshold=0.5).join(thr, how="cross") \
+        r = attach_scalars(M.binary_metrics(scored, "is_viral", threshold=0.5), thr) \
             .withColumn("exclude_label_inputs", F.lit(excl))
         out = r if out is None else out.unionByName(r)
-        del t
     return out
 
 
