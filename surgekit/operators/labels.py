@@ -254,3 +254,28 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
         label, "n", (F.col("_t") / (F.col("_k") * F.col("n"))).alias("balanced_weight"),
         F.try_divide(F.col("_neg").cast("double"), F.col("_pos").cast("double")).alias("scale_pos_weight"))
 
+
+
+def label_quality_report(labeled: DataFrame, items: DataFrame, engagement: DataFrame) -> DataFrame:
+    """The label checks as rows (check, status PASS / WARN, value): overall rate in [5, 30] %,
+    owners at 100 % and at 0 %, months drifting > 15 points, leakage |r| > 0.7."""
+    overall = labeled.agg((F.avg("is_viral") * 100).alias("v"))
+    prof = group_rate_summary(group_rate_profile(labeled))
+    monthly = monthly_rate_profile(labeled, items).agg(F.sum(F.col("drift_flag").cast("int")).alias("v"))
+    leak = leak_correlations(labeled, engagement).agg(F.sum(F.col("leak_flag").cast("int")).alias("v"))
+    rows = [
+        overall.select(F.lit("overall_rate").alias("check_name"), F.col("v").cast("double").alias("value"),
+                       F.when(F.col("v").between(5.0, 30.0), F.lit("PASS")).otherwise(F.lit("WARN")).alias("status")),
+        prof.select(F.lit("owners_at_100pct").alias("check_name"), F.col("full_rate_groups").cast("double").alias("value"),
+                    F.when(F.col("full_rate_groups") == 0, F.lit("PASS")).otherwise(F.lit("WARN")).alias("status")),
+        prof.select(F.lit("owners_at_0pct").alias("check_name"), F.col("zero_rate_groups").cast("double").alias("value"),
+                    F.when(F.col("zero_rate_groups") == 0, F.lit("PASS")).otherwise(F.lit("WARN")).alias("status")),
+        monthly.select(F.lit("seasonal_drift_months").alias("check_name"), F.col("v").cast("double").alias("value"),
+                       F.when(F.coalesce(F.col("v"), F.lit(0)) == 0, F.lit("PASS")).otherwise(F.lit("WARN")).alias("status")),
+        leak.select(F.lit("leakage_columns").alias("check_name"), F.col("v").cast("double").alias("value"),
+                    F.when(F.coalesce(F.col("v"), F.lit(0)) == 0, F.lit("PASS")).otherwise(F.lit("WARN")).alias("status")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

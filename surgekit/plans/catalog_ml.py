@@ -125,3 +125,17 @@ def q_m13(spark, sf):
         "video_id", F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
         .alias("window_pred"))
     return M.two_stage_predict(s1.join(s2, "video_id"))
+
+
+@register("m18_owner_report")
+def q_m18(spark, sf):
+    """M17 + M18: owner system training (clusters, within-cluster labels, classifier choice, stats, saved
+    components) and the per-owner report JSON with prior-blended probability and tier."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    from .training import owner_report, train_owner_system
+    root = os.path.join(checkpoint_dir(spark), "models", f"owner-{uuid.uuid4().hex[:10]}")
+    info = train_owner_system(spark, sf, root, "v1", k_folds=2)
+    return owner_report(spark, sf, f"{root}/v1", info["cluster_stats"])

@@ -504,3 +504,46 @@ FROM labeled""", ["viral_rate", "threshold"])
 def q_a13(spark, sf):
     """A13 label statistics row."""
     return L.label_stats(_labeled(spark, sf)[1])
+
+
+@register("c06_label_quality_report", with_ctes("engagement", "summary", extra=LABEL_SQL) + """,
+prof AS (SELECT channel_id, sum(is_viral) / count(*) * 100 AS r FROM labeled GROUP BY channel_id),
+ov AS (SELECT avg(is_viral) * 100 AS v FROM labeled),
+mo AS (SELECT strftime(e.published_at, '%Y-%m') AS ym, avg(l.is_viral) * 100 AS r FROM labeled l
+       LEFT JOIN enhanced e ON l.video_id = e.video_id GROUP BY 1),
+lk AS (SELECT corr(CAST(l.is_viral AS DOUBLE), CAST(CAST(m.is_potentially_viral AS INTEGER) AS DOUBLE)) AS a,
+              corr(CAST(l.is_viral AS DOUBLE), CAST(CASE coalesce(m.engagement_level, 'low') WHEN 'high' THEN 2
+                   WHEN 'medium' THEN 1 ELSE 0 END AS DOUBLE)) AS b
+       FROM labeled l LEFT JOIN engagement m ON l.video_id = m.video_id)
+SELECT 'overall_rate' AS check_name, v AS value, CASE WHEN v BETWEEN 5 AND 30 THEN 'PASS' ELSE 'WARN' END AS status FROM ov
+UNION ALL SELECT 'owners_at_100pct', CAST(sum(CASE WHEN r = 100 THEN 1 ELSE 0 END) AS DOUBLE),
+  CASE WHEN sum(CASE WHEN r = 100 THEN 1 ELSE 0 END) = 0 THEN 'PASS' ELSE 'WARN' END FROM prof
+UNION ALL SELECT 'owners_at_0pct', CAST(sum(CASE WHEN r = 0 THEN 1 ELSE 0 END) AS DOUBLE),
+  CASE WHEN sum(CASE WHEN r = 0 THEN 1 ELSE 0 END) = 0 THEN 'PASS' ELSE 'WARN' END FROM prof
+UNION ALL SELECT 'seasonal_drift_months', CAST(sum(CASE WHEN abs(mo.r - ov.v) > 15 THEN 1 ELSE 0 END) AS DOUBLE),
+  CASE WHEN sum(CASE WHEN abs(mo.r - ov.v) > 15 THEN 1 ELSE 0 END) = 0 THEN 'PASS' ELSE 'WARN' END FROM mo CROSS JOIN ov
+UNION ALL SELECT 'leakage_columns', CAST(CAST(coalesce(abs(a) > 0.7, false) AS INTEGER) + CAST(coalesce(abs(b) > 0.7, false) AS INTEGER)
+  AS DOUBLE), CASE WHEN coalesce(abs(a) > 0.7, false) OR coalesce(abs(b) > 0.7, false) THEN 'WARN' ELSE 'PASS' END FROM lk""",
+          ["value"])
+def q_c06(spark, sf):
+    """C06 label quality report as check rows (overall rate, biased owners, seasonal drift, leakage)."""
+    b, lab = _labeled(spark, sf)
+    return L.label_quality_report(lab, b["enhanced"], b["engagement"])
+
+
+@register("q08_optional_consistency_checks", with_ctes("daily", "fact", extra=_DIFF_A + "," + _RECON) + """
+SELECT 'consistency_version_diff' AS check_name, 'error' AS severity,
+  (SELECT count(*) FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)))
+    AS failures, 'fail' AS status
+UNION ALL SELECT 'integrity_reconcile', 'error', (SELECT count(*) FROM rj WHERE
+  a_total_views IS DISTINCT FROM b_total_views OR a_total_likes IS DISTINCT FROM b_total_likes
+  OR a_total_comments IS DISTINCT FROM b_total_comments OR a_n_items IS DISTINCT FROM b_n_items), 'fail'""")
+def q_q08(spark, sf):
+    """Q08 version-diff (U01) and reconciliation (J09) as suite checks, enabled by a flag (on here)."""
+    from ..operators import quality as Q
+    a, b = _diff_frames(spark, sf)
+    ra, rb = _recon_frames(spark, sf)
+    enabled = True
+    return Q.run_suite([Q.Check("consistency_version_diff", T.symmetric_diff(a, b), enabled=enabled),
+                        Q.Check("integrity_reconcile", T.reconcile(ra, rb, ["channel_id", "category_id"], _MEASURES),
+                                enabled=enabled)])
