@@ -6,7 +6,7 @@ a set-based join of a run-results table onto the control table, producing the ne
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -124,16 +124,15 @@ def quota_estimate(control: DataFrame, used: int = 0, limit: int = DAILY_QUOTA)
 
 
 def quota_gate(plan: DataFrame, order_cols, used: int = 0, limit: int = DAILY_QUOTA) -> DataFrame:
-    """Running cost over the planned work in order; ``warn`` past 80 %, ``stop`` past 90 %.
-
-    The running sum is a global ordered window, so it is meant for a plan of bounded size (one day of
-    work); the row ordering must be unique."""
-    w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    cum = F.lit(used) + F.sum("cost").over(w)
+    """Running cost over the planned work in queue order; ``warn`` once 80 % is used before a row,
+    ``stop`` once 90 % is. The running sum is distributed (``ordering.running_sum``); the ordering must be
+    unique (end it with the key)."""
+    from .ordering import running_sum
+    r = running_sum(plan, order_cols, "cost", out_col="_cum")
+    cum = (F.lit(used) + F.col("_cum")).cast("bigint")
     before = cum - F.col("cost")
-    return plan.select("*", cum.alias("cumulative_cost"),
-                       (before >= limit * QUOTA_WARN).alias("warn"),
-                       (before >= limit * QUOTA_STOP).alias("stop"))
+    return r.select(*plan.columns, cum.alias("cumulative_cost"),
+                    (before >= limit * QUOTA_WARN).alias("warn"), (before >= limit * QUOTA_STOP).alias("stop"))
 
 
 def quota_rollup(usage: DataFrame, limit: int = DAILY_QUOTA) -> DataFrame:

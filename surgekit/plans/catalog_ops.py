@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import control as C
 from ..operators import labels as L
-from ..operators import ordering as O
 from ..operators import tables as T
 from ..sources import fixtures as fx
 from .catalog import base, register
@@ -329,10 +328,7 @@ def q_i10(spark, sf):
         "channel_id", "priority", "last_crawl_ts",
         (F.lit(5) + F.when(F.col("include_comments"), F.lit(10)).otherwise(F.lit(0))).alias("cost"))
     order = [F.desc("priority"), F.asc_nulls_first("last_crawl_ts"), F.asc("channel_id")]
-    r = O.running_sum(plan, order, "cost", out_col="cumulative_cost")
-    before = F.col("cumulative_cost") - F.col("cost")
-    return r.select("*", (before >= 8000).alias("warn"), (before >= 9000).alias("stop")) \
-        .withColumn("cumulative_cost", F.col("cumulative_cost").cast("bigint"))
+    return C.quota_gate(plan, order)
 
 
 @register("i12_usage_from_history", "WITH " + RUNLOG_SQL.strip() + """
