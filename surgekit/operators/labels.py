@@ -205,7 +205,7 @@ def owner_labels(summary: DataFrame, group_col: str | None = None, min_condition
 
 def zscore_labels(engagement: DataFrame, as_of: str, key: str = "channel_id", value: str = "view_count",
                   threshold: float = 1.5, fast: float = 3.0, slow: float = 1.5) -> DataFrame:
-    """Group z-score label and time-window label.
+    """Group z-score label and time-window label.
 
     Group mean / sample std come from a hash aggregate joined back on the key (std NULL -> 1, floor 1;
     items without a group use the global mean)."""

@@ -31,7 +31,8 @@ def _ordering(order_cols: Sequence[str | Column]) -> Column:
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], latest: bool = True) -> DataFrame:
-    """One row per key, the one with the greatest (``latest``) or smallest ordering tuple.
+    """W01 (+ P09: no helper rank column is left behind): one row per key, the one with the greatest
+    (``latest``) or smallest ordering tuple.
 
     Equivalent to ``row_number() over (partition by keys order by order_cols desc) = 1`` when the
     ordering tuple is unique per key (pass a tie-break column last).
@@ -195,3 +196,12 @@ def upsert_plan(candidates: DataFrame, existing: DataFrame, key: str, update_exi
            .when(F.col("_exists"), F.lit("updated" if update_existing else "skipped"))
            .otherwise(F.lit("added")))
     return j.withColumn("action", act).drop("_exists")
+
+
+def lookup_first(df: DataFrame, lookup: DataFrame, key: str, cols: Sequence[str],
+                 order_cols: Sequence[str]) -> DataFrame:
+    """Left join of a lookup deduplicated to its first row per key (``drop_duplicates`` then merge,
+    with an explicit order so the kept row is deterministic)."""
+    first = keep_latest(lookup.select(key, *cols, *[c for c in order_cols if c not in cols and c != key]),
+                        [key], order_cols, latest=False)
+    return df.join(first.select(key, *cols), key, "left")

@@ -144,6 +144,30 @@ def q_f01(spark, sf):
                            keep=["event_id"])
 
 
+@register("p19_stg_comments", f"""
+WITH rcm AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, CAST(conv_id AS VARCHAR) AS video_id,
+    CAST(conv_id % 50 AS VARCHAR) AS channel_id,
+    json_object('snippet', json_object('topLevelComment', json_object('snippet', json_object(
+        'authorDisplayName', role, 'textDisplay', text, 'likeCount', turn * 3,
+        'publishedAt', strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id % 1000 AS INTEGER))
+                                + to_minutes(CAST(turn AS INTEGER)), {ISO}))),
+      'totalReplyCount', turn % 4)) AS raw,
+    TIMESTAMP '2001-08-02 06:00:00' AS ingestion_time
+  FROM conversations)
+SELECT id AS comment_id, video_id, channel_id, ingestion_time AS crawled_at,
+  json_extract_string(raw, '$.snippet.topLevelComment.snippet.authorDisplayName') AS author,
+  json_extract_string(raw, '$.snippet.topLevelComment.snippet.textDisplay') AS text,
+  CAST(json_extract_string(raw, '$.snippet.topLevelComment.snippet.likeCount') AS BIGINT) AS like_count,
+  CAST(strptime(json_extract_string(raw, '$.snippet.topLevelComment.snippet.publishedAt'), {ISO}) AS TIMESTAMP)
+    AS published_at,
+  CAST(json_extract_string(raw, '$.snippet.totalReplyCount') AS BIGINT) AS reply_count
+FROM rcm""")
+def q_p19(spark, sf):
+    """P19 + S03: comment-thread envelopes built from conversations and flattened (whole texts)."""
+    return EV.stg_comments(EV.raw_comments(spark, sf))
+
+
 # the whole staging -> intermediate -> mart chain starting from raw JSON envelopes
 _RAW_MARTS = (BASE.rstrip() + ",\n" + "items2 AS (SELECT * FROM stg_videos), owners2 AS (SELECT * FROM stg_channels),\n"
               + ",\n".join(t.strip().replace("FROM items v", "FROM items2 v").replace("JOIN owners c", "JOIN owners2 c")

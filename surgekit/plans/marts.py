@@ -22,7 +22,7 @@ from ..functions import exprs as X
 
 
 def enhanced(items: DataFrame, owners: DataFrame, as_of: str) -> DataFrame:
-    """Items ⟕ owners + duration seconds + date parts + age + length class."""
+    """Items ⟕ owners + duration seconds + date parts + age + length class."""
     o = owners.select(
         F.col("channel_id").alias("_cid"), "channel_name",
         F.col("subscriber_count").alias("channel_subscribers"), "country_code", "channel_created_at")
@@ -61,14 +61,15 @@ ENGAGEMENT_COLUMNS = ["video_id", "channel_id", "title", "published_at", "publis
 
 
 def engagement(enh: DataFrame) -> DataFrame:
-    """Engagement metrics for items of age >= 1 day."""
+    """C02 (+ P10 age filter): engagement metrics for items of age >= 1 day."""
     m = _metric_columns()
     return enh.where(F.col("days_since_published") > 0).select(
         *ENGAGEMENT_COLUMNS, *[c.alias(n) for n, c in m.items()])
 
 
 def fact(enh: DataFrame) -> DataFrame:
-    """Fact table = C01 ⟕ C02; metrics are NULL for items of age 0 (computed as a projection)."""
+    """Fact table = C01 ⟕ C02; metrics are NULL for items of age 0 (computed as a projection
+    of C01, which is what the key join on the same items produces)."""
     m = _metric_columns()
     aged = F.col("days_since_published") > 0
     mcols = [F.when(aged, m[n]).alias(n) for n in
@@ -121,7 +122,8 @@ def dim_channel(summary: DataFrame) -> DataFrame:
 
 
 def daily_rollup(fct: DataFrame) -> DataFrame:
-    """(publish date, owner) rollup with a surrogate key; engagement averages skip age-0 rows."""
+    """(publish date, owner) rollup over items ⟕ engagement with a surrogate key; engagement
+    averages skip age-0 rows."""
     g = fct.groupBy(F.to_date("published_at").alias("metric_date"), "channel_id").agg(
         F.any_value("channel_name").alias("channel_name"),
         F.any_value("country_code").alias("country_code"),

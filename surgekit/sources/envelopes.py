@@ -96,6 +96,22 @@ def raw_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
                     parents=[("channel_id", k)])
 
 
+def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comment-thread records built from conversations: one thread per (conversation, turn), parent item
+    = conversation, author = role, likes / replies from the turn number."""
+    c = fx.table(spark, sf_dir, "conversations")
+    ts = (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(F.col("conv_id") % 1000).cast("int"))
+          + F.make_dt_interval(mins=F.col("turn").cast("int")))
+    payload = F.struct(
+        F.struct(F.struct(F.struct(F.col("role").alias("authorDisplayName"), F.col("text").alias("textDisplay"),
+                                   (F.col("turn") * 3).alias("likeCount"),
+                                   F.date_format(ts, ISO_Z).alias("publishedAt")).alias("snippet"))
+                 .alias("topLevelComment"), (F.col("turn") % 4).alias("totalReplyCount")).alias("snippet"))
+    return envelope(c, F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), payload,
+                    F.lit(fx.CRAWLED_AT).cast("timestamp"),
+                    parents=[("video_id", F.col("conv_id")), ("channel_id", F.col("conv_id") % 50)])
+
+
 def write_envelopes(df: DataFrame, path: str, key: str = "id", mode: str = "append") -> None:
     """Append to a day-partitioned table, rows clustered by key inside each day."""
     (df.withColumn("ingest_date", F.to_date("ingestion_time"))
@@ -233,6 +249,14 @@ CHANNEL_PATHS = {
     "topic_ids": ("$.items[0].topicDetails.topicIds", "query"),
 }
 
+COMMENT_PATHS = {
+    "author": ("$.snippet.topLevelComment.snippet.authorDisplayName", "value"),
+    "text": ("$.snippet.topLevelComment.snippet.textDisplay", "value"),
+    "like_count": ("$.snippet.topLevelComment.snippet.likeCount", "bigint"),
+    "published_at": ("$.snippet.topLevelComment.snippet.publishedAt", "timestamp"),
+    "reply_count": ("$.snippet.totalReplyCount", "bigint"),
+}
+
 PLAYLIST_PATHS = {
     "playlist_name": ("$.snippet.title", "value"),
     "description": ("$.snippet.description", "value"),
@@ -284,3 +308,10 @@ def stg_playlists(raw_p: DataFrame, raw_ch: DataFrame) -> DataFrame:
                            F.col("ingestion_time").cast("timestamp").alias("crawled_at")])
     f = f.where(F.col("privacy_status") == "public")
     return f.join(valid_channel_ids(raw_ch), "channel_id", "left_semi")
+
+
+def stg_comments(raw_c: DataFrame) -> DataFrame:
+    """Flattened comment threads (declared paths only; the same single-parse operator as P02)."""
+    return extract_json(raw_c, "raw", COMMENT_PATHS,
+                        keep=[F.col("id").alias("comment_id"), "video_id", "channel_id",
+                              F.col("ingestion_time").cast("timestamp").alias("crawled_at")])

@@ -130,3 +130,11 @@ def registry_add_or_update(registry: DataFrame, new: DataFrame, key: str, id_col
             cols.append(F.col(f"r.{c}").alias(c))
     return upd.select(*cols).unionByName(fresh.select(*[c for c in registry.columns if c in fresh.columns]),
                                          allowMissingColumns=True)
+
+
+def clean_for_display(df: DataFrame, id_col: str, numeric_cols: Sequence[str], sort_col: str) -> DataFrame:
+    """Drop rows with an empty id, coerce numeric text (non-numeric -> 0), sort by ``sort_col`` desc."""
+    out = df.where(F.col(id_col).isNotNull() & (F.trim(F.col(id_col)) != ""))
+    for c in numeric_cols:
+        out = out.withColumn(c, F.coalesce(F.col(c).try_cast("bigint"), F.lit(0).cast("bigint")))
+    return out.orderBy(F.desc(sort_col), F.asc(id_col))

@@ -131,3 +131,13 @@ def test_train_viral_model_end_to_end(spark, tmp_path):
     assert set(cfg["metrics"]) >= {"roc_auc", "pr_auc", "f1", "precision", "recall"}
     model, loaded = M.load_model(str(tmp_path / "m"), "v1")
     assert loaded["threshold"] == cfg["threshold"]
+
+
+def test_lookup_first_and_display_cleanup(spark):
+    base_df = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    lk = spark.createDataFrame([(1, 30, 2), (1, 10, 1), (2, 5, 7)], "k long, dur long, t long")
+    got = {r["k"]: r["dur"] for r in TB.lookup_first(base_df, lk, "k", ["dur"], ["t"]).collect()}
+    assert got == {1: 10, 2: 5, 3: None}
+    raw = spark.createDataFrame([("a", "10"), ("", "5"), (None, "7"), ("b", "x"), ("c", "3")], "id string, subs string")
+    out = [(r["id"], r["subs"]) for r in IO.clean_for_display(raw, "id", ["subs"], "subs").collect()]
+    assert out == [("a", 10), ("c", 3), ("b", 0)]
