@@ -48,7 +48,7 @@ def q_st2(spark, sf):
     return spark.read.parquet(out)
 
 
-@register("st3_stream_early_signals", """
+ST3_SQL = """
 WITH f AS (SELECT user_id, min(ts) AS t0, max(ts) AS tl FROM events GROUP BY user_id),
 d AS (SELECT e.user_id, (epoch_us(e.ts) - epoch_us(f.t0)) / 3600e6 AS age FROM events e JOIN f ON e.user_id = f.user_id)
 SELECT f.user_id AS key, f.t0, count(*) AS v7_views_at_poll,
@@ -56,7 +56,10 @@ SELECT f.user_id AS key, f.t0, count(*) AS v7_views_at_poll,
   CAST(sum(CASE WHEN age <= 24 THEN 1 ELSE 0 END) AS BIGINT) AS e2_views_24h,
   CAST(sum(CASE WHEN age <= 48 THEN 1 ELSE 0 END) AS BIGINT) AS e3_views_48h,
   (epoch_us(f.tl) - epoch_us(f.t0)) / 3600e6 AS v8_age_hours
-FROM d JOIN f ON d.user_id = f.user_id GROUP BY f.user_id, f.t0, f.tl""", ["v8_age_hours"])
+FROM d JOIN f ON d.user_id = f.user_id GROUP BY f.user_id, f.t0, f.tl"""
+
+
+@register("st3_stream_early_signals", ST3_SQL, ["v8_age_hours"])
 def q_st3(spark, sf):
     """I07 + M16 streaming: per-entity early-signal state (applyInPandasWithState), latest row per key."""
     out = _scratch(spark, "signals")
@@ -82,3 +85,14 @@ def q_st4(spark, sf):
     S.run_available_now(_events_stream(spark, sf), os.path.basename(base), "append",
                         foreach_batch=S.hwm_batch_writer(marks, out, "user_id", "ts"))
     return spark.read.parquet(out).drop("batch")
+
+
+@register("st5_stream_early_signals_additive", ST3_SQL, ["v8_age_hours"])
+def q_st5(spark, sf):
+    """I07 + M16 streaming, skew-safe form: additive per-batch state table via foreachBatch (hot entities
+    are pre-aggregated map-side), newest state version read back."""
+    base = _scratch(spark, "signals-add")
+    ev = _events_stream(spark, sf)
+    S.run_available_now(ev, os.path.basename(base), "append",
+                        foreach_batch=S.early_signal_batch_writer(os.path.join(base, "state"), "user_id", "ts"))
+    return S.read_latest_state(spark, os.path.join(base, "state"))

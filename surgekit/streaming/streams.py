@@ -141,3 +141,49 @@ def hwm_batch_writer(marks_path: str, out_path: str, key: str, ts: str):
 
 __all__ = ["read_stream", "dedup_stream", "daily_rollup_stream", "upsert_log_writer", "read_upsert_log",
            "run_available_now", "early_signal_stream", "hwm_batch_writer", "keep_latest"]
+
+
+# --- I07 / M16, skew-safe variant: additive state table maintained per micro-batch ----------------
+
+def early_signal_batch_writer(state_root: str, key: str, ts: str):
+    """foreachBatch form of the early-signal state: per batch, first poll per key = min(previous t0,
+    batch minimum); the batch's polls are counted relative to it with a partial (map-side) aggregate, and
+    the new state = previous state + batch counts (union + aggregate, the additive-upsert pattern).
+
+    Every row-level step is a shuffle with partial aggregation, so a hot entity never funnels through one
+    task. Each batch writes a full state version ``v=<batch_id>`` built from version ``batch_id - 1``: a
+    replayed batch rewrites its own version (idempotent). Polls are assumed in event-time order per key
+    (earlier than t0 are counted from t0)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        b = batch.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
+        cols = "key long, t0 timestamp, v7_views_at_poll long, e1_views_6h long, e2_views_24h long, " \
+               "e3_views_48h long, last timestamp"
+        try:
+            prev = spark.read.parquet(os.path.join(state_root, f"v={batch_id - 1}"))
+        except Exception:  # noqa: BLE001  no previous version: empty state
+            prev = spark.createDataFrame([], cols)
+        bmin = b.groupBy("key").agg(F.min("ts").alias("_bmin"))
+        t0 = bmin.join(prev.select("key", F.col("t0").alias("_p0")), "key", "left") \
+            .select("key", F.coalesce(F.least("_p0", "_bmin"), F.col("_bmin")).alias("t0"))
+        age = (F.unix_micros("ts") - F.unix_micros("t0")) / F.lit(3600e6)
+        inc = b.join(t0, "key").groupBy("key").agg(
+            F.min("t0").alias("t0"), F.count(F.lit(1)).alias("v7_views_at_poll"),
+            F.sum((age <= 6).cast("long")).alias("e1_views_6h"), F.sum((age <= 24).cast("long")).alias("e2_views_24h"),
+            F.sum((age <= 48).cast("long")).alias("e3_views_48h"), F.max("ts").alias("last"))
+        new = prev.select(*[c.split()[0] for c in cols.split(", ")]).unionByName(inc).groupBy("key").agg(
+            F.min("t0").alias("t0"), *[F.sum(c).alias(c) for c in ("v7_views_at_poll", "e1_views_6h",
+                                                                   "e2_views_24h", "e3_views_48h")],
+            F.max("last").alias("last"))
+        new.write.mode("overwrite").parquet(os.path.join(state_root, f"v={batch_id}"))
+    return write
+
+
+def read_latest_state(spark: SparkSession, state_root: str) -> DataFrame:
+    """The newest state version written by ``early_signal_batch_writer`` as early-signal rows."""
+    d = spark.read.parquet(state_root)
+    latest = d.agg(F.max("v").alias("_v"))
+    from ..operators.tables import attach_scalars
+    d = attach_scalars(d, latest).where(F.col("v") == F.col("_v"))
+    return d.select("key", "t0", "v7_views_at_poll", "e1_views_6h", "e2_views_24h", "e3_views_48h",
+                    ((F.unix_micros("last") - F.unix_micros("t0")) / F.lit(3600e6)).alias("v8_age_hours"))
