@@ -342,3 +342,27 @@ def q_a23(spark, sf):
                          "events": fx.table(spark, sf, "events"),
                          "customer_building_negative": cu.where((F.col("c_mktsegment") == "BUILDING")
                                                                 & (F.col("c_acctbal") < -10000))})
+
+
+@register("f15_document_text_flags", r"""
+SELECT doc_id, lang, CAST(length(coalesce(text, '')) AS INTEGER) AS title_length,
+  CASE WHEN regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') = '' THEN 0
+       ELSE CAST(len(string_split_regex(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\s+')) AS INTEGER)
+  END AS title_word_count,
+  CAST(regexp_matches(coalesce(text, ''), '\d') AS INTEGER) AS has_number,
+  CAST(contains(coalesce(text, ''), '?') AS INTEGER) AS has_question,
+  CAST(contains(coalesce(text, ''), '!') AS INTEGER) AS has_exclamation,
+  CAST(regexp_matches(coalesce(text, ''), '[\x{1F300}-\x{1FFFF}]') AS INTEGER) AS has_emoji,
+  CAST(regexp_matches(coalesce(text, ''), '(^|[^\p{L}\p{N}_])[A-Z]{3,}($|[^\p{L}\p{N}_])') AS INTEGER) AS has_caps_word,
+  contains(lower(text), lower(lang)) AS mentions_lang,
+  substr(text, 1, 200) AS preview
+FROM documents""")
+def q_f15(spark, sf):
+    """F15–F17 over whole document texts: length, whitespace words, digit / ? / ! / emoji / ALL-CAPS flags,
+    case-insensitive containment and truncation. Word boundaries are Unicode-aware (as in the reference's
+    regex engine); the oracle spells the boundary out with Unicode letter / digit classes."""
+    d = fx.table(spark, sf, "documents")
+    fl = X.text_flags("text")
+    return d.select("doc_id", "lang", *[c.alias(n) for n, c in fl.items()],
+                    F.lower(F.col("text")).contains(F.lower(F.col("lang"))).alias("mentions_lang"),
+                    F.substring("text", 1, 200).alias("preview"))
