@@ -51,7 +51,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # pragma: no cover - sessions without a SparkContext (connect)
+            d = None
     if not d:
         d = tempfile.mkdtemp(prefix="surgekit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -100,3 +100,12 @@ def test_global_rank_running_sum_and_split(spark):
         assert rs[i] == acc
     sp = O.time_split(df, "ts", "id").groupBy("split").count().collect()
     assert {x["split"]: x["count"] for x in sp} == {"train": 700, "val": 150, "test": 150}
+
+
+def test_attach_scalars_is_bounded(spark):
+    df = spark.createDataFrame([(1,), (2,)], "x long")
+    one = df.agg(F.max("x").alias("mx"))
+    assert [r["mx"] for r in T.attach_scalars(df, one).collect()] == [2, 2]
+    import pytest
+    with pytest.raises(Exception):
+        T.attach_scalars(df, df.withColumnRenamed("x", "y")).collect()   # two rows: refused at runtime
