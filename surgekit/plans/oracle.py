@@ -171,8 +171,13 @@ def with_ctes(*names: str, extra: str = "") -> str:
 
 
 def rounded(sql: str, cols: list[str], digits: int = 6) -> str:
-    """Round the listed DOUBLE columns of a query (the Spark side rounds every DOUBLE column)."""
+    """Round the listed DOUBLE columns the way Spark's ``round`` does on the Spark side: HALF_UP applied to
+    the double's shortest decimal string (Spark goes through ``BigDecimal.valueOf``), so ties at the 7th
+    digit agree; NaN / infinity and very large values pass through DuckDB's own round."""
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    rep = ", ".join(
+        f"CASE WHEN isnan({c}) OR isinf({c}) OR abs({c}) >= 1e19 THEN round({c}, {digits}) "
+        f"ELSE CAST(round(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE) END AS {c}"
+        for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _q"
