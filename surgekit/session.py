@@ -27,6 +27,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # partition sizing: ~128 MB scan splits and AQE targets, so a partition fits an executor core's
+         # memory at any scale; on a cluster set SURGEKIT_SHUFFLE_PARTITIONS to ~ input bytes / 128 MB and
+         # let AQE coalesce small ones
+         .config("spark.sql.files.maxPartitionBytes", "128m")
+         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", os.environ.get("SURGEKIT_DRIVER_MEMORY", "8g")))
     spark = b.getOrCreate()
