@@ -54,11 +54,17 @@ def resolve_labelling(d: DataFrame, strategy: str = "auto", view_ratio_threshold
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy={strategy!r} is invalid; choose from {STRATEGIES}")
     grid = threshold_grid(view_ratio_threshold)
-    aggs = [(F.avg(F.coalesce(F.col("is_potentially_viral"), F.lit(False)).cast("double")) * 100).alias("existing")]
-    for s in ("ratio", "combined"):
+    # the three inputs come out of a one-element explode so the 2*|grid|+1 aggregates reference columns
+    # instead of each inlining the full ratio expressions (keeps the aggregate inside whole-stage codegen)
+    n = d.select(F.explode(F.array(F.struct(
+        F.col("view_ratio").alias("view_ratio"), F.col("velocity_score").alias("velocity_score"),
+        F.coalesce(F.col("is_potentially_viral"), F.lit(False)).alias("is_potentially_viral")))).alias("_r")) \
+        .select("_r.*")
+    aggs = [(F.avg(F.col("is_potentially_viral").cast("double")) * 100).alias("existing")]
+    for s_ in ("ratio", "combined"):
         for i, t in enumerate(grid):
-            aggs.append((F.avg(_rule(s, t, velocity_threshold).cast("double")) * 100).alias(f"{s}_{i}"))
-    row = d.agg(*aggs).first()  # one row of 2*len(grid)+1 rates
+            aggs.append((F.avg(_rule(s_, t, velocity_threshold).cast("double")) * 100).alias(f"{s_}_{i}"))
+    row = n.agg(*aggs).first()  # one row of 2*len(grid)+1 rates
     if row is None or row["existing"] is None:
         raise ValueError("no eligible rows to label")
     resolved = strategy
@@ -123,7 +129,9 @@ def category_rate_profile(labeled: DataFrame, items: DataFrame, cat: str = "vide
     """Rate per category + the focus category's gap to the mean rate of the other categories."""
     j = labeled.select("video_id", label).join(items.select("video_id", cat), "video_id", "left")
     c = j.groupBy(cat).agg((F.avg(label) * 100).alias("viral_rate_pct"), F.count(F.lit(1)).alias("n_videos"))
-    others = c.where(F.col(cat) != focus).agg(F.avg("viral_rate_pct").alias("_others"))
+    # conditional aggregate instead of a filter: a filter on the category would be pushed below the
+    # grouping into the item scan and re-evaluate the category's derivation there
+    others = c.agg(F.avg(F.when(F.col(cat) != focus, F.col("viral_rate_pct"))).alias("_others"))
     return (attach_scalars(c, others)
              .withColumn("focus_gap", F.when(F.col(cat) == focus, F.abs(F.col("viral_rate_pct") - F.col("_others"))))
              .withColumn("gap_flag", F.coalesce(F.col("focus_gap") > gap, F.lit(False)))
