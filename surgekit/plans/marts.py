@@ -27,7 +27,10 @@ def enhanced(items: DataFrame, owners: DataFrame, as_of: str) -> DataFrame:
         F.col("channel_id").alias("_cid"), "channel_name",
         F.col("subscriber_count").alias("channel_subscribers"), "country_code", "channel_created_at")
     v = items.join(o, items["channel_id"] == o["_cid"], "left").drop("_cid")
-    v = v.withColumn("duration_seconds", X.iso_duration_lenient("duration_iso8601"))
+    # duration seconds come out of a one-element explode: a filter on a column derived from it (length
+    # class, quality checks) then stays above the regex parse instead of inlining it per comparison;
+    # filters on the other columns still push down to the scan
+    v = v.select("*", F.explode(F.array(X.iso_duration_lenient("duration_iso8601"))).alias("duration_seconds"))
     parts = X.date_parts("published_at")
     return v.select(
         "video_id", "channel_id", "title", "description", "tags", "category_id", "default_language",
