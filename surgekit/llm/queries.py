@@ -6,19 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_pu
+from . import quality_pu, toxicity, url_filter
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The query's rules as (host, path, verdict); the longest rule that fits wins.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts for all page urls: by rule, else by boosted trees trained on the urls that the rules label."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause-grammar toxicity scores of all documents."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-negative positive-unlabelled quality scores of all documents."""
     return quality_pu.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op10_quality_classifier,
+    op3_url_filter, op6_toxicity, op10_quality_classifier,
 )}
 
 ORACLES: dict[str, str] = {}
