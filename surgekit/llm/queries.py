@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_pu, toxicity, url_filter
+from . import quality_pu, suffix_dedup, toxicity, url_filter
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,13 +26,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by repeated 200-byte strings, removed from all documents."""
+    return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-negative positive-unlabelled quality scores of all documents."""
     return quality_pu.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_url_filter, op6_toxicity, op10_quality_classifier,
+    op3_url_filter, op6_toxicity, op7_suffix_dedup, op10_quality_classifier,
 )}
 
 ORACLES: dict[str, str] = {}
