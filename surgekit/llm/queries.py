@@ -4,23 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_pu, suffix_dedup, toxicity, url_filter
+from . import quality_pu, suffix_dedup, token_codes, token_counts, toxicity, url_filter
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The queries' tokenizer files, the end id of op1 and the separator of op4 (<|endoftext|>).
+BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
+END_ID, SEPARATOR_ID = 2, 50256
+
 #: The query's rules as (host, path, verdict); the longest rule that fits wins.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of directly addressable codes of all documents, read back."""
+    return token_codes.read_back(token_codes.write_codes(table(spark, sf_dir, "documents"), BPE_JSON, END_ID))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts for all page urls: by rule, else by boosted trees trained on the urls that the rules label."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted by a separator scan over flat token files."""
+    return token_counts.document_counts(table(spark, sf_dir, "documents"), BPE_JSON, SEPARATOR_ID)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause-grammar toxicity scores of all documents."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -37,7 +52,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_url_filter, op6_toxicity, op7_suffix_dedup, op10_quality_classifier,
+    op1_token_codes, op3_url_filter, op4_token_counts, op6_toxicity, op7_suffix_dedup, op10_quality_classifier,
 )}
 
 ORACLES: dict[str, str] = {}

@@ -19,6 +19,7 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of one Arrow batch. Texts of a batch are cut again by bytes (``byte_chunks``), so this bounds what a
 #: Python worker holds even where texts are long.
 ARROW_ROWS = 2000
+ARROW_BYTES = 16 << 20
 #: Bytes of text that one numpy pass works on.
 CHUNK_BYTES = 1 << 20
 
@@ -51,6 +52,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
