@@ -23,16 +23,14 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 class ChunkCoder:
     """``encode`` maps chunks to values (any objects); ``values`` gives a text's values in order."""
 
-    def __init__(self, encode: Callable[[list[str]], list]):
+    def __init__(self, encode: Callable[[list[str]], list], frequent: dict[str, object] | None = None):
         self.encode = encode
-        self.known: dict[str, object] = {}
+        #: what a chunk with a space before it gives; ``frequent`` ones are there from the start
+        self.frequent = frequent or {}
+        self.known = dict(self.frequent)
         #: what a first chunk gives, which has no space before it
         self.first: dict[str, object] = {}
 
-    def preload(self, items: Iterable[tuple[str, object]]) -> None:
-        """Values of chunks that begin with a space, by the chunk without it."""
-        self.known.update(items)
-
     def _parts(self, text: str) -> list[str]:
         parts = text.split(" ")
         for w in parts:
@@ -43,8 +41,9 @@ class ChunkCoder:
     def values(self, texts: list[str]) -> list[list]:
         split = [self._parts(t) if t else [] for t in texts]
         known, first = self.known, self.first
-        if len(known) > CACHED:
+        if len(known) > CACHED + len(self.frequent):
             known.clear()
+            known.update(self.frequent)
         if len(first) > CACHED:
             first.clear()
         new = list({w for p in split for w in p[1:] if w not in known})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_pu, suffix_dedup, token_codes, token_counts, toxicity, url_filter
+from . import byte_bpe, quality_pu, suffix_dedup, token_codes, token_counts, toxicity, url_filter
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: The queries' tokenizer files, the end id of op1 and the separator of op4 (<|endoftext|>).
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
+BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END_ID, SEPARATOR_ID = 2, 50256
 
 #: The query's rules as (host, path, verdict); the longest rule that fits wins.
@@ -46,13 +47,19 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by ranked byte merges, and the bytes they decode to."""
+    docs = table(spark, sf_dir, "documents")
+    return byte_bpe.digest(docs, byte_bpe.make_encoder(docs, BPE_RANKS, public_tokenizers.PATTERN))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-negative positive-unlabelled quality scores of all documents."""
     return quality_pu.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_codes, op3_url_filter, op4_token_counts, op6_toxicity, op7_suffix_dedup, op10_quality_classifier,
+    op1_token_codes, op3_url_filter, op4_token_counts, op6_toxicity, op7_suffix_dedup, op9_byte_bpe, op10_quality_classifier,
 )}
 
 ORACLES: dict[str, str] = {}
