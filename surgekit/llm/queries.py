@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_pu, suffix_dedup, token_codes, token_counts, toxicity, url_filter
+from . import byte_bpe, ngram_join, quality_pu, suffix_dedup, token_codes, token_counts, toxicity, url_filter
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_counts(table(spark, sf_dir, "documents"), BPE_JSON, SEPARATOR_ID)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 3-word shingle sets link at a Jaccard similarity of 0.9 or more."""
+    return ngram_join.document_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause-grammar toxicity scores of all documents."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,7 +64,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_codes, op3_url_filter, op4_token_counts, op6_toxicity, op7_suffix_dedup, op9_byte_bpe, op10_quality_classifier,
+    op1_token_codes, op3_url_filter, op4_token_counts, op5_ngram_join, op6_toxicity, op7_suffix_dedup, op9_byte_bpe, op10_quality_classifier,
 )}
 
 ORACLES: dict[str, str] = {}
