@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ngram_join, quality_pu, suffix_dedup, token_codes, token_counts, toxicity, url_filter
+from . import byte_bpe, embedding_dedup, ngram_join, quality_pu, suffix_dedup, token_codes, token_counts, toxicity, url_filter
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with their links at cosine 0.95 or more, found by lattice hashing."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents by ranked byte merges, and the bytes they decode to."""
     docs = table(spark, sf_dir, "documents")
@@ -64,7 +69,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_codes, op3_url_filter, op4_token_counts, op5_ngram_join, op6_toxicity, op7_suffix_dedup, op9_byte_bpe, op10_quality_classifier,
+    op1_token_codes, op3_url_filter, op4_token_counts, op5_ngram_join, op6_toxicity, op7_suffix_dedup, op8_embedding_dedup, op9_byte_bpe, op10_quality_classifier,
 )}
 
 ORACLES: dict[str, str] = {}
