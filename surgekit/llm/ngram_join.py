@@ -230,41 +230,65 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("h"), pa.array([squeeze.compress(b) for b in batch.column("body").to_pylist()], pa.binary())],
-            ["doc_id", "h", "z"])
+            [*(batch.column(k) for k in ("id", "no_id", "h")),
+             pa.array([squeeze.compress(b) for b in batch.column("body").to_pylist()], pa.binary())], ["id", "no_id", "h", "z"])
 
 
-def document_components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
+def _classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rows' named sets, nodes with their component): the join itself."""
     rows = texts(docs).withColumn("h", F.hash("body"))
     named = staged(_named_sets(rows, size, num, den, bucket_counts(rows, size)), "shingle-sets")
     groups = (named.where("n > 0").groupBy("s1", "s2")
-              .agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("text"), F.first("n").alias("n"),
-                   F.first("prefix").alias("prefix"), F.first("short").alias("short"), F.first("classes").alias("classes")))
+              .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("text"),
+                   F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("short").alias("short"),
+                   F.first("classes").alias("classes")))
     nodes = staged(groups.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
     prefixes = nodes.select("node", "n", F.col("short").alias("k"), F.posexplode("prefix").alias("pos", "token")).select(
         "token", "node", "n", "pos", (F.col("pos") < F.col("k")).alias("short"))
     met = staged(_shared_shingles(prefixes), "shared-shingles")
-
-    packed = map_batches(rows, _pack, "doc_id long, h int, z binary")
+    packed = map_batches(rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "h", "body"),
+                         _pack, "id long, no_id boolean, h int, z binary")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         pairs = staged(_suffix_filter(pairs, nodes, num, den), f"{name}-pairs")
         asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        wanted = nodes.select("node", F.col("text.doc_id").alias("doc_id"), F.col("text.h").alias("h")).join(asked, "node")
+        wanted = nodes.join(asked, "node").select("node", *_text_key())
         # rows with equal doc_id and text hash hold the same text: one of them serves
-        bodies = packed.join(wanted, F.expr("true") & packed["doc_id"].eqNullSafe(wanted["doc_id"]) & (packed["h"] == wanted["h"])).groupBy(
-            "node").agg(F.min("z").alias("z"))
+        bodies = packed.join(wanted, ["id", "no_id", "h"]).groupBy("node").agg(F.min("z").alias("z"))
         return staged(_verified(pairs, staged(bodies, f"{name}-texts"), size, num, den), f"{name}-links")
     first = links(_pivot_pairs(met, num, den), "pivot")
     labels = staged(components(first), "pivot-components")
     second = links(_open_pairs(met, labels, num, den), "open")
     labels = components(first.unionByName(second))
+    placed = nodes.select("s1", "s2", "node", "least", "text").join(labels, "node", "left")
+    return named, staged(placed.withColumn("component", F.coalesce("component", "node")), "placed-nodes")
+
+
+def _text_key() -> list[Column]:
+    return [F.coalesce("text.doc_id", F.lit(0)).alias("id"), F.col("text.no_id").alias("no_id"), F.col("text.h").alias("h")]
 
-    placed = nodes.select("s1", "s2", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = staged(placed, "placed-nodes")
+
+def document_components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
+    named, placed = _classes(docs, size, num, den)
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     found = placed.join(ids, "component").select("s1", "s2", "component_id")
     return (named.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """One row of each class of linked documents, that of the least doc_id (a null doc_id counts as the greatest), with all
+    its columns; rows without words stay."""
+    _, placed = _classes(docs, size, num, den)
+    chosen = placed.groupBy("component").agg(F.min("text").alias("text")).select(*(c.alias(f"__{n}") for c, n in zip(
+        _text_key(), ("id", "no_id", "h"), strict=True)))
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = (docs.withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__no_id", F.col("doc_id").isNull())
+             .withColumn("__h", F.hash(body.cast("binary"))))
+    keys = ["__id", "__no_id", "__h"]
+    worded = body.rlike(r"[^\x20\x09-\x0D]")
+    # a row that repeats with its doc_id and text is chosen once
+    kept = keyed.where(worded).join(chosen, keys, "left_semi").dropDuplicates(keys)
+    return kept.unionByName(keyed.where(~worded)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, ngram_join, quality_pu, suffix_dedup, token_codes, token_counts, toxicity, url_filter
+from . import byte_bpe, decontaminate, embedding_dedup, ngram_join, quality_pu, suffix_dedup, token_codes, token_counts, toxicity, url_filter
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read_back(token_codes.write_codes(table(spark, sf_dir, "documents"), BPE_JSON, END_ID))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold within the edit budget."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts for all page urls: by rule, else by boosted trees trained on the urls that the rules label."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
@@ -69,7 +74,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_codes, op3_url_filter, op4_token_counts, op5_ngram_join, op6_toxicity, op7_suffix_dedup, op8_embedding_dedup, op9_byte_bpe, op10_quality_classifier,
+    op1_token_codes, op2_decontaminate, op3_url_filter, op4_token_counts, op5_ngram_join, op6_toxicity, op7_suffix_dedup,
+    op8_embedding_dedup, op9_byte_bpe, op10_quality_classifier,
 )}
 
 ORACLES: dict[str, str] = {}

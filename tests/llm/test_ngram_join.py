@@ -64,7 +64,15 @@ def test_matches_all_pairs(spark, seed, size, num, den):
     out = ngram_join.document_components(spark.createDataFrame(rows, SCHEMA).repartition(4), size, num, den)
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"],
                   r["component_id"] if r["component_id"] is not None else -1) for r in out.collect())
-    assert got == brute(rows, size, num, den)
+    want = brute(rows, size, num, den)
+    assert got == want
+    if seed == 2:
+        df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+        kept = ngram_join.one_of_each(df, size, num, den)
+        assert kept.columns == df.columns
+        empty = sum(n == 0 for _, n, _ in want)
+        assert kept.count() == empty + len({c for _, n, c in want if n and c >= 0}) + sum(n > 0 and c < 0 for _, n, c in want)
+        assert {r["doc_id"] for r in kept.collect()} >= {c for _, n, c in want if c >= 0}
 
 
 def test_empty(spark):
