@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from surgekit.llm import quality_pu
+from surgekit.llm import byte_bpe, decontaminate, ngram_join, quality_pu, suffix_dedup
 from surgekit.llm.shared import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,8 +19,35 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_pu.keep_good(docs, quality_pu.train(docs, table(spark, sf_dir, "labels")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the least doc_id, of each class of documents whose 5-word shingle sets link at a Jaccard
+    similarity of 0.8 or more."""
+    return ngram_join.one_of_each(docs, 5, 4, 5)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the bytes covered by 200-byte strings that occur elsewhere too; n_chars follows the text."""
+    cut = suffix_dedup.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that still hold a benchmark item within the edit budget."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every document that is left."""
+    encoder = byte_bpe.make_encoder(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.encode(docs, encoder)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", drop_low_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_contaminated),
+    ("byte-level BPE", tokenise),
 ]
 
 #: SQL can't express the fitted classifier; the stages are tested against brute-force versions instead.
