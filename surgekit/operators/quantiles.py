@@ -1,21 +1,17 @@
 """Exact quantiles (linear interpolation, numpy / DuckDB ``quantile_cont`` semantics) that never
-collect a group into one task.
+collect a group or a value into one task.
 
 ``percentile`` in Spark keeps a value->count map per group and merges it in one task, so a hot group
-(a third of all rows) would sit in one executor. Here the rank of every row is derived instead:
+(a third of all rows) would sit in one executor. Here the rank of every distinct value is derived instead:
 
-1. ``repartitionByRange(group..., value)`` spreads every group, hot ones included, over contiguous
-   ranges of partitions, then each partition is sorted locally;
-2. ``monotonically_increasing_id`` after the sort numbers rows in value order inside a partition; the
-   numbered copy is checkpointed (shared checkpoint folder), so ids are fixed for every later branch
-   and for recomputation after an executor loss;
-3. a small aggregate gives per (partition, group) chunk the row count and first id, and a window over
-   that small table (<= partitions x groups rows) gives chunk offsets and group sizes;
-4. from it the ids of the (at most 2 per probability) rows needed per group are computed, and a
-   semi-join picks exactly those rows; interpolation is a final tiny aggregate.
-
-Shuffles: one range exchange of (group, value) plus small aggregates / a join whose build side has
-2·|probs| rows per group (AQE broadcasts it when small).
+1. rows are counted per (group, value) with a map-side combine: a value that holds most rows (zeros, flags) becomes one
+   row with a count;
+2. ``repartitionByRange(group..., value)`` spreads the distinct pairs, hot groups included, over contiguous ranges;
+   the range-partitioned copy is checkpointed (shared checkpoint folder), so both branches below see the same ranges;
+3. a small aggregate gives per (partition, group) chunk its row count, and a window over that small table
+   (<= partitions x groups rows) gives chunk offsets and group sizes; running counts inside a chunk then give each value
+   the interval of ranks that it covers;
+4. the values whose intervals hold the (at most 2 per probability) needed ranks interpolate in a final aggregate.
 """
 
 from __future__ import annotations
@@ -26,12 +22,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _nparts(df: DataFrame, nparts: int | None) -> int:
-    if nparts:
-        return nparts
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
                     nparts: int | None = None, count_col: str | None = None) -> DataFrame:
     """One row per group: ``by`` columns + one DOUBLE column per entry of ``probs``.
@@ -43,44 +33,34 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
     d = df.select(*[F.col(c) for c in by], F.col(value).cast("double").alias("_v"))
     if not by:
         d = d.withColumn("_g", F.lit(0))
-    d = d.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    d = d.where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_v", F.col("_v") + F.lit(0.0))  # -0.0 is 0.0
     from ..session import materialize
-    r = materialize(d.repartitionByRange(_nparts(df, nparts), *[F.col(c) for c in gcols], F.col("_v"))
-                    .sortWithinPartitions(*gcols, "_v")
-                    .withColumn("_id", F.monotonically_increasing_id())
-                    .withColumn("_pid", F.spark_partition_id()))
-    chunks = r.groupBy("_pid", *gcols).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_first"))
+    counted = d.groupBy(*gcols, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    ranged = (counted.repartitionByRange(nparts, *gcols, "_v") if nparts else counted.repartitionByRange(*gcols, "_v"))
+    r = materialize(ranged.withColumn("_pid", F.spark_partition_id()))
+    chunks = r.groupBy("_pid", *gcols).agg(F.sum("_k").alias("_c"))
     wg = Window.partitionBy(*gcols)
-    chunks = (chunks
-              .withColumn("_off", F.sum("_c").over(wg.orderBy("_first")) - F.col("_c"))
-              .withColumn("_n", F.sum("_c").over(wg)))
-    # needed global ranks (0-based) per probability: floor and ceil of (n-1)p
-    names = list(probs)
-    pos = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_pi"), F.lit(float(probs[nm])).alias("_p"))
-        for i, nm in enumerate(names)]))
-    t = chunks.select("*", pos.alias("_pp")).select("*", "_pp._pi", "_pp._p").drop("_pp")
-    h = (F.col("_n") - 1) * F.col("_p")
-    t = (t.withColumn("_h", h)
-          .withColumn("_lo", F.floor(h)).withColumn("_hi", F.ceil(h)))
-    side = F.explode(F.array(F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_rank")),
-                             F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_rank"))))
-    t = t.select("*", side.alias("_s")).select("*", "_s._side", "_s._rank").drop("_s")
-    t = t.where((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_c")))
-    t = t.withColumn("_id", F.col("_first") + (F.col("_rank") - F.col("_off")))
-    picked = r.select("_id", "_v").join(t.select("_id", *gcols, "_pi", "_side", "_h", "_lo", "_n"), "_id")
+    chunks = (chunks.withColumn("_off", F.sum("_c").over(wg.orderBy("_pid")) - F.col("_c"))
+              .withColumn("_n", F.sum("_c").over(wg))
+              .select(F.col("_pid").alias("_p"), "_off", "_n", *(F.col(c).alias(f"_g{i}") for i, c in enumerate(gcols))))
+    inside = Window.partitionBy("_pid", *gcols).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    # null-safe on the group, whose key may be null
+    on = F.col("_pid") == F.col("_p")
+    for i, c in enumerate(gcols):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    t = (r.withColumn("_to", F.sum("_k").over(inside)).join(chunks, on)
+         .select(*gcols, "_v", (F.col("_off") + F.col("_to") - F.col("_k")).alias("_from"),
+                 (F.col("_off") + F.col("_to")).alias("_to"), "_n"))
     aggs = []
-    for i, nm in enumerate(names):
-        lo = F.max(F.when((F.col("_pi") == i) & (F.col("_side") == 0), F.col("_v")))
-        hi = F.max(F.when((F.col("_pi") == i) & (F.col("_side") == 1), F.col("_v")))
-        frac = F.max(F.when(F.col("_pi") == i, F.col("_h") - F.col("_lo")))
+    for nm in probs:
+        h = (F.col("_n") - 1) * F.lit(float(probs[nm]))
+
+        def at(rank):
+            return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_v")))
+        lo, hi, frac = at(F.floor(h)), at(F.ceil(h)), F.max(h - F.floor(h))
         aggs.append((lo + frac * (hi - lo)).alias(nm))
-    out = picked.groupBy(*gcols).agg(*aggs, F.max("_n").alias("_n"))
-    if count_col:
-        out = out.withColumnRenamed("_n", count_col)
-    else:
-        out = out.drop("_n")
+    out = t.groupBy(*gcols).agg(*aggs, F.max("_n").alias("_n"))
+    out = out.withColumnRenamed("_n", count_col) if count_col else out.drop("_n")
     return out.drop("_g") if not by else out
 
 

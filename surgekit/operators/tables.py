@@ -126,6 +126,15 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order_cols: Sequence[Col
     return d.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
 
 
+def unique_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` itself, one row per key; a key that repeats fails the query when it runs."""
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.lit(0).alias("_"), *rest)).alias("_row"))
+    checked = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(F.lit(f"several rows for one key {keys}")))
+    return one.withColumn("_row", checked).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest)).select(*df.columns)
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update_cols: Sequence[str] | None = None,
            order_cols: Sequence[str] | None = None, updated_at: Column | None = None,
            updated_col: str = "updated_at") -> DataFrame:
@@ -133,10 +142,11 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update_col
 
     Rows of the target without a match are kept; matched rows take ``update_cols`` from the source
     (all non-key source columns by default) and get ``updated_at``; new keys are inserted. The source is
-    deduplicated per key first (latest by ``order_cols``) so the result stays one row per key.
+    deduplicated per key first (latest by ``order_cols``); without ``order_cols`` a repeated source key is an error, since
+    nothing says which row counts.
     """
     keys = list(keys)
-    src = keep_latest(source, keys, order_cols) if order_cols else source
+    src = keep_latest(source, keys, order_cols) if order_cols else unique_by(source, keys)
     cols = list(update_cols) if update_cols is not None else [c for c in src.columns if c not in keys]
     s = src.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in cols]).withColumn("_hit", F.lit(True))
     j = target.join(s, keys, "full_outer")

@@ -54,15 +54,25 @@ def q_f04(spark, sf):
 
 @register("f18_url_keys", r"""
 SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
-  CASE WHEN length(trim(url)) = 11 AND NOT contains(trim(url), '/') THEN trim(url)
-       WHEN contains(trim(url), 'youtu.be/') THEN split_part(string_split(trim(url), 'youtu.be/')[-1], '?', 1)
-       WHEN contains(trim(url), 'watch?v=') THEN split_part(string_split(trim(url), 'watch?v=')[-1], '&', 1)
-       WHEN contains(trim(url), 'youtube.com/embed/') THEN split_part(string_split(trim(url), 'embed/')[-1], '?', 1)
-       ELSE trim(url) END AS url_key
-FROM pages""")
+  coalesce(CASE WHEN length(trim(url)) = 11 AND NOT contains(trim(url), '/') THEN trim(url) END,
+    nullif(regexp_extract(trim(url), '^(?:[a-z]+://)?(?:[^/?#]*\.)?youtu\.be/([^/?#]*)', 1), ''),
+    nullif(regexp_extract(trim(url), '^(?:[a-z]+://)?(?:[^/?#]*\.)?youtube\.com(?:/[^?#]*)?\?(?:[^#]*&)?v=([^&#]*)', 1), ''),
+    nullif(regexp_extract(trim(url), '^(?:[a-z]+://)?(?:[^/?#]*\.)?youtube\.com/embed/([^/?#]*)', 1), ''), trim(url)) AS url_key
+FROM (SELECT page_id, url FROM pages UNION ALL
+  SELECT page_id + 1000000, CASE page_id % 5 WHEN 0 THEN 'https://youtu.be/k' || page_id || '?t=3'
+    WHEN 1 THEN 'https://www.youtube.com/watch?v=k' || page_id || '&list=a' WHEN 2 THEN 'https://www.youtube.com/watch?list=a&v=k' || page_id
+    WHEN 3 THEN 'https://youtube.com/embed/k' || page_id || '?rel=0' ELSE lpad(CAST(page_id AS VARCHAR), 11, 'k') END FROM pages)""")
 def q_f18(spark, sf):
-    """F18 URL key extraction (id links, else the URL) and host."""
-    p = fx.table(spark, sf, "pages")
+    """F18 URL key extraction (id links, else the URL) and host, over the pages' urls and over short, watch and embed links
+    and bare ids made from their keys."""
+    p = fx.table(spark, sf, "pages").select("page_id", "url")
+    k, kind = F.concat(F.lit("k"), F.col("page_id").cast("string")), F.col("page_id") % 5
+    made = (F.when(kind == 0, F.concat(F.lit("https://youtu.be/"), k, F.lit("?t=3")))
+            .when(kind == 1, F.concat(F.lit("https://www.youtube.com/watch?v="), k, F.lit("&list=a")))
+            .when(kind == 2, F.concat(F.lit("https://www.youtube.com/watch?list=a&v="), k))
+            .when(kind == 3, F.concat(F.lit("https://youtube.com/embed/"), k, F.lit("?rel=0")))
+            .otherwise(F.lpad(F.col("page_id").cast("string"), 11, "k")))
+    p = p.unionByName(p.select((F.col("page_id") + 1000000).alias("page_id"), made.alias("url")))
     return p.select("page_id", "url", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"),
                     X.extract_url_key("url").alias("url_key"))
 

@@ -48,7 +48,7 @@ def q_st2(spark, sf):
     return spark.read.parquet(out)
 
 
-ST3_SQL = """
+SIGNALS_SQL = """
 WITH f AS (SELECT user_id, min(ts) AS t0, max(ts) AS tl FROM events GROUP BY user_id),
 d AS (SELECT e.user_id, (epoch_us(e.ts) - epoch_us(f.t0)) / 3600e6 AS age FROM events e JOIN f ON e.user_id = f.user_id)
 SELECT f.user_id AS key, f.t0, count(*) AS v7_views_at_poll,
@@ -59,15 +59,6 @@ SELECT f.user_id AS key, f.t0, count(*) AS v7_views_at_poll,
 FROM d JOIN f ON d.user_id = f.user_id GROUP BY f.user_id, f.t0, f.tl"""
 
 
-@register("st3_stream_early_signals", ST3_SQL, ["v8_age_hours"])
-def q_st3(spark, sf):
-    """I07 + M16 streaming: per-entity early-signal state (applyInPandasWithState), latest row per key."""
-    out = _scratch(spark, "signals")
-    sig = S.early_signal_stream(_events_stream(spark, sf), "user_id", "ts")
-    S.run_available_now(sig, os.path.basename(out), "update", foreach_batch=S.upsert_log_writer(out, ["key"]))
-    return S.read_upsert_log(spark, out, ["key"]).withColumn("t0", F.col("t0").cast("timestamp"))
-
-
 @register("st4_stream_hwm_ingest", """
 SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15'
   OR ts > (SELECT max(ts) FROM events e2 WHERE e2.user_id = events.user_id AND e2.ts < TIMESTAMP '2024-01-15')
@@ -87,12 +78,13 @@ def q_st4(spark, sf):
     return spark.read.parquet(out).drop("batch")
 
 
-@register("st5_stream_early_signals_additive", ST3_SQL, ["v8_age_hours"])
+@register("st5_stream_early_signals_additive", SIGNALS_SQL, ["v8_age_hours"])
 def q_st5(spark, sf):
-    """I07 + M16 streaming, skew-safe form: additive per-batch state table via foreachBatch (hot entities
-    are pre-aggregated map-side), newest state version read back."""
+    """I07 + M16 streaming: the polls of each micro-batch are appended to a log of (entity, poll time, count) via
+    foreachBatch; early signals are read from the log after a compaction."""
     base = _scratch(spark, "signals-add")
-    ev = _events_stream(spark, sf)
-    S.run_available_now(ev, os.path.basename(base), "append",
-                        foreach_batch=S.early_signal_batch_writer(os.path.join(base, "state"), "user_id", "ts"))
-    return S.read_latest_state(spark, os.path.join(base, "state"))
+    log, small = os.path.join(base, "log"), os.path.join(base, "compacted")
+    S.run_available_now(_events_stream(spark, sf), os.path.basename(base), "append",
+                        foreach_batch=S.early_signal_batch_writer(log, "user_id", "ts"))
+    S.compact_early_signals(spark, log, small)
+    return S.read_early_signals(spark, small)

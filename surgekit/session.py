@@ -12,28 +12,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app_name: str = "surgekit") -> SparkSession:
     """Session with the settings every operator assumes: UTC, AQE (coalesce + skew join), no UI.
 
-    On a cluster the master / partitions come from spark-submit; the local defaults are for tests.
+    Master, partition count and driver memory are those of spark-submit unless the caller or the environment
+    (SURGEKIT_MASTER, SURGEKIT_SHUFFLE_PARTITIONS, SURGEKIT_DRIVER_MEMORY) names others.
     """
-    master = master or os.environ.get("SURGEKIT_MASTER", "local[8]")
-    cpus = os.environ.get("BENCH_CPUS")
-    if cpus and master.startswith("local"):
-        master = f"local[{cpus}]"
-    parts = shuffle_partitions or int(os.environ.get("SURGEKIT_SHUFFLE_PARTITIONS", "8"))
-    b = (SparkSession.builder.master(master).appName(app_name)
-         .config("spark.ui.enabled", "false")
+    b = SparkSession.builder.appName(app_name)
+    master = master or os.environ.get("SURGEKIT_MASTER")
+    if master:
+        b = b.master(master)
+    parts = shuffle_partitions or os.environ.get("SURGEKIT_SHUFFLE_PARTITIONS")
+    if parts:
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
+    memory = os.environ.get("SURGEKIT_DRIVER_MEMORY")
+    if memory:
+        b = b.config("spark.driver.memory", memory)
+    b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.shuffle.partitions", str(parts))
-         .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         # partition sizing: ~128 MB scan splits and AQE targets, so a partition fits an executor core's
-         # memory at any scale; on a cluster set SURGEKIT_SHUFFLE_PARTITIONS to ~ input bytes / 128 MB and
-         # let AQE coalesce small ones
-         .config("spark.sql.files.maxPartitionBytes", "128m")
-         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.memory", os.environ.get("SURGEKIT_DRIVER_MEMORY", "8g")))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
@@ -41,35 +37,40 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the session-level SQL settings operators rely on (idempotent, safe on any session)."""
+    """Apply the session-level SQL settings operators rely on (idempotent, safe on any session).
+
+    ``forceOptimizeSkewedJoin`` lets AQE split a hot key's join partition even where an aggregate above the join reuses its
+    partitioning: it then adds the exchange that the aggregate needs, instead of leaving the hot key in one task."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the session names none (local tests) a fresh scratch folder is created and
-    registered; on a cluster the configured shared folder is always used.
+    Only a local session (tests) that names none gets a fresh scratch folder; on a cluster a missing setting is an
+    error, since executors could not share a folder of the driver's machine.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        try:
-            d = spark.sparkContext.getCheckpointDir()
-        except Exception:  # pragma: no cover - sessions without a SparkContext (connect)
-            d = None
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="surgekit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    try:
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # pragma: no cover - connect sessions have no SparkContext
-        pass
     return d
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whichever file system it names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import scalar_text
 from . import fixtures as fx
 
 ISO_Z = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -113,9 +114,10 @@ def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_envelopes(df: DataFrame, path: str, key: str = "id", mode: str = "append") -> None:
-    """Append to a day-partitioned table, rows clustered by key inside each day."""
+    """Append to a day-partitioned table, rows clustered by key inside each day. Range partitions over (day, key)
+    give a large day many write tasks."""
     (df.withColumn("ingest_date", F.to_date("ingestion_time"))
-       .repartition("ingest_date").sortWithinPartitions(key)
+       .repartitionByRange("ingest_date", key).sortWithinPartitions("ingest_date", key)
        .write.mode(mode).partitionBy("ingest_date").parquet(path))
 
 
@@ -150,25 +152,26 @@ def _parse_path(path: str) -> list[str | int]:
     return toks
 
 
-def _schema_for(paths: Sequence[list[str | int]]) -> T.DataType:
-    """Nested schema holding exactly the requested paths; leaves are read as text."""
+def _schema_for(paths: Mapping[tuple, str]) -> T.DataType:
+    """Nested schema holding exactly the requested paths. Leaves of kind ``value`` are read as VARIANT, which knows a text
+    that begins with a bracket from an array or object; other leaves are read as text."""
     def build(node) -> T.DataType:
-        if not node:
-            return T.StringType()
+        if isinstance(node, str):
+            return T.VariantType() if node == "value" else T.StringType()
         if "[]" in node:
             return T.ArrayType(build(node["[]"]))
         return T.StructType([T.StructField(k, build(v)) for k, v in node.items()])
 
-    tree: dict = {}  # leaves are None, inner nodes dicts
-    for toks in paths:
+    tree: dict = {}  # leaves are kinds, inner nodes dicts
+    for toks, kind in paths.items():
         node = tree
         for i, t in enumerate(toks):
             key = "[]" if isinstance(t, int) else t
             last = i == len(toks) - 1
             if last:
-                node.setdefault(key, None)
+                node.setdefault(key, kind)
             else:
-                if node.get(key) is None:
+                if not isinstance(node.get(key), dict):
                     node[key] = {}
                 node = node[key]
     return build(tree)
@@ -184,7 +187,8 @@ def extract_json(df: DataFrame, raw: str, fields: Mapping[str, tuple[str, str]],
     ``strict`` keeps CAST (raises on malformed values, as the warehouse does); otherwise TRY_CAST.
     """
     parsed = {a: _parse_path(p) for a, (p, _) in fields.items()}
-    schema = _schema_for(list(parsed.values()))
+    variants = {tuple(t) for a, t in parsed.items() if fields[a][1] == "value"}
+    schema = _schema_for({tuple(t): "value" if tuple(t) in variants else "text" for t in parsed.values()})
     # parse once. The parsed struct comes out of a one-element explode (a Generate), so filters on the
     # extracted fields stay above it: predicate pushdown would otherwise inline from_json into every
     # predicate that references a field (one full JSON parse per predicate and row).
@@ -196,13 +200,16 @@ def extract_json(df: DataFrame, raw: str, fields: Mapping[str, tuple[str, str]],
         c = F.col("_j")
         for t in parsed[alias]:
             c = c[t] if isinstance(t, int) else c.getField(t)
+        variant = tuple(parsed[alias]) in variants
+        subtree = F.to_json(c) if variant else c
         if kind == "array_len":
-            cols.append(F.json_array_length(c).alias(alias))
+            cols.append(F.json_array_length(subtree).alias(alias))
             continue
         if kind == "query":
-            cols.append(c.alias(alias))
+            cols.append(subtree.alias(alias))
             continue
-        v = F.when(c.startswith("{") | c.startswith("["), F.lit(None)).otherwise(c)
+        # as text, a number, date or boolean never begins with a bracket
+        v = scalar_text(c) if variant else F.when(c.startswith("{") | c.startswith("["), F.lit(None)).otherwise(c)
         if kind == "value":
             cols.append(v.alias(alias))
         elif kind == "timestamp":

@@ -78,8 +78,8 @@ def materialize_layer(df: DataFrame, root: str, layer: str, name: str, partition
     if partition_col:
         out = out.withColumn("_part", F.trunc(F.col(partition_col), "MM") if partition_by_month else F.col(partition_col))
         parts = ["_part"]
-        out = out.repartition("_part")
-    if cluster_by:
+        out = out.repartitionByRange("_part", *cluster_by).sortWithinPartitions("_part", *cluster_by)
+    elif cluster_by:
         out = out.sortWithinPartitions(*cluster_by)
     w = out.write.mode("overwrite")
     if parts:
@@ -112,9 +112,10 @@ def seed_today_quota(usage: DataFrame, today: Column, daily_limit: int = 10_000)
 def registry_add_or_update(registry: DataFrame, new: DataFrame, key: str, id_col: str = "id",
                            update_cols: Sequence[str] = ()) -> DataFrame:
     """Known keys are updated in place, unknown keys get ids max(id) + 1, + 2, ... in key order
-    (distributed global rank, no single-task window)."""
+    (distributed global rank, no single-task window). A key that repeats in ``new`` is an error."""
     from ..operators.ordering import global_rank
-    from ..operators.tables import attach_scalars
+    from ..operators.tables import attach_scalars, unique_by
+    new = unique_by(new, [key])
     known = new.join(registry.select(key), key, "left_semi")
     fresh = global_rank(new.join(registry.select(key), key, "left_anti"), [key], rank_col="_rk")
     mx = registry.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_mx"))

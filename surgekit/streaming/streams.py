@@ -10,14 +10,12 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.tables import keep_latest
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, path_exists
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -74,116 +72,70 @@ def run_available_now(df: DataFrame, name: str, mode: str, sink_path: str | None
     return ck
 
 
-# --- I07 / M16: snapshot polling with per-entity state --------------------------------------------
-
-SIGNAL_STATE = T.StructType([T.StructField("t0", T.TimestampType()), T.StructField("n", T.LongType()),
-                             T.StructField("n6", T.LongType()), T.StructField("n24", T.LongType()),
-                             T.StructField("n48", T.LongType()), T.StructField("last", T.TimestampType())])
-SIGNAL_OUT = ("key long, t0 timestamp, v7_views_at_poll long, e1_views_6h long, e2_views_24h long, "
-              "e3_views_48h long, v8_age_hours double")
-
-
-def _signal_update(key, pdfs, state):
-    """Per entity: first poll time and counts of polls within 6 / 24 / 48 h of it. Polls must arrive in
-    event-time order per entity batch-to-batch (earlier polls than t0 are counted from t0 on)."""
-    if state.exists:
-        t0, n, n6, n24, n48, last = state.get
-        t0, last = pd.Timestamp(t0), pd.Timestamp(last)
-    else:
-        t0 = n = n6 = n24 = n48 = last = None
-    for pdf in pdfs:
-        ts = pd.to_datetime(pdf["ts"]).sort_values()
-        if ts.empty:
-            continue
-        if t0 is None:
-            t0, n, n6, n24, n48, last = ts.iloc[0], 0, 0, 0, 0, ts.iloc[0]
-        age = (ts - t0).dt.total_seconds() / 3600.0
-        n += int(len(ts))
-        n6 += int((age <= 6).sum())
-        n24 += int((age <= 24).sum())
-        n48 += int((age <= 48).sum())
-        last = max(last, ts.iloc[-1])
-    if t0 is None:
-        return
-    state.update((t0.to_pydatetime(), n, n6, n24, n48, last.to_pydatetime()))
-    yield pd.DataFrame({"key": [int(key[0])], "t0": [t0], "v7_views_at_poll": [n], "e1_views_6h": [n6],
-                        "e2_views_24h": [n24], "e3_views_48h": [n48],
-                        "v8_age_hours": [((last - t0).value // 1000) / 3600e6]})  # integer micros / h
-
-
-def early_signal_stream(stream: DataFrame, key: str, ts: str) -> DataFrame:
-    """I07 + M16: running early-signal counts per entity from a poll stream (update mode)."""
-    d = stream.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
-    return d.groupBy("key").applyInPandasWithState(
-        _signal_update, SIGNAL_OUT, SIGNAL_STATE.simpleString(), "update", GroupStateTimeout.NoTimeout)
-
-
 # --- I05: high-water-mark incremental ingest as a stream ------------------------------------------
 
 def hwm_batch_writer(marks_path: str, out_path: str, key: str, ts: str):
-    """foreachBatch: load only records newer than each entity's mark, append them, advance the marks
-    (new marks written to a per-batch version directory, so a replayed batch is idempotent)."""
-    from ..operators.control import advance_marks, incremental_slice
+    """foreachBatch: load only records newer than each entity's mark, append them, and write what the batch adds to the
+    marks. A batch sees the marks of earlier batches alone (``batch < batch_id``; seeds are batch -1), never its own, so a
+    replayed batch finds the same records again and rewrites the same two directories."""
+    from ..operators.control import high_water_marks, incremental_slice
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            marks = spark.read.parquet(marks_path).groupBy(key).agg(F.max("last_video_published_at")
-                                                                      .alias("last_video_published_at"))
-        except Exception:  # noqa: BLE001  first batch: no marks yet -> full load
-            marks = spark.createDataFrame([], f"{key} long, last_video_published_at timestamp")
-        new = incremental_slice(batch, marks, key, ts)
+        if path_exists(spark, marks_path):
+            versions = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, last_video_published_at timestamp, "
+                                         "batch int").parquet(marks_path)
+            marks = versions.where(F.col("batch") < batch_id).groupBy(key).agg(
+                F.max("last_video_published_at").alias("last_video_published_at"))
+            new = incremental_slice(batch, marks, key, ts)
+        else:  # no marks yet: everything is new
+            new = batch
         new.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
-        advance_marks(marks, new, key, ts).write.mode("overwrite").parquet(
-            os.path.join(marks_path, f"batch={batch_id}"))
+        high_water_marks(new, key, ts).write.mode("overwrite").parquet(os.path.join(marks_path, f"batch={batch_id}"))
     return write
 
 
-__all__ = ["read_stream", "dedup_stream", "daily_rollup_stream", "upsert_log_writer", "read_upsert_log",
-           "run_available_now", "early_signal_stream", "hwm_batch_writer", "keep_latest"]
+# --- I07 / M16: snapshot polling, early signals ----------------------------------------------------
 
+SIGNAL_HOURS = (6, 24, 48)
 
-# --- I07 / M16, skew-safe variant: additive state table maintained per micro-batch ----------------
 
 def early_signal_batch_writer(state_root: str, key: str, ts: str):
-    """foreachBatch form of the early-signal state: per batch, first poll per key = min(previous t0,
-    batch minimum); the batch's polls are counted relative to it with a partial (map-side) aggregate, and
-    the new state = previous state + batch counts (union + aggregate, the additive-upsert pattern).
-
-    Every row-level step is a shuffle with partial aggregation, so a hot entity never funnels through one
-    task. Each batch writes a full state version ``v=<batch_id>`` built from version ``batch_id - 1``: a
-    replayed batch rewrites its own version (idempotent). Polls are assumed in event-time order per key
-    (earlier than t0 are counted from t0)."""
+    """foreachBatch: append the batch's polls, counted per (key, poll time), as ``batch=<batch_id>``.
+
+    The state is this log. Counts relative to an entity's first poll can't be kept ready-made, because a late poll may move
+    the first poll back and with it every limit; poll times can, whatever order they come in. A replayed batch rewrites its
+    own directory; a hot entity's polls are pre-counted in every map task."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        b = batch.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
-        cols = "key long, t0 timestamp, v7_views_at_poll long, e1_views_6h long, e2_views_24h long, " \
-               "e3_views_48h long, last timestamp"
-        try:
-            prev = spark.read.parquet(os.path.join(state_root, f"v={batch_id - 1}"))
-        except Exception:  # noqa: BLE001  no previous version: empty state
-            prev = spark.createDataFrame([], cols)
-        bmin = b.groupBy("key").agg(F.min("ts").alias("_bmin"))
-        t0 = bmin.join(prev.select("key", F.col("t0").alias("_p0")), "key", "left") \
-            .select("key", F.coalesce(F.least("_p0", "_bmin"), F.col("_bmin")).alias("t0"))
-        age = (F.unix_micros("ts") - F.unix_micros("t0")) / F.lit(3600e6)
-        inc = b.join(t0, "key").groupBy("key").agg(
-            F.min("t0").alias("t0"), F.count(F.lit(1)).alias("v7_views_at_poll"),
-            F.sum((age <= 6).cast("long")).alias("e1_views_6h"), F.sum((age <= 24).cast("long")).alias("e2_views_24h"),
-            F.sum((age <= 48).cast("long")).alias("e3_views_48h"), F.max("ts").alias("last"))
-        new = prev.select(*[c.split()[0] for c in cols.split(", ")]).unionByName(inc).groupBy("key").agg(
-            F.min("t0").alias("t0"), *[F.sum(c).alias(c) for c in ("v7_views_at_poll", "e1_views_6h",
-                                                                   "e2_views_24h", "e3_views_48h")],
-            F.max("last").alias("last"))
-        new.write.mode("overwrite").parquet(os.path.join(state_root, f"v={batch_id}"))
+        (batch.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
+              .groupBy("key", "ts").agg(F.count(F.lit(1)).alias("n"))
+              .write.mode("overwrite").parquet(os.path.join(state_root, f"batch={batch_id}")))
     return write
 
 
-def read_latest_state(spark: SparkSession, state_root: str) -> DataFrame:
-    """The newest state version written by ``early_signal_batch_writer`` as early-signal rows."""
-    d = spark.read.parquet(state_root)
-    latest = d.agg(F.max("v").alias("_v"))
-    from ..operators.tables import attach_scalars
-    d = attach_scalars(d, latest).where(F.col("v") == F.col("_v"))
-    return d.select("key", "t0", "v7_views_at_poll", "e1_views_6h", "e2_views_24h", "e3_views_48h",
-                    ((F.unix_micros("last") - F.unix_micros("t0")) / F.lit(3600e6)).alias("v8_age_hours"))
+def compact_early_signals(spark: SparkSession, state_root: str, target: str) -> None:
+    """Writes the log's polls into ``target`` as one batch that gives the same signals: poll times up to the last limit after
+    the first poll as they are, all later ones as a single count at the last poll. (A first poll can only move back, so
+    a poll beyond the last limit stays beyond it.)"""
+    polls = spark.read.parquet(state_root).groupBy("key", "ts").agg(F.sum("n").alias("n"))
+    first = polls.groupBy("key").agg(F.min("ts").alias("t0"), F.max("ts").alias("last"))
+    far = (F.unix_micros("ts") - F.unix_micros("t0")) > SIGNAL_HOURS[-1] * 3600 * 10 ** 6
+    kept = polls.join(first, "key").withColumn("ts", F.when(far, F.col("last")).otherwise(F.col("ts")))
+    kept.groupBy("key", "ts").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(os.path.join(target, "batch=0"))
+
+
+def read_early_signals(spark: SparkSession, state_root: str) -> DataFrame:
+    """Early-signal rows from all polls of the log: polls, polls within 6 / 24 / 48 h of the first one, age of the series."""
+    polls = spark.read.parquet(state_root).groupBy("key", "ts").agg(F.sum("n").alias("n"))
+    first = polls.groupBy("key").agg(F.min("ts").alias("t0"), F.max("ts").alias("last"))
+    age = F.unix_micros("ts") - F.unix_micros("t0")
+    within = [F.sum(F.when(age <= h * 3600 * 10 ** 6, F.col("n")).otherwise(0)).alias(f"e{i}_views_{h}h")
+              for i, h in enumerate(SIGNAL_HOURS, 1)]
+    return (polls.join(first, "key").groupBy("key").agg(F.min("t0").alias("t0"), F.sum("n").alias("v7_views_at_poll"), *within,
+                                                        F.max("last").alias("last"))
+            .withColumn("v8_age_hours", (F.unix_micros("last") - F.unix_micros("t0")) / F.lit(3600e6)).drop("last"))
+
+
+__all__ = ["read_stream", "dedup_stream", "daily_rollup_stream", "upsert_log_writer", "read_upsert_log",
+           "run_available_now", "hwm_batch_writer", "early_signal_batch_writer", "compact_early_signals",
+           "read_early_signals", "keep_latest"]

@@ -34,6 +34,11 @@ def test_exact_quantiles_match_numpy(spark):
     for g, vals in groups.items():
         for name, p in probs.items():
             assert abs(got[g][name] - float(np.percentile(vals, p * 100))) < 1e-9
+    flat = spark.createDataFrame([(i, 0.0 if i % 3 else float(i), None if i % 5 else "g") for i in range(3000)], "id long, v double, g string")
+    by_g = {r["g"]: r for r in Qn.exact_quantiles(flat, "v", probs, by=["g"], nparts=7).collect()}
+    for g in (None, "g"):
+        vals = [0.0 if i % 3 else float(i) for i in range(3000) if (None if i % 5 else "g") == g]
+        assert all(abs(by_g[g][n] - float(np.percentile(vals, p * 100))) < 1e-9 for n, p in probs.items())
     glob = Qn.exact_quantiles(df, "v", {"m": 0.5}).first()["m"]
     assert abs(glob - float(np.median([v for _, _, v in rows if v is not None]))) < 1e-9
 
@@ -109,3 +114,34 @@ def test_attach_scalars_is_bounded(spark):
     import pytest
     with pytest.raises(Exception):
         T.attach_scalars(df, df.withColumnRenamed("x", "y")).collect()   # two rows: refused at runtime
+
+
+def test_upsert_without_order_refuses_repeated_keys(spark):
+    import pytest
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    once = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
+    assert sorted(map(tuple, T.upsert(target, once, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    with pytest.raises(Exception, match="several rows for one key"):
+        T.upsert(target, once.union(once), ["k"]).collect()
+
+
+def test_json_text_with_brackets_is_a_scalar(spark):
+    from surgekit.sources.envelopes import extract_json
+    rows = [('{"t": "[MV] Song", "n": 3, "o": {"a": 1}, "l": [1, 2], "z": null, "b": true}',), ('{"t": "{x}"}',), ("not json",)]
+    fields = {"t": ("$.t", "value"), "n": ("$.n", "value"), "o": ("$.o", "value"), "l": ("$.l", "query"), "z": ("$.z", "value"),
+              "b": ("$.b", "value")}
+    got = [tuple(r) for r in extract_json(spark.createDataFrame(rows, "raw string"), "raw", fields).collect()]
+    assert got == [("[MV] Song", "3", None, "[1,2]", None, "true"), ("{x}", None, None, None, None, None), (None,) * 6]
+
+
+def test_large_days_get_many_write_tasks(spark, tmp_path):
+    from surgekit.sources.envelopes import write_envelopes
+    df = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.lit("{}").alias("raw"),
+                                  F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ingestion_time"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_envelopes(df, str(tmp_path / "t"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "t" / "ingest_date=2024-01-01").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4000
