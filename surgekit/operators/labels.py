@@ -245,11 +245,18 @@ def top_bottom_groups(profile: DataFrame, key: str = "channel_id", n: int = 5) -
     return top.unionByName(bot)
 
 
-def label_distribution(df: DataFrame, label: str) -> DataFrame:
-    """Counts and share per label value with the balance warning (< 20 % or > 80 % positives)."""
-    total = df.agg(F.count(F.lit(1)).alias("_t"))
+# fixed values: shares of positive rows outside of which a label counts as unbalanced
+BALANCED_FROM, BALANCED_TO = 20.0, 80.0
+
+
+def label_distribution(df: DataFrame, label: str, negative="not_viral") -> DataFrame:
+    """Count and share per label value, and the balance warning (< 20 % or > 80 % of rows with another value than
+    ``negative``)."""
+    total = df.agg(F.count(F.lit(1)).alias("_t"), F.sum((F.col(label) != negative).cast("int")).alias("_p"))
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return (attach_scalars(c, total).withColumn("pct", F.col("n") / F.col("_t") * 100).drop("_t"))
+    positive = F.col("_p") / F.col("_t") * 100
+    return (attach_scalars(c, total).withColumn("pct", F.col("n") / F.col("_t") * 100)
+            .withColumn("balance_warning", ~positive.between(BALANCED_FROM, BALANCED_TO)).drop("_t", "_p"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -159,6 +159,9 @@ def simplify_classes(df: DataFrame, label: str, min_rows: int = 3, positive: str
 
 def pivot_shares(df: DataFrame, keys: Sequence[str], pivot_col: str, values: Sequence[str], measure: str,
                  prefix: str = "") -> DataFrame:
-    """Long share table -> one column per listed value (explicit value list: no extra job)."""
-    p = df.groupBy(*keys).pivot(pivot_col, list(values)).agg(F.sum(measure))
-    return p.select(*keys, *[F.col(v).alias(f"{prefix}{v}") for v in values])
+    """Long share table -> one column per listed value (explicit value list: no extra job); what other values hold,
+    null included, is summed in ``<prefix>other``, so nothing vanishes."""
+    known = F.coalesce(F.col(pivot_col).isin(*values), F.lit(False))
+    p = (df.withColumn("_pivot", F.when(known, F.col(pivot_col).cast("string")).otherwise(F.lit("_other")))
+         .groupBy(*keys).pivot("_pivot", [*map(str, values), "_other"]).agg(F.sum(measure)))
+    return p.select(*keys, *[F.col(str(v)).alias(f"{prefix}{v}") for v in values], F.col("_other").alias(f"{prefix}other"))

@@ -101,11 +101,14 @@ def formula_self_check(df: DataFrame, key: str = "video_id", tol: float = FORMUL
         F.abs(F.col("engagement_rate") - F.col("manual_rate")) > tol)
 
 
-def join_drift(left: DataFrame, joined: DataFrame) -> DataFrame:
-    """Q12: row count before and after a join, and the delta."""
-    a = left.agg(F.count(F.lit(1)).alias("n_before"))
-    b = joined.agg(F.count(F.lit(1)).alias("n_after"))
-    return attach_scalars(a, b).withColumn("delta", F.col("n_after") - F.col("n_before")) \
+def join_drift(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Q12: rows before and after an inner join on ``keys``, and the delta. The joined rows are counted, not made: counts per
+    key on either side are multiplied, so a hot key costs one row."""
+    a = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l"))
+    b = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r"))
+    before = a.agg(F.coalesce(F.sum("_l"), F.lit(0)).alias("n_before"))
+    after = a.join(b, keys).agg(F.coalesce(F.sum(F.col("_l") * F.col("_r")), F.lit(0)).alias("n_after"))
+    return attach_scalars(before, after).withColumn("delta", F.col("n_after") - F.col("n_before")) \
         .withColumn("drift", F.col("delta") != 0)
 
 

@@ -99,6 +99,6 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     """Import the modules that register further queries."""
-    from . import (catalog_features, catalog_misc, catalog_ml, catalog_ops, catalog_profiles,  # noqa: F401
+    from . import (catalog_features, catalog_misc, catalog_ml, catalog_ops, catalog_profiles, catalog_scoring,  # noqa: F401
                    catalog_staging,
                    catalog_streaming)

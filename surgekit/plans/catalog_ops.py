@@ -364,6 +364,15 @@ def q_a25(spark, sf):
     return C.failure_alerts(fx.run_log(spark, sf)).withColumn("n_failed", F.col("n_failed").cast("int"))
 
 
+@register("a25_failed_runs", "WITH " + RUNLOG_SQL.strip() + """,
+bad AS (SELECT batch_id FROM runlog GROUP BY batch_id HAVING avg(CASE WHEN status = 'failed' THEN 1.0 ELSE 0.0 END) > 0.5)
+SELECT batch_id, channel_id, crawl_ts, error_msg FROM runlog WHERE status = 'failed' AND batch_id IN (SELECT batch_id FROM bad)""")
+def q_a25_failed(spark, sf):
+    """A25 the failed entities of alerting batches, one row each."""
+    log = fx.run_log(spark, sf)
+    return C.failed_runs(log, C.failure_alerts(log))
+
+
 @register("a26_quota_rollup", """
 WITH usage AS (SELECT CAST(ts AS DATE) AS date, 5 + CASE WHEN event_type = 'view' THEN 10 ELSE 0 END AS quota_used
                FROM events)
