@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 Words are the space-delimited chunks of ``encoding``; a corpus has few that are frequent. All words of all texts are counted,
-and the ``FREQUENT`` most frequent ones are encoded by Spark's higher-order functions: the public pattern cuts a word into
+and the most frequent ones, at most ``FREQUENT``, are encoded by Spark's higher-order functions: the public pattern cuts a word into
 pieces, a piece becomes an array of its bytes (as hex), and ``aggregate`` folds over it, each step joining the adjacent pair
 of least rank, leftmost first, until no pair has a rank. The ranks stand in the plan as one literal, an array of small maps
 addressed by the key's hash, so that a look-up is O(1). Decoding concatenates each id's bytes from a literal array.
@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import _CUT, ChunkCoder
-from .shared import map_batches, texts
+from .encoding import _CUT, CACHED_UNITS, ChunkCoder, is_one_piece, units
+from .shared import map_batches, staged, texts
 
-FREQUENT, WORD_CHARS = 1 << 16, 64
+FREQUENT, WORD_CHARS = 1 << 17, 64
 SLOTS = 1 << 16
 
 
@@ -116,20 +116,22 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece by ranked merges, least rank first, leftmost of equals."""
     parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = None, 0
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
+    rank, none = ranks.get, len(ranks) + 1
+    pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while pairs and (least := min(pairs)) != none:
+        at = pairs.index(least)
         parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at < len(pairs):
+            pairs[at] = rank(parts[at] + parts[at + 1], none)
+        if at:
+            pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
     return [ranks[p] for p in parts]
 
 
-def _value(ids: list[int], decoded: bytes) -> tuple[list[int], bytes, bytes]:
-    return ids, b" ".join(b"%d" % i for i in ids), decoded
+def _value(ids: list[int], decoded: bytes) -> tuple[int, bytes, bytes]:
+    """What is kept of a word: number of ids, the ids in decimal, the bytes they decode to."""
+    return len(ids), b" ".join([b"%d" % i for i in ids]), decoded
 
 
 class Encoder:
@@ -140,28 +142,45 @@ class Encoder:
 
     def coder(self) -> ChunkCoder:
         import regex
-        cut = regex.compile(self.pattern)
-        token = {r: k for k, r in self.ranks.items()}
-        done: dict[str, list[int]] = {}
-
-        def encode(chunks: list[str]) -> list[tuple[list[int], bytes, bytes]]:
+        cut, ranks = regex.compile(self.pattern), self.ranks
+        token = {r: k for k, r in ranks.items()}
+        frequent = {w: _value(list(i), bytes(d)) for w, i, d in self.frequent}
+        done: dict[str, tuple[int, bytes, bytes]] = {}
+
+        def of_piece(raw: bytes) -> list[int]:
+            whole = ranks.get(raw)
+            return [whole] if whole is not None else merge(raw, ranks) if len(raw) <= 256 else merge_long(raw, ranks)
+
+        def of_unit(unit: str) -> tuple[int, bytes, bytes]:
+            if is_one_piece(unit):
+                ids = of_piece(unit.encode())
+            else:
+                ids = [i for piece in cut.findall(unit) for i in of_piece(piece.encode())]
+            return _value(ids, b"".join([token[i] for i in ids]))
+
+        def encode(chunks: list[str]) -> list[tuple[int, bytes, bytes]]:
+            if len(done) > CACHED_UNITS:
+                done.clear()
             out = []
             for chunk in chunks:
-                ids: list[int] = []
-                for piece in cut.findall(chunk):
-                    got = done.get(piece)
-                    if got is None:
-                        whole = self.ranks.get(raw := piece.encode())
-                        got = [whole] if whole is not None else merge(raw, self.ranks) if len(raw) <= 256 else merge_long(raw, self.ranks)
-                        if len(piece) <= WORD_CHARS:
-                            if len(done) >= FREQUENT:
-                                done.clear()
-                            done[piece] = got
-                    ids += got
-                out.append(_value(ids, b"".join([token[i] for i in ids])))
+                values = []
+                for u in units(chunk):
+                    v = done.get(u) or (frequent.get(u[1:]) if u[0] == " " else None)
+                    if v is None:
+                        v = of_unit(u)
+                        if len(u) <= WORD_CHARS:
+                            done[u] = v
+                    values.append(v)
+                out.append(values[0] if len(values) == 1 else _joined(values))
             return out
-        coder = ChunkCoder(encode, frequent={w: _value(list(i), bytes(d)) for w, i, d in self.frequent})
-        return coder
+        return ChunkCoder(encode, frequent)
+
+
+def _joined(values: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
+    if not values:
+        return 0, b"", b""
+    n, ids, decoded = zip(*values, strict=True)
+    return sum(n), b" ".join(ids), b"".join(decoded)
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -193,10 +212,23 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[t] for t in token if t is not None]
 
 
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """The words that are frequent enough for at most ``most`` of them to be so: a frequency limit from a histogram of
+    counts (sixteen steps a doubling), not a sort."""
+    words = counts.where(F.length("word").between(1, WORD_CHARS)).withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
+    total, limit = 0, None
+    for r in words.groupBy("step").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("step")).collect():  # 64 * 16 rows at most
+        total += r["k"]
+        if total > most:
+            break
+        limit = r["step"]
+    return words.where(F.lit(False) if limit is None else F.col("step") >= limit).select("word")
+
+
 def make_encoder(docs: DataFrame, ranks_path: str, pattern: str, frequent: int = FREQUENT) -> Encoder:
     ranks = read_ranks(ranks_path)
-    top = (word_counts(docs).where(F.length("word").between(1, WORD_CHARS)).orderBy(F.desc("n"), "word").limit(frequent))
-    rows = encode_words(top.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism), "word"), ranks, pattern)
+    words = frequent_words(staged(word_counts(docs), "word-counts"), frequent)
+    rows = encode_words(words.repartition("word"), ranks, pattern)
     return Encoder(ranks, pattern, [(r["word"], r["ids"], r["decoded"]) for r in rows.collect()])
 
 
@@ -224,9 +256,10 @@ def _map_encoded(docs: DataFrame, encoder: Encoder, make: Callable, schema: str,
 def digest(docs: DataFrame, encoder: Encoder) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of ``docs``."""
     def make(kept: list[pa.Array], values: list[list]) -> pa.RecordBatch:
-        n = [sum(len(ids) for ids, _, _ in v) for v in values]
-        ids = [hashlib.sha256(b" ".join([d for _, d, _ in v])).hexdigest() for v in values]
-        back = [hashlib.sha256(b"".join([b for _, _, b in v])).hexdigest() for v in values]
+        docs = [_joined(v) for v in values]
+        n = [d[0] for d in docs]
+        ids = [hashlib.sha256(d[1]).hexdigest() for d in docs]
+        back = [hashlib.sha256(d[2]).hexdigest() for d in docs]
         return pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(ids), pa.array(back)],
                                           ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     rows = texts(docs).select("doc_id", F.col("body").cast("string").alias("text"))
@@ -236,7 +269,7 @@ def digest(docs: DataFrame, encoder: Encoder) -> DataFrame:
 def encode(docs: DataFrame, encoder: Encoder) -> DataFrame:
     """(doc_id, n_tokens, ids), a row for each row of ``docs``."""
     def make(kept: list[pa.Array], values: list[list]) -> pa.RecordBatch:
-        ids = [[i for part, _, _ in v for i in part] for v in values]
+        ids = [list(map(int, _joined(v)[1].split())) for v in values]
         return pa.RecordBatch.from_arrays([*kept, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
                                           ["doc_id", "n_tokens", "ids"])
     rows = texts(docs).select("doc_id", F.col("body").cast("string").alias("text"))

@@ -10,16 +10,22 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from array import array
+from collections.abc import Callable
 
-import numpy as np
-
-#: Cached chunks of one Python worker, and the longest chunk that is kept.
-CACHED, CACHED_CHARS = 300_000, 200
+#: Cached chunks and units of one Python worker, and the longest that is kept.
+CACHED, CACHED_UNITS, CACHED_CHARS = 250_000, 150_000, 200
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Odd:
+    """Stands for a chunk beside which no cut is allowed."""
+
+
+ODD = _Odd()
+
+
 class ChunkCoder:
     """``encode`` maps chunks to values (any objects); ``values`` gives a text's values in order."""
 
@@ -31,54 +37,139 @@ class ChunkCoder:
         #: what a first chunk gives, which has no space before it
         self.first: dict[str, object] = {}
 
-    def _parts(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        for w in parts:
-            if not w or w[0].isspace() or w[-1].isspace():
-                return _CUT.split(text)
-        return parts
+    def _look_up(self, split: list[list[str]]) -> list[list]:
+        out = []
+        missing: dict[str, list[tuple[list, int]]] = {}
+        heads: dict[str, list[tuple[list, int]]] = {}
+        get = self.known.get
+        for parts in split:
+            values = list(map(get, parts))
+            if parts:
+                head = self.first.get(parts[0])
+                values[0] = head
+                if head is None:
+                    heads.setdefault(parts[0], []).append((values, 0))
+                if None in values:
+                    for k, v in enumerate(values):
+                        if v is None and k:
+                            missing.setdefault(parts[k], []).append((values, k))
+            out.append(values)
+        self._fill(missing, " ", self.known)
+        self._fill(heads, "", self.first)
+        return out
+
+    def _fill(self, missing: dict[str, list[tuple[list, int]]], before: str, known: dict[str, object]) -> None:
+        """Encodes the missing chunks and puts them where they are missing; ODD where a cut beside the chunk is not allowed."""
+        plain = [w for w in missing if w and not w[0].isspace() and not w[-1].isspace()]
+        values = self.encode([before + w for w in plain])
+        for w, value in zip(plain, values, strict=True):
+            if len(w) <= CACHED_CHARS:
+                known[w] = value
+            for at, k in missing[w]:
+                at[k] = value
+        if len(plain) < len(missing):
+            for w in missing.keys() - set(plain):
+                for at, k in missing[w]:
+                    at[k] = ODD
 
     def values(self, texts: list[str]) -> list[list]:
-        split = [self._parts(t) if t else [] for t in texts]
-        known, first = self.known, self.first
-        if len(known) > CACHED + len(self.frequent):
-            known.clear()
-            known.update(self.frequent)
-        if len(first) > CACHED:
-            first.clear()
-        new = list({w for p in split for w in p[1:] if w not in known})
-        known.update(zip(new, self.encode([" " + w for w in new]), strict=True))
-        heads = list({p[0] for p in split if p and p[0] not in first})
-        first.update(zip(heads, self.encode(heads), strict=True))
-        get = known.__getitem__
-        out = [[first[p[0]], *map(get, p[1:])] if p else [] for p in split]
-        for w in new:
-            if len(w) > CACHED_CHARS:
-                del known[w]
-        for w in heads:
-            if len(w) > CACHED_CHARS:
-                del first[w]
+        if len(self.known) > CACHED + len(self.frequent):
+            self.known.clear()
+            self.known.update(self.frequent)
+        if len(self.first) > CACHED:
+            self.first.clear()
+        out = self._look_up([t.split(" ") if t else [] for t in texts])
+        for i, values in enumerate(out):
+            if ODD in values:  # a space beside other white space: cut with care
+                parts = _CUT.split(texts[i])
+                out[i] = self.encode([parts[0], *(" " + w for w in parts[1:])])
         return out
 
 
+#: ASCII punctuation that may end a chunk.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def units(chunk: str) -> list[str]:
+    """Cuts a chunk where the pattern always cuts: around a line feed between characters that aren't white space, and
+    between a letter or number and the punctuation that ends the chunk."""
+    if chunk.isalpha() or chunk[1:].isalpha():
+        return [chunk]
+    out = []
+    lines = chunk.split("\n")
+    if len(lines) > 1 and not all(x and not x[-1].isspace() and (k == 0 or not x[0].isspace()) for k, x in enumerate(lines)):
+        lines = [chunk]
+    for k, line in enumerate(lines):
+        if k:
+            out.append("\n")
+        core = line.rstrip(_MARKS)
+        if core and len(core) < len(line) and core[-1].isalnum():
+            out += (core, line[len(core):])
+        else:
+            out.append(line)
+    return out
+
+
+def _byte_chars() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable Latin-1 ones for themselves, the others in order
+    from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_CHARS = _byte_chars()
+#: Below this character all Unicode versions agree what a letter is.
+_LATIN_END = "\u0370"
+
+def is_one_piece(unit: str) -> bool:
+    """Whether a unit is letters, with or without a space before them: one piece of the pattern."""
+    return (unit[1:] if unit[0] == " " else unit).isalpha() and max(unit) < _LATIN_END
+
+
 _CODERS: dict[str, ChunkCoder] = {}
 
 
 def library_coder(path: str) -> ChunkCoder:
-    """Chunk -> ids as little-endian unsigned 32-bit bytes, by the tokenizers library; kept for the worker's next tasks."""
+    """Chunk -> ids as (little-endian) unsigned 32-bit bytes, by the tokenizers library; kept for the worker's next tasks."""
     if path not in _CODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+        merges = tokenizer.model.tokenize
+        done: dict[str, bytes] = {}
+
         def encode(chunks: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            if len(done) > CACHED_UNITS:
+                done.clear()
+            out, rest = [], []
+            for chunk in chunks:
+                values = []
+                for u in units(chunk):
+                    v = done.get(u)
+                    if v is None:
+                        if is_one_piece(u):  # straight to the merges
+                            piece = u.encode().decode("latin-1").translate(_BYTE_CHARS)
+                            v = array("I", [t.id for t in merges(piece)]).tobytes()
+                            if len(u) <= CACHED_CHARS:
+                                done[u] = v
+                        else:
+                            rest.append((u, values, len(values)))
+                    values.append(v)
+                out.append(values)
+            ids = tokenizer.encode_batch_fast([u for u, _, _ in rest], add_special_tokens=False)
+            for (u, values, k), e in zip(rest, ids, strict=True):
+                values[k] = array("I", e.ids).tobytes()
+                if len(u) <= CACHED_CHARS:
+                    done[u] = values[k]
+            return [v[0] if len(v) == 1 else b"".join(v) for v in out]
         _CODERS[path] = ChunkCoder(encode)
     return _CODERS[path]
 
 
 def encode_texts(path: str, texts: list[str], end: int) -> list[bytes]:
     """Each text's ids with ``end`` after them, as little-endian unsigned 32-bit bytes."""
-    close = np.array([end], "<u4").tobytes()
+    close = array("I", [end]).tobytes()
     return [b"".join(v) + close for v in library_coder(path).values(texts)]

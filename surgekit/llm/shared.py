@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import delete_at_exit, scratch_path
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of one Arrow batch. Texts of a batch are cut again by bytes (``byte_chunks``), so this bounds what a
@@ -58,10 +58,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the shared checkpoint folder and read back: lineage ends here, a lost
-    executor rereads the files, and every later branch sees the same rows."""
+    executor rereads the files, and every later branch sees the same rows. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{scratch_path(spark, f'llm-{name}')}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
