@@ -9,8 +9,8 @@ first n - ceil(2 num/(num+den) * n) + 1 of the smaller one.
 2. *Sets.* Equal sets become one node, which keeps its least doc_id. Nodes give prefix rows (shingle, node, size, place).
    Rows are range-sorted by shingle, and those without an equal neighbour are dropped.
 3. *Links.* Only connected components are asked for, so a pair whose nodes are already connected is not compared again.
-   First each row meets the pivots (least node) of its shingle and of its size band and the band below: a group of k near
-   copies costs about k comparisons. Then, in shingles whose nodes still lie in several components, all pairs across
+   First each row meets the pivots (least place in its prefix) of its shingle and of its size band and the band below: a
+   group of k near copies costs about k comparisons. Then, in shingles whose nodes still lie in several components, all pairs across
    components meet, so no link is lost. Pairs pass the length filter, the positional filter, and a suffix filter (the
    overlap is at most the sum over ``CLASSES`` hash classes of the smaller class size); each pair that remains is verified
    once, on the two texts' full sets.
@@ -41,7 +41,7 @@ from .shared import byte_chunks, map_batches, staged, texts
 
 BUCKET_BITS, SLICES = 20, 64
 FAN_IN = 64
-CLASSES = 32
+CLASSES = 64
 
 
 def prefix_sizes(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,30 +171,39 @@ def _distinct_pairs(met: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Each row with the pivots of its shingle in its own size band and the one below."""
+    """Each row with the pivots of its shingle in its own size band and the one below. The pivot is the row whose set has the
+    fewest rarer shingles: of a group of near copies the one closest to all others."""
     banded = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num) if num < den else F.lit(2.0))))
-    pivots = banded.groupBy("token", "band").agg(F.min(F.struct("node", "n", "pos", "short")).alias("p"), F.count(F.lit(1)).alias("k"))
+    pivots = banded.groupBy("token", "band").agg(F.min(F.struct("pos", "node", "n", "short")).alias("p"))
     pivots = pivots.select("token", "band", *(F.col(f"p.{c}").alias(f"y_{c}") for c in ("node", "n", "pos", "short")))
     asked = _side(banded, "x", "token", "band").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     return _distinct_pairs(asked.join(pivots, ["token", "band"]).where("x_node != y_node").where(_may_link(num, den)))
 
 
-def _open_pairs(rows: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs across components in the shingles that several components share."""
+def _open_pairs(rows: DataFrame, nodes: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs across components in the shingles that several components share. All three filters stand in the join's
+    condition, so a large group of texts that nearly link makes comparisons in the join, but no rows."""
     placed = (rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("token")
-    placed = staged(placed.join(mixed, "token"), "open-shingles")
-    x, y = _side(placed, "x", "token", "component"), _side(placed, "y", "token", "component").withColumnRenamed("component", "other")
-    met = x.join(y, "token").where("component != other and x_node < y_node").where(_may_link(num, den))
+    placed = staged(placed.join(mixed, "token").join(nodes.select("node", "classes"), "node"), "open-shingles")
+    x = _side(placed, "x", "token", "component", "classes").withColumnRenamed("classes", "x_c")
+    y = (_side(placed, "y", "token", "component", "classes").withColumnRenamed("classes", "y_c")
+         .withColumnRenamed("component", "other"))
+    met = x.join(y, "token").where("component != other and x_node < y_node").where(_may_link(num, den) & _classes_allow(num, den))
     return _distinct_pairs(met)
 
 
+def _classes_allow(num: int, den: int) -> Column:
+    """Suffix filter: the overlap is at most the sum of the smaller class sizes."""
+    most = F.aggregate(F.zip_with("x_c", "y_c", lambda a, b: F.least(a, b)), F.lit(0), lambda s, k: s + k)
+    return most >= _needed(F.col("x_n"), F.col("y_n"), num, den)
+
+
 def _suffix_filter(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     side = nodes.select("node", "n", "classes")
     x = side.select(F.col("node").alias("u"), F.col("n").alias("x_n"), F.col("classes").alias("x_c"))
     y = side.select(F.col("node").alias("v"), F.col("n").alias("y_n"), F.col("classes").alias("y_c"))
-    most = F.aggregate(F.zip_with("x_c", "y_c", lambda a, b: F.least(a, b)), F.lit(0), lambda s, k: s + k)
-    return (pairs.join(x, "u").join(y, "v").where(most >= _needed(F.col("x_n"), F.col("y_n"), num, den)).select("u", "v"))
+    return pairs.join(x, "u").join(y, "v").where(_classes_allow(num, den)).select("u", "v")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -258,7 +267,7 @@ def _classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
         return staged(_verified(pairs, staged(bodies, f"{name}-texts"), size, num, den), f"{name}-links")
     first = links(_pivot_pairs(met, num, den), "pivot")
     labels = staged(components(first), "pivot-components")
-    second = links(_open_pairs(met, labels, num, den), "open")
+    second = links(_open_pairs(met, nodes, labels, num, den), "open")
     labels = components(first.unionByName(second))
     placed = nodes.select("s1", "s2", "node", "least", "text").join(labels, "node", "left")
     return named, staged(placed.withColumn("component", F.coalesce("component", "node")), "placed-nodes")
