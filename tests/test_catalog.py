@@ -17,7 +17,7 @@ FAST = ["c01_enhanced_items", "c03_fact_item_performance", "a01_owner_summary",
         "t01_due_queue", "t11_recent_k_per_owner", "i03_apply_run_results", "i10_quota_gate", "c04_viral_label",
         "c07_owner_labels_by_group", "c08_zscore_labels", "c15_feature_matrix", "a09_percentile_profile",
         "m14_owner_features", "a20_group_stats", "w05_within_group_percentile", "w03_time_split",
-        "q10_quality_suite", "st1_stream_daily_rollup", "st4_stream_hwm_ingest", "st5_stream_early_signals_additive", "f18_url_keys", "p19_flatten_comments"]
+        "q10_quality_suite", "st1_stream_daily_rollup", "st4_stream_hwm_ingest", "st5_stream_early_signals_additive", "f18_url_keys", "p19_stg_comments", "c18_c26_scored_items", "a25_failed_runs"]
 ALL = os.environ.get("SURGEKIT_TEST_ALL") == "1"
 
 
