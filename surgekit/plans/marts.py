@@ -9,8 +9,9 @@ Scale notes
   hot owner partition on the streamed side).
 * C02 and C03 are projections on C01: the fact table does not re-join the metrics view to the view
   it was computed from (one scan, no self-join).
-* A01/A03 are hash aggregates with partial (map-side) aggregation, so a hot owner holding a third
-  of all rows is pre-combined in every task before the shuffle.
+* A01/A03 aggregate above the owner join. Alone, Spark would reuse the join's partitioning and leave a hot owner in one
+  task; ``session.configure`` forces the skew split of the join, after which the aggregate gets an exchange of its own and
+  pre-combines the hot owner's rows in the split tasks.
 """
 
 from __future__ import annotations
