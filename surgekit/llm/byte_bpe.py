@@ -21,11 +21,12 @@ import base64
 import hashlib
 import json
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import _CUT, CACHED_UNITS, ChunkCoder, is_one_piece, units
@@ -43,19 +44,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class RankLiteral:
     """The rank map as literals of a plan: ranks by hex key, and keys by rank."""
 
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
-        rows = spark.createDataFrame([(k.hex().upper(), r) for k, r in ranks.items()], "k string, r int")
+    def __init__(self, ranks: dict[bytes, int]):
         slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
-        for k, r, slot in rows.select("k", "r", F.pmod(F.hash("k"), F.lit(SLOTS))).collect():  # bounded by the vocabulary
-            slots[slot][k] = r
         keys: list[str | None] = [None] * (max(ranks.values()) + 1)
-        for k, r in ranks.items():
-            keys[r] = k.hex().upper()
+        for token, r in ranks.items():
+            k = token.hex().upper()
+            keys[r] = k
+            slots[zlib.crc32(k.encode()) % SLOTS][k] = r
         self._slots = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
         self._keys = F.from_json(F.lit(json.dumps(keys, separators=(",", ":"))), "array<string>")
 
     def rank(self, key: Column) -> Column:
-        return F.try_element_at(F.get(self._slots, F.pmod(F.hash(key), F.lit(SLOTS))), key)
+        return F.try_element_at(F.get(self._slots, (F.crc32(key.cast("binary")) % SLOTS).cast("int")), key)
 
     def key(self, rank: Column) -> Column:
         return F.get(self._keys, rank)
@@ -105,7 +105,7 @@ def _chunks(text: str) -> list[str]:
 def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(word, ids, decoded) of distinct words, each with the space before it, by higher-order functions. Words with a
     character that the JVM's Unicode tables don't know are left out."""
-    literal = RankLiteral(words.sparkSession, ranks)
+    literal = RankLiteral(ranks)
     known = words.where(~F.col("word").rlike(r"\p{Cn}"))
     pieces = F.regexp_extract_all(F.concat(F.lit(" "), F.col("word")), F.lit("(?U)" + pattern), F.lit(0))
     ids = F.flatten(F.transform(pieces, lambda p: merge_piece(p, literal)))
@@ -135,16 +135,17 @@ def _value(ids: list[int], decoded: bytes) -> tuple[int, bytes, bytes]:
 
 
 class Encoder:
-    """What tasks get: the rank map, the pattern and the frequent words' finished values."""
+    """What tasks get: the rank map, the pattern and the frequent words' finished values (word, ids, decoded)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, frequent: list[tuple[str, list[int], bytes]]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, frequent: pa.Table):
         self.ranks, self.pattern, self.frequent = ranks, pattern, frequent
 
     def coder(self) -> ChunkCoder:
         import regex
         cut, ranks = regex.compile(self.pattern), self.ranks
         token = {r: k for k, r in ranks.items()}
-        frequent = {w: _value(list(i), bytes(d)) for w, i, d in self.frequent}
+        frequent = {w.as_py(): _value(i.as_py(), d.as_py()) for w, i, d in zip(
+            *(self.frequent.column(c) for c in ("word", "ids", "decoded")), strict=True)}
         done: dict[str, tuple[int, bytes, bytes]] = {}
 
         def of_piece(raw: bytes) -> list[int]:
@@ -228,8 +229,7 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
 def make_encoder(docs: DataFrame, ranks_path: str, pattern: str, frequent: int = FREQUENT) -> Encoder:
     ranks = read_ranks(ranks_path)
     words = frequent_words(staged(word_counts(docs), "word-counts"), frequent)
-    rows = encode_words(words.repartition("word"), ranks, pattern)
-    return Encoder(ranks, pattern, [(r["word"], r["ids"], r["decoded"]) for r in rows.collect()])
+    return Encoder(ranks, pattern, encode_words(words.repartition("word"), ranks, pattern).toArrow())
 
 
 _CODER: list = [None, None]

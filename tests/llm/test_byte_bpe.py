@@ -25,7 +25,7 @@ def test_ids_and_round_trip(spark, library, frequent):
     rows = [(i, t, "x") for i, t in enumerate(ALL)] + [(None, "null id", None), (3, "a", None)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     encoder = byte_bpe.make_encoder(docs, RANKS, PATTERN, frequent)
-    assert len(encoder.frequent) == min(frequent, len(encoder.frequent)) and (frequent == 0) == (not encoder.frequent)
+    assert len(encoder.frequent) <= frequent and (frequent < 10_000 or len(encoder.frequent) > 20)
     want = sorted((i is not None, i or 0, len(ids := library(t or "")), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
                    hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows)
     got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"])
