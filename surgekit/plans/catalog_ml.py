@@ -137,5 +137,5 @@ def q_m18(spark, sf):
     from ..session import checkpoint_dir
     from .training import owner_report, train_owner_system
     root = os.path.join(checkpoint_dir(spark), "models", f"owner-{uuid.uuid4().hex[:10]}")
-    info = train_owner_system(spark, sf, root, "v1", k_folds=2)
+    info = train_owner_system(spark, sf, root, "v1")
     return owner_report(spark, sf, f"{root}/v1", info["cluster_stats"])

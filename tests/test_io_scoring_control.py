@@ -115,7 +115,7 @@ def test_classifier_choice_and_probabilities(spark):
     rows = [(float(i % 7), float(i % 5), int((i % 7) > 3), i) for i in range(60)]
     df = spark.createDataFrame(rows, "a double, b double, y int, k long")
     best, scores = M.choose_classifier(df, ["a", "b"], "y", "k", k=2)
-    assert best in scores and set(scores) == {"random_forest", "logistic_regression", "linear_svm"}
+    assert best in scores and set(scores) == {"random_forest", "logistic_regression", "linear_svm", "majority"}
     for algo in ("linear_svm", "logistic_regression"):
         p = M.classifier_probability(M.fit_classifier(df, ["a", "b"], "y", algo).transform(df))
         lo, hi = p.agg(F.min("p"), F.max("p")).first()
