@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import attach_scalars
 from .encoding import _CUT, CACHED_UNITS, ChunkCoder, is_one_piece, units
 from .shared import map_batches, staged, texts
 
@@ -42,7 +43,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankLiteral:
-    """The rank map as literals of a plan: ranks by hex key, and keys by rank."""
+    """The rank map as a one-row table that ``attached`` gives to rows by scalar subquery: evaluated once and then a literal of
+    the running plan, but not a text of several megabytes in every description of it. ``_slots`` holds ranks by hex
+    key, ``_keys`` the keys by rank."""
 
     def __init__(self, ranks: dict[bytes, int]):
         slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
@@ -51,14 +54,20 @@ class RankLiteral:
             k = token.hex().upper()
             keys[r] = k
             slots[zlib.crc32(k.encode()) % SLOTS][k] = r
-        self._slots = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
-        self._keys = F.from_json(F.lit(json.dumps(keys, separators=(",", ":"))), "array<string>")
+        self._json = json.dumps(slots, separators=(",", ":")), json.dumps(keys, separators=(",", ":"))
 
-    def rank(self, key: Column) -> Column:
-        return F.try_element_at(F.get(self._slots, (F.crc32(key.cast("binary")) % SLOTS).cast("int")), key)
+    def attached(self, words: DataFrame) -> DataFrame:
+        row = words.sparkSession.createDataFrame([self._json], "slots string, keys string")
+        return attach_scalars(words, row.select(F.from_json("slots", "array<map<string,int>>").alias("_slots"),
+                                                F.from_json("keys", "array<string>").alias("_keys")))
 
-    def key(self, rank: Column) -> Column:
-        return F.get(self._keys, rank)
+    @staticmethod
+    def rank(key: Column) -> Column:
+        return F.try_element_at(F.get(F.col("_slots"), (F.crc32(key.cast("binary")) % SLOTS).cast("int")), key)
+
+    @staticmethod
+    def key(rank: Column) -> Column:
+        return F.get(F.col("_keys"), rank)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -109,8 +118,8 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
     known = words.where(~F.col("word").rlike(r"\p{Cn}"))
     pieces = F.regexp_extract_all(F.concat(F.lit(" "), F.col("word")), F.lit("(?U)" + pattern), F.lit(0))
     ids = F.flatten(F.transform(pieces, lambda p: merge_piece(p, literal)))
-    return (known.select("word", ids.alias("ids"))
-            .withColumn("decoded", F.unhex(F.array_join(F.transform("ids", literal.key), ""))))
+    return (literal.attached(known.select("word")).withColumn("ids", ids)
+            .withColumn("decoded", F.unhex(F.array_join(F.transform("ids", literal.key), ""))).select("word", "ids", "decoded"))
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
