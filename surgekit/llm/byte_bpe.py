@@ -35,6 +35,8 @@ from .shared import map_batches, staged, texts
 
 FREQUENT, WORD_CHARS = 1 << 17, 64
 SLOTS = 1 << 16
+#: Tasks that fold the frequent words: an explicit count, since by its bytes so small a table would become one task.
+FOLD_TASKS = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -238,7 +240,7 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
 def make_encoder(docs: DataFrame, ranks_path: str, pattern: str, frequent: int = FREQUENT) -> Encoder:
     ranks = read_ranks(ranks_path)
     words = frequent_words(staged(word_counts(docs), "word-counts"), frequent)
-    return Encoder(ranks, pattern, encode_words(words.repartition("word"), ranks, pattern).toArrow())
+    return Encoder(ranks, pattern, encode_words(words.repartition(FOLD_TASKS, "word"), ranks, pattern).toArrow())
 
 
 _CODER: list = [None, None]
