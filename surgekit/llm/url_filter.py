@@ -6,8 +6,8 @@ are given, the judged urls with weak labels: the rule's verdict, else block for
 allow. Features: lengths of url, host, path and query, depth, digit ratio,
 character entropy, parameter and hyphen counts, host labels, an IP-like host, and suffix statistics: the smoothed block
 rate and the log count of the url's last one, two and three host labels among the labelled urls. Fitting uses at
-most ``FIT_ROWS`` labelled urls in hash order; scoring is a map over all rows (the suffix statistics hold at most
-``SUFFIXES`` suffixes, the most frequent ones, so they are broadcast; others count as unseen).
+most ``FIT_ROWS`` labelled urls in hash order. The suffix statistics hold every suffix; they are joined to the distinct
+hosts, and the hosts to the rows, by plain equi-joins, so that the rows are shuffled once.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no rule and a verdict from the method; empty
 host or path parts stay empty; ports and user names count as part of the host; repeated rows are judged each; with labels
@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIT_ROWS, SUFFIXES = 20_000, 10_000
+FIT_ROWS = 20_000
 TREES, DEPTH = 20, 4
 SMOOTH = 5.0
 
@@ -86,16 +86,18 @@ def with_features(df: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(labelled: DataFrame, level: int) -> DataFrame:
-    """(suffix, block rate drawn towards one half, log count) of the most frequent suffixes of labelled urls."""
+    """(suffix, block rate drawn towards one half, log count) of every suffix of labelled urls."""
     key = f"suffix_{level}"
-    return (labelled.groupBy(key).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(SUFFIXES)
+    return (labelled.groupBy(key).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
             .select(key, ((F.col("b") + SMOOTH / 2) / (F.col("n") + SMOOTH)).alias(f"rate_{level}"), F.log1p("n").alias(f"seen_{level}")))
 
 
 def _with_suffixes(df: DataFrame, stats: list[DataFrame]) -> DataFrame:
+    """Adds the statistics of the three suffixes; those of a suffix without labelled urls are 0.5 and 0."""
+    hosts = df.select("host", "suffix_1", "suffix_2", "suffix_3").distinct()
     for level, s in enumerate(stats, 1):
-        df = df.join(F.broadcast(s), f"suffix_{level}", "left").fillna({f"rate_{level}": 0.5, f"seen_{level}": 0.0})
-    return df
+        hosts = hosts.join(s, f"suffix_{level}", "left").fillna({f"rate_{level}": 0.5, f"seen_{level}": 0.0})
+    return df.join(hosts.drop("suffix_1", "suffix_2", "suffix_3"), "host", "left")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None,
@@ -110,7 +112,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFra
         known = with_parts(labelled.select("url", F.col("label").cast("double").alias("label")).where("label is not null"))
     known = with_features(known.select("url", "__rest", "host", "path", "label"))
     stats = [suffix_statistics(known, level) for level in (1, 2, 3)]
-    sample = (_with_suffixes(known, stats).orderBy(F.xxhash64("url", F.lit(5)), "url").limit(fit_rows)
+    order = [F.xxhash64("url", F.lit(5)), F.col("url")]
+    sample = (_with_suffixes(known.orderBy(*order).limit(fit_rows), stats).orderBy(*order).limit(fit_rows)
               .select("label", *FEATURES))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = vector.transform(sample).select("label", "features")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from surgekit.llm import quality_pu, text_features, toxicity, url_filter
 from surgekit.llm.queries import URL_RULES
@@ -139,3 +140,13 @@ def test_trees_learn_from_given_labels(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(bad[150:] + good[150:])], "page_id long, url string")
     got = {p["page_id"]: p["verdict"] for p in url_filter.judge(pages, [], labelled).collect()}
     assert sum(got[i] == ("block" if i < 50 else "allow") for i in got) > 95
+
+
+def test_every_suffix_has_its_statistics(spark):
+    n = 10_050
+    labelled = spark.range(n).select(F.format_string("http://h%05d.example/", "id").alias("url"), F.lit(1.0).alias("label"))
+    known = url_filter.with_features(url_filter.with_parts(labelled))
+    stats = [url_filter.suffix_statistics(known, level) for level in (1, 2, 3)]
+    got = url_filter._with_suffixes(known, stats)
+    assert stats[1].count() == n and got.count() == n
+    assert got.where("seen_2 = 0 or seen_3 = 0 or rate_2 = 0.5").count() == 0
