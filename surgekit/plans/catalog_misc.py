@@ -215,10 +215,10 @@ def q_p18(spark, sf):
 def q_m05(spark, sf):
     """M05 batch scoring + C18–C22, C24–C26, F24 and S15 report JSON per scored item."""
     from ..operators import ml as M
-    from .catalog_ml import _train_test
+    from .catalog_ml import _train_test, best_map
     b = base(spark, sf)
     feats, train, test = _train_test(spark, sf)
-    model = M.gbt_pipeline(feats, "is_viral", maxIter=15, maxDepth=4).fit(train)
+    model = M.gbt_pipeline(feats, "is_viral", **best_map(train, feats)).fit(train)
     scored = M.positive_probability(model.transform(test), out="probability").select("video_id", "probability")
     items = b["fact"].select("video_id", "channel_id", "view_count", "like_count", "comment_count",
                              F.col("avg_views_per_day").alias("_vpd"), "published_at")

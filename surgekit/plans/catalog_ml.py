@@ -14,6 +14,7 @@ from ..operators import labels as L
 from ..operators import ml as M
 from ..operators import ordering as O
 from ..operators.tables import attach_scalars
+from ..session import materialize
 from .catalog import base, register
 from .catalog_features import FM_WITH, matrix
 
@@ -43,11 +44,18 @@ def _train_test(spark, sf, exclude_label_inputs: bool = False):
     return feats, train, test
 
 
+def best_map(train, feats) -> dict:
+    """The parameter map chosen on the validation split among all maps of the search."""
+    tr = materialize(M.with_class_weight(train.where(F.col("split") == "train").drop("weight"), "is_viral"))
+    return M.tune_gbt(tr, materialize(train.where(F.col("split") == "val")), feats, "is_viral")[0]
+
+
 @register("m01_gbt_test_scores")
 def q_m01(spark, sf):
     """M01 + M05: class-weighted GBT on train+val, batch scores of the held-out latest 15 %."""
     feats, train, test = _train_test(spark, sf)
-    model = M.gbt_pipeline(feats, "is_viral", maxIter=20, maxDepth=4).fit(train)
+    best = best_map(train, feats)
+    model = M.gbt_pipeline(feats, "is_viral", **best).fit(train)
     return M.positive_probability(model.transform(test)).select("video_id", "is_viral", "p_viral", "prediction")
 
 
@@ -60,9 +68,10 @@ def q_m03(spark, sf):
         feats, train, test = _train_test(spark, sf, excl)
         tr = train.where(F.col("split") == "train")
         val = train.where(F.col("split") == "val")
-        model = M.gbt_pipeline(feats, "is_viral", maxIter=20, maxDepth=4).fit(tr)
+        best = best_map(train, feats)
+        model = M.gbt_pipeline(feats, "is_viral", **best).fit(tr)
         thr = M.f1_optimal_threshold(M.positive_probability(model.transform(val)), "is_viral")
-        final = M.gbt_pipeline(feats, "is_viral", maxIter=20, maxDepth=4).fit(train)
+        final = M.gbt_pipeline(feats, "is_viral", **best).fit(train)
         scored = M.positive_probability(final.transform(test))
         r = attach_scalars(M.binary_metrics(scored, "is_viral", threshold=0.5), thr) \
             .withColumn("exclude_label_inputs", F.lit(excl))
@@ -74,7 +83,8 @@ def q_m03(spark, sf):
 def q_t08(spark, sf):
     """T08 / M10 top-20 GBT feature importances."""
     feats, train, _ = _train_test(spark, sf)
-    model = M.gbt_pipeline(feats, "is_viral", maxIter=20, maxDepth=4).fit(train)
+    best = best_map(train, feats)
+    model = M.gbt_pipeline(feats, "is_viral", **best).fit(train)
     return M.importances(model, feats, 20)
 
 
@@ -113,7 +123,8 @@ def q_m13(spark, sf):
     b = base(spark, sf)
     z = L.zscore_labels(b["engagement"], "2001-08-02").select("video_id", "time_window_label")
     feats, train, test = _train_test(spark, sf)
-    b1 = M.gbt_pipeline(feats, "is_viral", maxIter=20, maxDepth=4).fit(train)
+    best = best_map(train, feats)
+    b1 = M.gbt_pipeline(feats, "is_viral", **best).fit(train)
     tr2 = M.with_balanced_weight(train.join(z, "video_id"), "time_window_label", "w2")
     idx = StringIndexer(inputCol="time_window_label", outputCol="_y", stringOrderType="alphabetAsc")
     va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")

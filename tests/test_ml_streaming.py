@@ -103,3 +103,40 @@ def test_high_water_mark_batches_can_be_replayed(spark, tmp_path):
     got = sorted((r["batch"], r["k"], str(r["ts"])[:10]) for r in spark.read.parquet(out).collect())
     assert got == [(0, 1, "2024-01-01"), (0, 1, "2024-01-03"), (0, 2, "2024-01-02"), (1, 1, "2024-01-04"), (1, 3, "2024-01-01"),
                    (2, 2, "2024-01-05"), (2, 3, "2024-01-02")]
+
+
+def test_search_covers_the_reference_ranges():
+    maps = M.random_param_maps(50)
+    assert len(maps) == 50 and all(200 <= m["maxIter"] <= 1500 and 3 <= m["maxDepth"] <= 9 for m in maps)
+    assert max(m["maxIter"] for m in maps) > 1000 and max(m["maxDepth"] for m in maps) == 9
+    assert M.best_round([3, 2, 1, 2, 2, 0], 2) == (3, True) and M.best_round([3, 2, 1, 2, 0], 3) == (5, False)
+
+
+def test_all_maps_are_tried_with_early_stop_on_rounds(spark, monkeypatch):
+    rows = [(i, float(i % 7), float(i % 5), int(i % 7 > 3), 1.0) for i in range(80)]
+    d = spark.createDataFrame(rows, "k long, a double, b double, y int, weight double").coalesce(1).cache()
+    train, val = d.where("k < 60"), d.where("k >= 60")
+    maps = [{"maxIter": 6, "maxDepth": 2, "stepSize": s, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9",
+             "minInstancesPerNode": 1} for s in (0.3, 0.2, 0.1)]
+    tried, real = [], M.early_stopped_rounds
+    monkeypatch.setattr(M, "FIRST_ROUNDS", 2)
+    monkeypatch.setattr(M, "random_param_maps", lambda n, seed: maps[:n])
+    monkeypatch.setattr(M, "early_stopped_rounds", lambda *a: tried.append(real(*a)) or tried[-1])
+    best, auc = M.tune_gbt(train, val, ["a", "b"], "y", 3)
+    assert len(tried) == 3 and all(1 <= r <= 6 for r in tried) and best in maps and 0.5 <= auc <= 1.0
+
+
+def test_clusters_keep_the_cheapest_start(spark):
+    rows = [(float(10 * (i % 4) + (i * 7 % 3) / 10), float(5 * (i % 3))) for i in range(60)]
+    d = spark.createDataFrame(rows, "a double, b double").coalesce(1)
+    seeds, real = [], M.KMeans
+
+    def counted(**kw):
+        seeds.append((kw["k"], kw["seed"]))
+        return real(**kw)
+    M.KMeans = counted
+    try:
+        _, k, sil = M.fit_clusters(d, ["a", "b"], k_max=2)
+    finally:
+        M.KMeans = real
+    assert k == 2 and -1 <= sil <= 1 and len(set(seeds)) == M.FINAL_STARTS
