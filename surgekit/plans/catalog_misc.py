@@ -286,12 +286,14 @@ def _match_inputs(spark, sf):
     q = s.select(k.alias("query_id"), F.when(k % 3 == 0, F.concat(F.lit("CUSTOMER#"), F.lpad((k * 5 + 2).cast("string"), 9, "0")))
                  .when(k % 3 == 1, F.lpad((k * 5 + 3).cast("string"), 9, "0"))
                  .otherwise(F.concat(F.lit("zz"), k.cast("string"))).alias("query_text"))
-    # each query's search returns the 5 consecutive customer keys from 5 * id (ranked 1..5)
+    # each query's search returns the 5 consecutive customer keys from 5 * id (ranked 1..5); every other customer whose name
+    # holds the text follows them
     ranked = q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("_i")) \
         .withColumn("cand_id", F.col("query_id") * 5 + F.col("_i")).withColumn("cand_rank", F.col("_i") + 1)
     cust = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("cand_id"), F.col("c_name").alias("cand_name"))
     cand = ranked.join(cust, "cand_id").select("query_id", "cand_id", "cand_name", "cand_rank")
-    return q, cand
+    found = TB.first_containing(q, cust, "query_id", "query_text", "cand_id", "cand_name")
+    return q, cand.unionByName(found.withColumn("cand_rank", F.lit(6)))
 
 
 @register("j12_entity_match", "WITH " + _MATCH_SQL.strip() + """

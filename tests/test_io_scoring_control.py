@@ -141,3 +141,21 @@ def test_lookup_first_and_display_cleanup(spark):
     raw = spark.createDataFrame([("a", "10"), ("", "5"), (None, "7"), ("b", "x"), ("c", "3")], "id string, subs string")
     out = [(r["id"], r["subs"]) for r in IO.clean_for_display(raw, "id", ["subs"], "subs").collect()]
     assert out == [("a", 10), ("c", 3), ("b", 0)]
+
+
+def test_every_customer_is_a_candidate(spark):
+    names = ["Ann Lee", "Bo", None, "annex", "LEE"]
+    ents = spark.createDataFrame(list(enumerate(names)), "cid long, name string")
+    q = spark.createDataFrame([(1, "LEE"), (2, "an"), (3, "zz"), (4, None), (5, "ann lee, of a name too long"), (6, "")], "qid long, q string")
+    got = {r["qid"]: r["cid"] for r in TB.first_containing(q, ents, "qid", "q", "cid", "name").collect()}
+    assert got == {1: 0, 2: 0, 6: 0}
+    assert TB.first_containing(q.where("qid = 4"), ents, "qid", "q", "cid", "name").count() == 0
+
+
+def test_match_outside_the_key_window(spark, tmp_path):
+    from surgekit.plans.catalog_misc import q_j12
+    spark.createDataFrame([(3,), (4,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(15, "Customer#000000015"), (999, "Customer#000000017"), (20, "Customer#000000020")],
+                          "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r["query_id"]: (r["matched_id"], r["match_kind"]) for r in q_j12(spark, str(tmp_path)).collect()}
+    assert got == {3: (999, "matched"), 4: (20, "first_result")}
