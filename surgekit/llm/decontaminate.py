@@ -4,8 +4,8 @@ Texts and items are normalised (A-Z lower-cased, runs of white space as one spac
 by e = floor(``RATE`` * m) edits, less where needed so that the lemma has something to count: a passage within e edits shares at
 least t = m - q + 1 - q * e q-grams with the item, all on diagonals (place in text minus place in item) that lie within
 e of each other. For each text and item, shared q-grams are counted in diagonal bands of 2 (e + 1) that overlap by half, so
-one band holds all of them; bands with t or more are kept and verified by banded alignment (the item against any part of
-the region, least edits).
+one band holds all of them; bands with t or more are kept and verified by full alignment within the region (the item against
+any part of it, least edits; about the square of the item's length in cells).
 
 The items' index is broadcast, in blocks of at most about ``BLOCK_BYTES`` of item text; with more items the texts are read once a
 block. Each text is searched whole, where it lies: no shuffle.
@@ -137,8 +137,8 @@ def align(item: bytes, text: bytes, most: int) -> tuple[int, int, int] | None:
 
 
 def _last_row(item: bytes, text: bytes) -> np.ndarray:
-    """Least edits of the item against a part of the text that ends at each place. ``text`` is a kept band's region, so rows
-    are as wide as the band's reach allows."""
+    """Least edits of the item against a part of the text that ends at each place. ``text`` is a kept band's region, and
+    every row holds all of it."""
     t = np.frombuffer(text, np.uint8)
     ramp = np.arange(len(t) + 1)
     row = np.zeros(len(t) + 1, np.int64)
