@@ -28,14 +28,21 @@ from .encoding import encode_texts
 from .shared import map_batches, staged, texts
 
 BLOCK = 1 << 20
-ID_BYTES = 2  # ids below 65,536
+ID_BYTES = 2  # ids below 65,536; see id_bytes
 FLAT_SCHEMA = "file int, block int, data binary, named array<long>"
 _ARROW = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("named", pa.list_(pa.int64()))])
 
 
-def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_bytes: int = BLOCK) -> DataFrame:
-    """Encodes documents into flat files in the shared folder; returns the written blocks. ``named`` holds the doc_ids of
-    the documents whose encoding was finished since the block before, in order."""
+def id_bytes(tokenizer: str, separator: int) -> int:
+    """Bytes an id: 2 where every id of the tokenizer and the separator are below 65,536, else 4."""
+    from tokenizers import Tokenizer
+    return 2 if max(separator, *Tokenizer.from_file(tokenizer).get_vocab().values()) < 1 << 16 else 4
+
+
+def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_bytes: int = BLOCK, width: int = ID_BYTES) -> DataFrame:
+    """Encodes documents into flat files in the shared folder, ``width`` bytes an id; returns the written blocks. ``named``
+    holds the doc_ids of the documents whose encoding was finished since the block before, in order. An id that does not
+    fit is an error. ``block_bytes`` is a multiple of ``width``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, block, names = TaskContext.get().partitionId(), 0, []
         pending = bytearray()
@@ -48,7 +55,10 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_bytes: int
         for batch in batches:
             encoded = encode_texts(tokenizer, batch.column("text").to_pylist(), separator)
             for doc_id, e in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                pending += np.frombuffer(e, "<u4").astype(f"<u{ID_BYTES}").tobytes()
+                ids = np.frombuffer(e, "<u4")
+                if int(ids.max()) >> (8 * width):
+                    raise OverflowError(f"id {ids.max()} does not fit in {width} bytes")
+                pending += ids.astype(f"<u{width}").tobytes()
                 names.append(doc_id)
                 while len(pending) >= block_bytes:
                     yield row(bytes(pending[:block_bytes]))
@@ -59,12 +69,12 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_bytes: int
     return staged(map_batches(rows, run, FLAT_SCHEMA), "flat-tokens")
 
 
-def scan(flat: DataFrame, separator: int) -> DataFrame:
+def scan(flat: DataFrame, separator: int, width: int = ID_BYTES) -> DataFrame:
     """(file, place, start, n_tokens, ended): each document of each file in order, with its first token's place in the file
     and its tokens without the separator."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(d.as_buffer(), f"<u{ID_BYTES}") for d in batch.column("data")]
+            ids = [np.frombuffer(d.as_buffer(), f"<u{width}") for d in batch.column("data")]
             at = [np.flatnonzero(x == separator).astype(np.int64) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("file"), batch.column("block"), pa.array([len(x) for x in ids], pa.int64()),
@@ -97,6 +107,7 @@ def names(flat: DataFrame) -> DataFrame:
 
 def document_counts(docs: DataFrame, tokenizer: str, separator: int) -> DataFrame:
     """(doc_id, file, place, start, n_tokens), a row for each row of ``docs``."""
-    flat = write_flat(docs, tokenizer, separator)
-    found = scan(flat, separator)
+    width = id_bytes(tokenizer, separator)
+    flat = write_flat(docs, tokenizer, separator, width=width)
+    found = scan(flat, separator, width)
     return found.join(names(flat), ["file", "place"]).select("doc_id", "file", "place", "start", "n_tokens")

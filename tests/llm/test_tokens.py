@@ -91,3 +91,11 @@ def test_op4_empty_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", 2, 3)], "doc_id long, text string, file int, place int")
     assert [(r["doc_id"], r["n_tokens"]) for r in token_counts.document_counts(df, JSON, 50256).collect()] == [(1, 2)]
     assert token_counts.document_counts(df.where(F.lit(False)), JSON, 50256).collect() == []
+
+
+def test_ids_beyond_two_bytes(spark, whole):
+    docs = spark.createDataFrame([(1, "a b c", None), (2, "d", None)], SCHEMA)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.document_counts(docs, JSON, 70_000).collect()}
+    assert got == {1: len(whole("a b c")), 2: len(whole("d"))}
+    with pytest.raises(Exception, match="does not fit"):
+        token_counts.write_flat(docs, JSON, 70_000)
