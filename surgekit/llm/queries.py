@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embedding_dedup, ngram_join, quality_pu, suffix_dedup, token_codes, token_counts, toxicity, url_filter
+from . import (byte_bpe, decontaminate, embedding_dedup, merkle_manifest, ngram_join, oracles, quality_pu, suffix_dedup, token_codes,
+               token_counts, toxicity, url_filter)
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +74,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and (where tampered with, wrong) root, climbed by a recursive query."""
+    return merkle_manifest.verify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_codes, op2_decontaminate, op3_url_filter, op4_token_counts, op5_ngram_join, op6_toxicity, op7_suffix_dedup,
-    op8_embedding_dedup, op9_byte_bpe, op10_quality_classifier,
+    op8_embedding_dedup, op9_byte_bpe, op10_quality_classifier, op11_merkle_manifest,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": oracles.OP11}

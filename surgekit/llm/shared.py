@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import delete_at_exit, scratch_path
@@ -108,3 +108,14 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``number``, the rows' places from 0 in ``order``. Rows are range-sorted and written once; a row's place in its
+    partition plus the partition's offset (one row a partition) is its number, so no task sees more than its partition."""
+    local = F.lit(1 << 33)  # monotonically_increasing_id counts within a partition below this
+    ranged = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    ranged = ranged.withColumn("_part", F.floor(F.col("_at") / local)).withColumn("_at", F.col("_at") % local)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(offsets), "_part").withColumn("number", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
