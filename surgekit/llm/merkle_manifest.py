@@ -9,7 +9,8 @@ digest is the node above, until one node is left: the source's subroot. Subroots
 2. *Climb.* A recursive query ascends along the parent links. The leaves of one run meet the same nodes above it, so they climb as
    one row: each leaf keeps the digest folded so far, and the siblings that are appended to their common proof are held once. A
    step joins the rows with the nodes where they stand, appends the siblings and folds every leaf's digest with them, until the root.
-   Rows number a sixteenth of the leaves, and so do the nodes.
+   Rows number a sixteenth of the leaves, and so do the nodes; digests travel as 32 bytes, and what only the end needs (doc_id, leaf)
+   stays behind and is joined to the finished climb.
 
 Tampered leaves have their text's A-Z lower-cased where ``TAMPER_MODULUS`` divides the crc32 of the doc_id; their fold differs from the
 root exactly if the text had such letters.
@@ -22,7 +23,6 @@ without siblings is the digest of nothing; an empty table gives an empty result;
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,6 +42,14 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
+def raw(hexed: Column) -> Column:
+    return F.unhex(hexed)
+
+
+def hexed(value: Column) -> Column:
+    return F.lower(F.hex(value))
+
+
 def field(value: Column) -> Column:
     """``-`` for null, else the UTF-8 length, a colon and the value."""
     s = value.cast("string")
@@ -84,19 +92,19 @@ def _run(idx: Column) -> Column:
 
 
 def _bundles(placed: DataFrame) -> DataFrame:
-    """Runs of leaves: (tree, n, idx) of the node above them (a lone leaf is that node), its hash, and the members with leaf and
-    folded digest; at most ``FAN`` members a row."""
+    """Runs of leaves: (tree, n, idx) of the node above them (a lone leaf is that node), its hash, the members (doc_id, leaf) and
+    their folded digests as bytes; at most ``FAN`` members a row."""
     held = F.array_sort(F.collect_list(F.struct("idx", "doc_id", "leaf", "changed")))
     runs = placed.groupBy("tree", F.col("n").alias("size"), _run(F.col("idx")).alias("run")).agg(held.alias("held"))
     lone = F.col("size") == 1
-    all_of = F.concat_ws("", "held.leaf")
-    fold = F.transform("held", lambda m, i: F.struct(
-        m.doc_id.alias("doc_id"), m.leaf.alias("leaf"),
+    fold = F.transform("held", lambda m, i: raw(
         F.when(lone, F.coalesce(m.changed, m.leaf)).otherwise(digest(
             F.concat_ws("", F.slice(F.col("held.leaf"), F.lit(1), i)), F.coalesce(m.changed, m.leaf),
-            F.concat_ws("", F.slice(F.col("held.leaf"), i + 2, F.lit(FAN))))).alias("folded")))
+            F.concat_ws("", F.slice(F.col("held.leaf"), i + 2, F.lit(FAN)))))))
     return runs.select("tree", _above(F.col("size")).alias("n"), F.col("run").alias("idx"),
-                       F.when(lone, F.element_at("held.leaf", 1)).otherwise(digest(all_of)).alias("hash"), fold.alias("members"))
+                       F.when(lone, F.element_at("held.leaf", 1)).otherwise(digest(F.concat_ws("", "held.leaf"))).alias("hash"),
+                       F.transform("held", lambda m: F.struct(m.doc_id.alias("doc_id"), m.leaf.alias("leaf"))).alias("members"),
+                       fold.alias("folds"))
 
 
 def _level(rows: DataFrame, level: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -108,8 +116,8 @@ def _level(rows: DataFrame, level: int, name: str) -> tuple[DataFrame, DataFrame
         "tree", F.lit(level).alias("level"), F.col("kid.idx").alias("idx"),
         *(c.alias(k) for c, k in zip(_key(F.col("tree"), F.lit(level + 1), F.col("run"), _above(F.col("n"))),
                                      ("up_tree", "up_level", "up_idx"), strict=True)),
-        F.concat_ws("", F.slice(hashes, F.lit(1), F.col("at"))).alias("before"),
-        F.concat_ws("", F.slice(hashes, F.col("at") + 2, F.lit(FAN))).alias("after"))
+        raw(F.concat_ws("", F.slice(hashes, F.lit(1), F.col("at")))).alias("before"),
+        raw(F.concat_ws("", F.slice(hashes, F.col("at") + 2, F.lit(FAN)))).alias("after"))
     above = runs.select("tree", _above(F.col("n")).alias("n"), F.col("run").alias("idx"), digest(F.concat_ws("", hashes)).alias("hash"))
     return nodes, above
 
@@ -129,18 +137,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-NODE_SCHEMA = "tree long, level int, idx long, up_tree long, up_level int, up_idx long, before string, after string"
+NODE_SCHEMA = "tree long, level int, idx long, up_tree long, up_level int, up_idx long, before binary, after binary"
 
 CLIMB = """
-WITH RECURSIVE climb(source_tree, tree, level, idx, members, proof) AS (
-  SELECT source_tree, tree, level, idx, members, CAST('' AS STRING) FROM {bundles}
+WITH RECURSIVE climb(source_tree, run, tree, level, idx, folds, proof) AS (
+  SELECT source_tree, run, tree, level, idx, folds, CAST('' AS BINARY) FROM {bundles}
   UNION ALL
-  SELECT c.source_tree, n.up_tree, n.up_level, n.up_idx,
-         transform(c.members, m -> named_struct('doc_id', m.doc_id, 'leaf', m.leaf,
-                                                'folded', sha2(CAST(concat(n.before, m.folded, n.after) AS BINARY), 256))),
-         concat(c.proof, n.before, n.after)
-  FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.idx = n.idx)
-SELECT source_tree, members, proof FROM climb WHERE tree = {tree} AND level = {level} AND idx = 0
+  SELECT source_tree, run, up_tree, up_level, up_idx,
+         transform(folds, f -> unhex(sha2(CAST(concat(left_hex, lower(hex(f)), right_hex) AS BINARY), 256))),
+         concat(proof, before, after)
+  FROM (SELECT c.source_tree, c.run, c.folds, c.proof, n.up_tree, n.up_level, n.up_idx, n.before, n.after,
+               lower(hex(n.before)) AS left_hex, lower(hex(n.after)) AS right_hex
+        FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.idx = n.idx))
+SELECT source_tree, run, folds, proof FROM climb WHERE tree = {tree} AND level = {level} AND idx = 0
 """
 
 
@@ -167,7 +176,7 @@ class Manifest:
         if self.empty:
             return
         bundles = staged(_bundles(placed), "merkle-bundles")
-        nodes, tops, _ = _levels(bundles.drop("members"), -(-size["n"] // FAN), 1, "merkle-level")
+        nodes, tops, _ = _levels(bundles.drop("members", "folds"), -(-size["n"] // FAN), 1, "merkle-level")
         self.subroots = staged(_union(tops).select("tree", "hash"), "merkle-subroots")
         n_trees = size["last"] + 1
         rows = self.subroots.select(F.lit(ROOT_TREE).cast("long").alias("tree"), F.lit(n_trees).cast("long").alias("n"),
@@ -177,15 +186,16 @@ class Manifest:
         links = nodes + upper
         self.nodes = staged(_union(links), "merkle-nodes") if links else spark.createDataFrame([], NODE_SCHEMA)
         key = _key(F.col("tree"), F.lit(1), F.col("idx"), F.col("n"))
-        self.bundles = bundles.select(F.col("tree").alias("source_tree"), *(c.alias(k) for c, k in zip(key, ("tree", "level", "idx"), strict=True)),
-                                      "members")
+        self.bundles = bundles.select(F.col("tree").alias("source_tree"), F.col("idx").alias("run"),
+                                      *(c.alias(k) for c, k in zip(key, ("tree", "level", "idx"), strict=True)), "folds")
+        self.members = bundles.select(F.col("tree").alias("source_tree"), F.col("idx").alias("run"), "members")
 
     def climb(self) -> DataFrame:
-        """(source_tree, members, proof) of every run of leaves at the root, written to the shared folder."""
+        """(source_tree, run, folds, proof) of every run of leaves at the root, written to the shared folder."""
         spark = self.bundles.sparkSession
         with _recursion_rows_unbounded(spark):
             rows = spark.sql(CLIMB, bundles=self.bundles, nodes=self.nodes, tree=ROOT_TREE, level=self.root_level)
-            return staged(rows, f"merkle-climb-{uuid.uuid4().hex[:8]}")
+            return staged(rows, "merkle-climb")
 
 
 SCHEMA = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -197,10 +207,11 @@ def verify(docs: DataFrame) -> DataFrame:
     if manifest.empty:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     subroots = manifest.subroots.select(F.col("tree").alias("source_tree"), F.col("hash").alias("subroot"))
-    rows = manifest.climb().join(subroots, "source_tree")
+    rows = manifest.climb().join(manifest.members, ["source_tree", "run"]).join(subroots, "source_tree")
     leaf = F.col("members.leaf")
     siblings = F.concat_ws("", F.slice(leaf, F.lit(1), F.col("at")), F.slice(leaf, F.col("at") + 2, F.lit(FAN)))
-    return rows.select("members", "proof", "subroot", F.posexplode("members").alias("at", "m")).select(
-        F.col("m.doc_id").alias("doc_id"), F.col("m.leaf").alias("leaf"), "subroot", F.lit(manifest.root).alias("root"),
-        digest(siblings, F.col("proof")).alias("proof_sha256"), F.col("m.folded").alias("folded_root"),
-        (F.col("m.folded") == F.lit(manifest.root)).alias("verified"))
+    each = rows.select("members", "folds", "proof", "subroot", F.posexplode("members").alias("at", "m"))
+    each = each.withColumn("folded_root", hexed(F.get("folds", F.col("at")))).withColumn("root", F.lit(manifest.root))
+    return each.select(
+        F.col("m.doc_id").alias("doc_id"), F.col("m.leaf").alias("leaf"), "subroot", "root",
+        digest(siblings, hexed(F.col("proof"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
