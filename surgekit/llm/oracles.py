@@ -63,3 +63,42 @@ upper_end AS (SELECT row, max_by(fold, level) AS fold, max_by(proof, level) AS p
 SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(u.proof) AS proof_sha256, u.fold AS folded_root, u.fold = r.h AS verified
 FROM placed p JOIN upper_end u ON p.row = u.row JOIN subroots s ON s.tree = p.tree, (SELECT h FROM top WHERE n = 1) r
 """
+
+#: Runs as diagonals over all pairs of equal six words in a row: quadratic where a text repeats itself, so for small tables.
+OP13 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS original,
+         {crc32_sql("CAST(doc_id AS VARCHAR)")} AS h
+  FROM documents),
+sized AS (SELECT row, doc_id, original, len(original) AS n, h % 10 = 0 AND len(original) > 0 AS synthetic, h // 10 AS g FROM docs),
+tails AS (SELECT *, CASE WHEN synthetic THEN g % n ELSE n END AS a,
+                 CASE WHEN synthetic THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM sized),
+made AS (
+  SELECT row, doc_id, n, list_transform(range(n), lambda i: original[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) AS words
+  FROM tails),
+placed AS (SELECT row, unnest(range(n)) AS i, unnest(words) AS w FROM made),
+grams AS (
+  SELECT row, i, w || chr(31) || lead(w, 1) OVER o || chr(31) || lead(w, 2) OVER o || chr(31) || lead(w, 3) OVER o
+         || chr(31) || lead(w, 4) OVER o || chr(31) || lead(w, 5) OVER o AS gram
+  FROM placed WINDOW o AS (PARTITION BY row ORDER BY i)),
+pairs AS (
+  SELECT b.row, b.i - a.i AS lag, b.i FROM grams a JOIN grams b ON a.row = b.row AND a.gram = b.gram AND a.i < b.i
+  WHERE a.gram IS NOT NULL),
+diagonals AS (
+  SELECT row, lag, min(i) - lag AS start, max(i) - min(i) + 6 + lag AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row, lag ORDER BY i) AS island FROM pairs) GROUP BY row, lag, island),
+runs AS (
+  SELECT row, start, length, min(lag) AS period FROM diagonals WHERE length >= 12 AND length >= 2 * lag GROUP BY row, start, length),
+gone AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT p.row, string_agg(p.w, ' ' ORDER BY p.i) AS collapsed FROM placed p ANTI JOIN gone g ON p.row = g.row AND p.i = g.i GROUP BY p.row),
+listed AS (
+  SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         min_by({{'start': start, 'length': length, 'period': period}}, (-length, start, period)) AS best
+  FROM runs GROUP BY row)
+SELECT m.doc_id, coalesce(l.n_runs, 0) AS n_runs, l.best.start AS start, l.best.length AS length, l.best.period AS period,
+       1000 * l.best.length // l.best.period AS exponent_milli, sha256(coalesce(l.lines, '')) AS runs_sha256,
+       sha256(coalesce(k.collapsed, '')) AS collapsed_sha256
+FROM made m LEFT JOIN listed l ON m.row = l.row LEFT JOIN kept k ON m.row = k.row
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, decontaminate, embedding_dedup, merkle_manifest, ngram_join, oracles, quality_pu, suffix_dedup, token_codes,
-               token_counts, toxicity, url_filter)
+from . import (byte_bpe, decontaminate, embedding_dedup, merkle_manifest, ngram_join, oracles, periodic_runs, quality_pu, sharding,
+               suffix_dedup, token_codes, token_counts, toxicity, url_filter)
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,9 +79,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verify(table(spark, sf_dir, "documents"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes, copies of a text together."""
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in all documents, a tenth of which get a periodic tail, and the texts without the repeats."""
+    return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_codes, op2_decontaminate, op3_url_filter, op4_token_counts, op5_ngram_join, op6_toxicity, op7_suffix_dedup,
-    op8_embedding_dedup, op9_byte_bpe, op10_quality_classifier, op11_merkle_manifest,
+    op8_embedding_dedup, op9_byte_bpe, op10_quality_classifier, op11_merkle_manifest, op12_sharding, op13_periodic_runs,
 )}
 
-ORACLES: dict[str, str] = {"op11_merkle_manifest": oracles.OP11}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": oracles.OP11, "op13_periodic_runs": oracles.OP13}
