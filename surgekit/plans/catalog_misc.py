@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from ..operators import control as C
+from ..operators import labels as L
 from ..operators import scoring as SC
 from ..operators import tables as TB
+from ..operators.ml import TWO_STAGE_THRESHOLD
 from ..sources import envelopes as EV
 from ..sources import fixtures as fx
 from ..sources import io as IO
@@ -214,12 +216,10 @@ def q_p18(spark, sf):
 @register("m05_batch_scoring")
 def q_m05(spark, sf):
     """M05 batch scoring + C18–C22, C24–C26, F24 and S15 report JSON per scored item."""
-    from ..operators import ml as M
-    from .catalog_ml import _train_test, best_map
+    from . import catalog_ml as ml
+    from .training import window_scores
     b = base(spark, sf)
-    feats, train, test = _train_test(spark, sf)
-    model = M.gbt_pipeline(feats, "is_viral", **best_map(train, feats)).fit(train)
-    scored = M.positive_probability(model.transform(test), out="probability").select("video_id", "probability")
+    scored = ml.scored(spark, sf, "test").select("video_id", F.col("p_viral").alias("probability"))
     items = b["fact"].select("video_id", "channel_id", "view_count", "like_count", "comment_count",
                              F.col("avg_views_per_day").alias("_vpd"), "published_at")
     own = b["channel_summary"].select("channel_id", F.col("avg_views_per_video").alias("owner_avg_views"),
@@ -227,14 +227,15 @@ def q_m05(spark, sf):
     d = scored.join(items, "video_id").join(own, "channel_id", "left")
     age_h = X.fractional_days(fx.AS_OF, "published_at") * 24
     d = d.withColumn("age_hours", age_h).withColumn("views_per_hour", F.col("view_count") / F.greatest(age_h, F.lit(1.0)))
-    # without a window model every row starts without a window; the boost relabels by its own rule
-    d = d.withColumn("will_viral", F.col("probability") > 0.5).withColumn("time_window", F.lit("not_viral"))
+    d = d.join(window_scores(spark, sf), "video_id", "left").withColumn("has_early", F.coalesce("has_early", F.lit(False)))
+    d = d.withColumn("will_viral", F.col("probability") > 0.5).withColumn("time_window", F.when(
+        F.col("probability") > TWO_STAGE_THRESHOLD, F.coalesce("window_pred", F.lit("not_viral"))).otherwise(F.lit("not_viral")))
     d = d.withColumn("label", SC.prediction_label(F.col("will_viral"), F.col("probability"), F.col("time_window")))
     d = SC.boost_and_relabel(d)
     proj, pc = SC.project_views(), SC.pace()
     d = d.select("*", *[c.alias(n) for n, c in proj.items()], *[c.alias(n) for n, c in pc.items()])
     d = d.select("*", SC.momentum(velocity_ratio="velocity_ratio").alias("momentum"),
-                 SC.item_confidence(F.lit(False), F.col("age_hours")).alias("confidence"),
+                 SC.item_confidence(F.col("has_early"), F.col("age_hours")).alias("confidence"),
                  SC.probability_label().alias("probability_label"),
                  SC.warnings(days=X.days_between(fx.AS_OF, "published_at")).alias("warnings"))
     return SC.report_json(d, "video_id", {"prediction": ["probability", "label", "confidence", "time_window"],
@@ -258,7 +259,10 @@ def q_c23(spark, sf):
     templates = spark.createDataFrame(
         [(f, lvl, f"{f} is {lvl} relative to peers") for f in feats for lvl in ("high", "low", "medium")],
         "feature string, level string, description string")
-    return SC.explanation_rows(long, stats, templates, "channel_id")
+    from .training import label_correlations
+    labels = L.owner_labels(b["channel_summary"]).select("channel_id", "is_viral_owner")
+    weight = label_correlations(o.join(labels, "channel_id"), feats, "is_viral_owner")
+    return SC.explanation_rows(long, stats, templates, "channel_id", weight)
 
 
 __all__ = ["C"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from surgekit.operators import boosting as B
 from surgekit.operators import ml as M
 from surgekit.operators import profiles as PR
 from surgekit.plans.catalog import base
@@ -105,25 +106,26 @@ def test_high_water_mark_batches_can_be_replayed(spark, tmp_path):
                    (2, 2, "2024-01-05"), (2, 3, "2024-01-02")]
 
 
-def test_search_covers_the_reference_ranges():
-    maps = M.random_param_maps(50)
-    assert len(maps) == 50 and all(200 <= m["maxIter"] <= 1500 and 3 <= m["maxDepth"] <= 9 for m in maps)
-    assert max(m["maxIter"] for m in maps) > 1000 and max(m["maxDepth"] for m in maps) == 9
-    assert M.best_round([3, 2, 1, 2, 2, 0], 2) == (3, True) and M.best_round([3, 2, 1, 2, 0], 3) == (5, False)
-
-
-def test_all_maps_are_tried_with_early_stop_on_rounds(spark, monkeypatch):
-    rows = [(i, float(i % 7), float(i % 5), int(i % 7 > 3), 1.0) for i in range(80)]
-    d = spark.createDataFrame(rows, "k long, a double, b double, y int, weight double").coalesce(1).cache()
-    train, val = d.where("k < 60"), d.where("k >= 60")
-    maps = [{"maxIter": 6, "maxDepth": 2, "stepSize": s, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9",
-             "minInstancesPerNode": 1} for s in (0.3, 0.2, 0.1)]
-    tried, real = [], M.early_stopped_rounds
-    monkeypatch.setattr(M, "FIRST_ROUNDS", 2)
-    monkeypatch.setattr(M, "random_param_maps", lambda n, seed: maps[:n])
-    monkeypatch.setattr(M, "early_stopped_rounds", lambda *a: tried.append(real(*a)) or tried[-1])
-    best, auc = M.tune_gbt(train, val, ["a", "b"], "y", 3)
-    assert len(tried) == 3 and all(1 <= r <= 6 for r in tried) and best in maps and 0.5 <= auc <= 1.0
+def test_interrupted_save_is_never_seen(spark, tmp_path, monkeypatch):
+    """A writer that stops between its writes leaves the published model as it was."""
+    nodes = spark.createDataFrame([(0, 0, None, None, -1, -1, 0.5, 0.0, 1.0)], B.FOREST_SCHEMA)
+    root = str(tmp_path / "models")
+    M.save_model(nodes, {"threshold": 0.1}, root, "v1")
+
+    def stop(*a):
+        raise RuntimeError("crash")
+    with monkeypatch.context() as m:
+        m.setattr(M, "_publish", stop)
+        for version in ("v1", "v2"):
+            try:
+                M.save_model(nodes, {"threshold": 0.9}, root, version, overwrite=True)
+            except RuntimeError:
+                pass
+    assert [(r["version"], r["threshold"]) for r in M.list_models(root).collect()] == [("v1", 0.1)]
+    M.save_model(nodes, {"threshold": 0.2}, root, "v1", overwrite=True)
+    forest, cfg = M.load_model(root, "v1")
+    assert cfg["threshold"] == 0.2 and forest.count() == 1
+    assert [(r["version"], r["threshold"]) for r in M.list_models(root).collect()] == [("v1", 0.2)]
 
 
 def test_clusters_keep_the_cheapest_start(spark):
