@@ -108,6 +108,7 @@ def place(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     """(row, part, doc_id, size, text_crc32, name, shard), a row for each row of ``docs``, written to the shared folder."""
     rows = _rows(docs)
     groups = rows.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("group_size")).where("copies > 1")
+    groups = staged(groups, "shard-groups")  # its own exchange in the join, so that Spark can split a hot text's rows
     rows = staged(rows.join(groups, "name", "left"), "shard-linked")
     total, = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
     capacity = total // shards
