@@ -22,16 +22,17 @@ import hashlib
 import json
 import uuid
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import attach_scalars
-from .encoding import _CUT, CACHED_UNITS, ChunkCoder, is_one_piece, units
-from .shared import map_batches, staged, texts
+from .encoding import CACHED_UNITS, SLICE_BYTES, ChunkCoder, chunks, is_one_piece, units
+from .shared import byte_chunks, map_batches, staged, texts, worker_cache
 
 FREQUENT, WORD_CHARS = 1 << 17, 64
 SLOTS = 1 << 16
@@ -96,21 +97,17 @@ def merge_piece(piece: Column, literal: RankLiteral) -> Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, counted by batch before the shuffle."""
+    """(word, n) over all texts, counted by slice before the shuffle. Words are chunks with a space before them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                rest.update(_chunks(text)[1:])
-            if rest:
-                yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array(rest.values(), pa.int64())], ["word", "n"])
-    rows = texts(docs).select(F.col("body").cast("string").alias("text"))
-    return map_batches(rows, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _chunks(text: str) -> list[str]:
-    parts = text.split(" ")
-    return parts if all(parts) and not any(w[0].isspace() or w[-1].isspace() for w in parts) else _CUT.split(text)
+            for _, _, data, off in byte_chunks(batch, SLICE_BYTES):
+                counted = chunks(data, off)[0].value_counts()
+                found = [(c[1:].decode(), n) for c, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist(), strict=True)
+                         if c[:1] == b" " and len(c) > 1]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())],
+                                                     ["word", "n"])
+    return map_batches(texts(docs), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -140,9 +137,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def _value(ids: list[int], decoded: bytes) -> tuple[int, bytes, bytes]:
-    """What is kept of a word: number of ids, the ids in decimal, the bytes they decode to."""
-    return len(ids), b" ".join([b"%d" % i for i in ids]), decoded
+def _value(ids: list[int], decoded: bytes) -> tuple[bytes, bytes]:
+    """What is kept of a chunk: its ids as unsigned 32-bit integers, the bytes they decode to."""
+    return array("I", ids).tobytes(), decoded
 
 
 class Encoder:
@@ -155,44 +152,37 @@ class Encoder:
         import regex
         cut, ranks = regex.compile(self.pattern), self.ranks
         token = {r: k for k, r in ranks.items()}
-        frequent = {w.as_py(): _value(i.as_py(), d.as_py()) for w, i, d in zip(
+        frequent = {b" " + w.as_py().encode(): _value(i.as_py(), d.as_py()) for w, i, d in zip(
             *(self.frequent.column(c) for c in ("word", "ids", "decoded")), strict=True)}
-        done: dict[str, tuple[int, bytes, bytes]] = {}
+        done: dict[str, tuple[bytes, bytes]] = {}
 
         def of_piece(raw: bytes) -> list[int]:
             whole = ranks.get(raw)
             return [whole] if whole is not None else merge(raw, ranks) if len(raw) <= 256 else merge_long(raw, ranks)
 
-        def of_unit(unit: str) -> tuple[int, bytes, bytes]:
+        def of_unit(unit: str) -> tuple[bytes, bytes]:
             if is_one_piece(unit):
                 ids = of_piece(unit.encode())
             else:
                 ids = [i for piece in cut.findall(unit) for i in of_piece(piece.encode())]
             return _value(ids, b"".join([token[i] for i in ids]))
 
-        def encode(chunks: list[str]) -> list[tuple[int, bytes, bytes]]:
+        def encode(chunks: list[str]) -> list[tuple[bytes, bytes]]:
             if len(done) > CACHED_UNITS:
                 done.clear()
             out = []
             for chunk in chunks:
                 values = []
                 for u in units(chunk):
-                    v = done.get(u) or (frequent.get(u[1:]) if u[0] == " " else None)
+                    v = done.get(u) or (frequent.get(u.encode()) if u[0] == " " else None)
                     if v is None:
                         v = of_unit(u)
                         if len(u) <= WORD_CHARS:
                             done[u] = v
                     values.append(v)
-                out.append(values[0] if len(values) == 1 else _joined(values))
+                out.append(values[0] if len(values) == 1 else tuple(b"".join(x) for x in zip(*values, strict=True)) if values else (b"", b""))
             return out
-        return ChunkCoder(encode, frequent)
-
-
-def _joined(values: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
-    if not values:
-        return 0, b"", b""
-    n, ids, decoded = zip(*values, strict=True)
-    return sum(n), b" ".join(ids), b"".join(decoded)
+        return ChunkCoder(encode, 2, frequent)
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -243,48 +233,45 @@ def make_encoder(docs: DataFrame, ranks_path: str, pattern: str, frequent: int =
     return Encoder(ranks, pattern, encode_words(words.repartition(FOLD_TASKS, "word"), ranks, pattern).toArrow())
 
 
-_CODER: list = [None, None]
+_CODER: dict[str, ChunkCoder] = worker_cache({})
 
 
-def _task_coder(key: str, shared) -> ChunkCoder:
-    """The worker's coder for an encoder, kept for its next tasks; the last one only."""
-    if _CODER[0] != key:
-        _CODER[:] = key, shared.value.coder()
-    return _CODER[1]
-
-
-def _map_encoded(docs: DataFrame, encoder: Encoder, make: Callable, schema: str, keep: list[str]) -> DataFrame:
+def _map_encoded(docs: DataFrame, encoder: Encoder, make: Callable, schema: str) -> DataFrame:
+    """``make`` of a row's doc_id, its ids (a numpy array) and the bytes they decode to, for every row."""
     shared, key = docs.sparkSession.sparkContext.broadcast(encoder), uuid.uuid4().hex
+    names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _task_coder(key, shared)
+        if key not in _CODER:
+            _CODER[key] = shared.value.coder()
         for batch in batches:
-            values = coder.values(batch.column("text").to_pylist())
-            yield make([batch.column(k) for k in keep], values)
-    return map_batches(docs, run, schema)
+            doc_ids = iter(batch.column("doc_id").to_pylist())
+            for ids, decoded in _CODER[key].columns(batch.column("body")):
+                rows = [make(next(doc_ids), np.frombuffer(i, "<u4"), d) for i, d in zip(ids, decoded, strict=True)]
+                yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema=_ARROW[schema])
+    return map_batches(texts(docs), run, schema)
+
+
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+ENCODED = "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string"
+_SHA = ("decoded_sha256", pa.string())
+_ARROW = {DIGEST: pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), _SHA]),
+          ENCODED: pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), _SHA])}
 
 
 def digest(docs: DataFrame, encoder: Encoder) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of ``docs``."""
-    def make(kept: list[pa.Array], values: list[list]) -> pa.RecordBatch:
-        docs = [_joined(v) for v in values]
-        n = [d[0] for d in docs]
-        ids = [hashlib.sha256(d[1]).hexdigest() for d in docs]
-        back = [hashlib.sha256(d[2]).hexdigest() for d in docs]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(ids), pa.array(back)],
-                                          ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    rows = texts(docs).select("doc_id", F.col("body").cast("string").alias("text"))
-    return _map_encoded(rows, encoder, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"])
+    def make(doc_id: int | None, ids: np.ndarray, decoded: memoryview) -> tuple:
+        listed = " ".join(map(str, ids.tolist())).encode()
+        return doc_id, len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    return _map_encoded(docs, encoder, make, DIGEST)
 
 
 def encode(docs: DataFrame, encoder: Encoder) -> DataFrame:
-    """(doc_id, n_tokens, ids), a row for each row of ``docs``."""
-    def make(kept: list[pa.Array], values: list[list]) -> pa.RecordBatch:
-        ids = [list(map(int, _joined(v)[1].split())) for v in values]
-        return pa.RecordBatch.from_arrays([*kept, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
-                                          ["doc_id", "n_tokens", "ids"])
-    rows = texts(docs).select("doc_id", F.col("body").cast("string").alias("text"))
-    return _map_encoded(rows, encoder, make, "doc_id long, n_tokens long, ids array<int>", ["doc_id"])
+    """(doc_id, n_tokens, ids, decoded_sha256), a row for each row of ``docs``; the digest is that of the bytes which the ids decode to."""
+    def make(doc_id: int | None, ids: np.ndarray, decoded: memoryview) -> tuple:
+        return doc_id, len(ids), ids.astype(np.int32), hashlib.sha256(decoded).hexdigest()
+    return _map_encoded(docs, encoder, make, ENCODED)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

@@ -1,90 +1,101 @@
-"""Whole-text encoding through a cache of space-delimited chunks.
+"""Whole-text encoding through the distinct chunks of a batch.
 
 The public pattern never matches across a space that stands between two characters which are not white space: such a
-space always opens the next piece. So a text may be cut before each of them, every distinct chunk encoded once, and the ids
-concatenated; the result equals that of the whole text. Texts in which a space touches other white space are cut
-only where the rule holds.
+space always opens the next piece. So a text may be cut before each of them, every distinct chunk encoded once, and the values
+concatenated; the result equals that of the whole text. A space beside other white space, or beside a character that might be,
+is no cut. Cuts are found on the bytes; the chunks of a batch are one Arrow array over the texts' own bytes, which is
+dictionary-encoded, and the values of its dictionary are put back in order by ``take``: no Python loop over occurrences.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-#: Cached chunks and units of one Python worker, and the longest that is kept.
-CACHED, CACHED_UNITS, CACHED_CHARS = 250_000, 150_000, 200
+import numpy as np
+import pyarrow as pa
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+from .shared import binary_views, worker_cache
 
+#: Cached chunks and units of one Python worker, the longest that is kept, and the bytes of text worked on at once.
+CACHED, CACHED_UNITS, CACHED_CHARS, SLICE_BYTES = 200_000, 100_000, 200, 8 << 20
 
-class _Odd:
-    """Stands for a chunk beside which no cut is allowed."""
 
+def _no_space_left(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place surely is no white space."""
+    last, second, third = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    two = (second == 0xC2) & ((last == 0x85) | (last == 0xA0))
+    three = (third >= 0xE1) & (third <= 0xE3) & ((second == 0x80) | (second == 0x81) | (second == 0x9A))
+    return (last > 0x20) & ~two & ~three
 
-ODD = _Odd()
+
+def _no_space_right(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character after each place surely is no white space; two- and three-byte spaces begin with one of four bytes."""
+    first, second = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    two = (first == 0xC2) & ((second == 0x85) | (second == 0xA0))
+    three = (first >= 0xE1) & (first <= 0xE3) & ((second == 0x80) | (second == 0x81) | (second == 0x9A))
+    return (first > 0x20) & ~two & ~three
+
+
+def chunks(data: np.ndarray, off: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """(the chunks of all rows' texts, each row's first chunk and one end more). A chunk has the space before it."""
+    first = np.zeros(len(data) + 1, bool)
+    at = np.flatnonzero(data == 0x20)
+    inner = np.ones(len(at), bool)
+    lone = off[:-1][np.diff(off) > 0]
+    first[lone] = True
+    last = np.zeros(len(data) + 1, bool)
+    last[off[1:][np.diff(off) > 0] - 1] = True
+    inner = ~first[at] & ~last[at]
+    at = at[inner]
+    first[at[_no_space_left(data, at) & _no_space_right(data, at)]] = True
+    first[len(data)] = False
+    starts = np.flatnonzero(first)
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    array_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    return array_, np.searchsorted(starts, off)
 
 
 class ChunkCoder:
-    """``encode`` maps chunks to values (any objects); ``values`` gives a text's values in order."""
+    """``encode`` maps chunks (strings) to tuples of ``width`` byte strings; ``columns`` gives each text's, concatenated."""
 
-    def __init__(self, encode: Callable[[list[str]], list], frequent: dict[str, object] | None = None):
-        self.encode = encode
-        #: what a chunk with a space before it gives; ``frequent`` ones are there from the start
+    def __init__(self, encode: Callable[[list[str]], list[tuple[bytes, ...]]], width: int, frequent: dict[bytes, tuple[bytes, ...]] | None = None):
+        self.encode, self.width = encode, width
         self.frequent = frequent or {}
-        self.known = dict(self.frequent)
-        #: what a first chunk gives, which has no space before it
-        self.first: dict[str, object] = {}
-
-    def _look_up(self, split: list[list[str]]) -> list[list]:
-        out = []
-        missing: dict[str, list[tuple[list, int]]] = {}
-        heads: dict[str, list[tuple[list, int]]] = {}
-        get = self.known.get
-        for parts in split:
-            values = list(map(get, parts))
-            if parts:
-                head = self.first.get(parts[0])
-                values[0] = head
-                if head is None:
-                    heads.setdefault(parts[0], []).append((values, 0))
-                if None in values:
-                    for k, v in enumerate(values):
-                        if v is None and k:
-                            missing.setdefault(parts[k], []).append((values, k))
-            out.append(values)
-        self._fill(missing, " ", self.known)
-        self._fill(heads, "", self.first)
-        return out
+        self.known: dict[bytes, tuple[bytes, ...]] = {}
 
-    def _fill(self, missing: dict[str, list[tuple[list, int]]], before: str, known: dict[str, object]) -> None:
-        """Encodes the missing chunks and puts them where they are missing; ODD where a cut beside the chunk is not allowed."""
-        plain = [w for w in missing if w and not w[0].isspace() and not w[-1].isspace()]
-        values = self.encode([before + w for w in plain])
-        for w, value in zip(plain, values, strict=True):
-            if len(w) <= CACHED_CHARS:
-                known[w] = value
-            for at, k in missing[w]:
-                at[k] = value
-        if len(plain) < len(missing):
-            for w in missing.keys() - set(plain):
-                for at, k in missing[w]:
-                    at[k] = ODD
-
-    def values(self, texts: list[str]) -> list[list]:
-        if len(self.known) > CACHED + len(self.frequent):
+    def _values(self, distinct: list[bytes]) -> list[tuple[bytes, ...]]:
+        if len(self.known) > CACHED:
             self.known.clear()
-            self.known.update(self.frequent)
-        if len(self.first) > CACHED:
-            self.first.clear()
-        out = self._look_up([t.split(" ") if t else [] for t in texts])
-        for i, values in enumerate(out):
-            if ODD in values:  # a space beside other white space: cut with care
-                parts = _CUT.split(texts[i])
-                out[i] = self.encode([parts[0], *(" " + w for w in parts[1:])])
+        known, frequent = self.known, self.frequent
+        out = [known.get(c) or frequent.get(c) for c in distinct]
+        missing = [k for k, v in enumerate(out) if v is None]
+        if missing:
+            for k, v in zip(missing, self.encode([distinct[k].decode() for k in missing]), strict=True):
+                out[k] = v
+                if len(distinct[k]) <= CACHED_CHARS:
+                    known[distinct[k]] = v
         return out
 
+    def columns(self, body: pa.Array) -> Iterator[list[list[memoryview]]]:
+        """Slices of rows in order: for each, by column, the rows' bytes."""
+        data, off = binary_views(body)
+        row, n = 0, len(off) - 1
+        while row < n:
+            end = min(n, max(row + 1, int(np.searchsorted(off, off[row] + SLICE_BYTES, side="right")) - 1))
+            parts, first = chunks(data[off[row]:off[end]], off[row:end + 1] - off[row])
+            coded = parts.dictionary_encode()
+            values = self._values(coded.dictionary.to_pylist())
+            out = []
+            for c in range(self.width):
+                joined = pa.array([v[c] for v in values], pa.large_binary()).take(coded.indices)
+                flat, places = binary_views(joined)
+                view, cuts = memoryview(np.ascontiguousarray(flat)), places[first].tolist()
+                out.append([view[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            yield out
+            row = end
+
 
 #: ASCII punctuation that may end a chunk.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -127,27 +138,29 @@ def is_one_piece(unit: str) -> bool:
     return (unit[1:] if unit[0] == " " else unit).isalpha() and max(unit) < _LATIN_END
 
 
-_CODERS: dict[str, ChunkCoder] = {}
+_CODERS: dict[tuple[str, bool], ChunkCoder] = worker_cache({})
 
 
-def library_coder(path: str) -> ChunkCoder:
-    """Chunk -> ids as (little-endian) unsigned 32-bit bytes, by the tokenizers library; kept for the worker's next tasks."""
-    if path not in _CODERS:
+def library_coder(path: str, special: bool = False) -> ChunkCoder:
+    """Chunk -> ids as (little-endian) unsigned 32-bit bytes, by the tokenizers library. ``special``: the strings of special tokens in
+    a text give their ids, as the library does by default; else they are ordinary text."""
+    if (path, special) not in _CODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer.encode_special_tokens = not special
+        marked = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if special else []
 
         merges = tokenizer.model.tokenize
         done: dict[str, bytes] = {}
 
-        def encode(chunks: list[str]) -> list[bytes]:
+        def encode(chunks: list[str]) -> list[tuple[bytes, ...]]:
             if len(done) > CACHED_UNITS:
                 done.clear()
             out, rest = [], []
             for chunk in chunks:
                 values = []
-                for u in units(chunk):
+                for u in [chunk] if any(m in chunk for m in marked) else units(chunk):
                     v = done.get(u)
                     if v is None:
                         if is_one_piece(u):  # straight to the merges
@@ -164,12 +177,14 @@ def library_coder(path: str) -> ChunkCoder:
                 values[k] = array("I", e.ids).tobytes()
                 if len(u) <= CACHED_CHARS:
                     done[u] = values[k]
-            return [v[0] if len(v) == 1 else b"".join(v) for v in out]
-        _CODERS[path] = ChunkCoder(encode)
-    return _CODERS[path]
+            return [(v[0] if len(v) == 1 else b"".join(v),) for v in out]
+        _CODERS[path, special] = ChunkCoder(encode, 1)
+    return _CODERS[path, special]
 
 
-def encode_texts(path: str, texts: list[str], end: int) -> list[bytes]:
-    """Each text's ids with ``end`` after them, as little-endian unsigned 32-bit bytes."""
+def encode_bodies(path: str, body: pa.Array, end: int, special: bool = False) -> Iterator[bytes]:
+    """Each text's ids with ``end`` after them, as little-endian unsigned 32-bit bytes; ``body`` has the texts' UTF-8 bytes."""
     close = array("I", [end]).tobytes()
-    return [b"".join(v) + close for v in library_coder(path).values(texts)]
+    for (ids,) in library_coder(path, special).columns(body):
+        for v in ids:
+            yield bytes(v) + close

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
+from .shared import worker_cache
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 OTHER_BASE = np.uint64(0xD6E8FEB86659FD93)
 _WORD = (1 << 64) - 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = worker_cache({})
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -40,6 +40,7 @@ from .components import components
 from .shared import byte_chunks, map_batches, staged, texts
 
 BUCKET_BITS, SLICES = 20, 64
+KNOWN_BYTES = 64 << 20
 FAN_IN = 64
 CLASSES = 64
 
@@ -92,14 +93,17 @@ def _slices(part: int, counts: dict[int, np.ndarray]) -> pa.RecordBatch:
 # ---- sets and their prefixes ----------------------------------------------------------------------------------------
 
 def _named_sets(rows: DataFrame, size: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """(doc_id, h, n, s1, s2, prefix, short, classes): size, 128-bit name, rare-first prefix (``short``: how long it is in the
-    role of the smaller set) and class sizes of each text's set."""
+    """(doc_id, h, g, n, s1, s2, prefix, short, classes, z): the text's 128-bit hash, then size, 128-bit name, rare-first prefix (``short``:
+    how long it is in the role of the smaller set) and class sizes of its set, and the text packed."""
     shared = rows.sparkSession.sparkContext.broadcast(counts.astype("<i8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = shared.value
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for a, b, data, off in byte_chunks(batch):
+                view, cuts = memoryview(data), off.tolist()
+                packed = [squeeze(view[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 sets = hashing.shingles(data, off, size)
                 n = np.array([len(s) for s in sets], np.int64)
                 long, short = prefix_sizes(n, num, den)
@@ -116,11 +120,12 @@ def _named_sets(rows: DataFrame, size: int, num: int, den: int, counts: np.ndarr
                     prefixes.append(s[order].view(np.int64))
                     classes.append(np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("h").slice(a, b - a), pa.array(n),
+                    [*(batch.column(c).slice(a, b - a) for c in ("doc_id", "h", "g")), pa.array(n),
                      pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()),
-                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(np.minimum(short, n)), pa.array(classes, pa.list_(pa.int32()))],
-                    ["doc_id", "h", "n", "s1", "s2", "prefix", "short", "classes"])
-    return map_batches(rows, run, "doc_id long, h int, n long, s1 long, s2 long, prefix array<long>, short long, classes array<int>")
+                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(np.minimum(short, n)), pa.array(classes, pa.list_(pa.int32())), pa.array(packed, pa.binary())],
+                    ["doc_id", "h", "g", "n", "s1", "s2", "prefix", "short", "classes", "z"])
+    return map_batches(rows, run, "doc_id long, h long, g long, n long, s1 long, s2 long, prefix array<long>, short long, classes array<int>, "
+                       "z binary")
 
 
 def _shared_shingles(prefixes: DataFrame) -> DataFrame:
@@ -209,15 +214,18 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
 def _verified(pairs: DataFrame, bodies: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs whose full sets link. ``bodies`` has (node, z)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()  # the last sets, at most 256
+        known: OrderedDict[int, np.ndarray] = OrderedDict()  # the last sets, of at most KNOWN_BYTES
+        held = 0
         unpack = zstandard.ZstdDecompressor().decompress
 
         def sets(node: int, z) -> np.ndarray:
+            nonlocal held
             if node not in known:
                 body = unpack(z.as_py())
                 known[node] = hashing.shingles(np.frombuffer(body, np.uint8), np.array([0, len(body)]), size)[0]
-                if len(known) > 256:
-                    known.popitem(last=False)
+                held += known[node].nbytes
+                while held > KNOWN_BYTES and len(known) > 1:
+                    held -= known.popitem(last=False)[1].nbytes
             else:
                 known.move_to_end(node)
             return known[node]
@@ -235,35 +243,29 @@ def _verified(pairs: DataFrame, bodies: DataFrame, size: int, num: int, den: int
     return map_batches(both.select("u", "v", "zu", "zv"), run, "u long, v long")
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(k) for k in ("id", "no_id", "h")),
-             pa.array([squeeze.compress(b) for b in batch.column("body").to_pylist()], pa.binary())], ["id", "no_id", "h", "z"])
+def text_hash(body: Column) -> list[Column]:
+    """128 bits of a text: rows with equal ones hold the same text."""
+    return [F.xxhash64(body).alias("h"), F.xxhash64(F.lit(1), body).alias("g")]
 
 
 def _classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows' named sets, nodes with their component): the join itself."""
-    rows = texts(docs).withColumn("h", F.hash("body"))
-    named = staged(_named_sets(rows, size, num, den, bucket_counts(rows, size)), "shingle-sets")
+    rows = texts(docs).select("doc_id", "body", *text_hash(F.col("body")))
+    named = _named_sets(rows, size, num, den, bucket_counts(rows, size)).withColumn("row", F.monotonically_increasing_id())
+    named = staged(named, "shingle-sets")
     groups = (named.where("n > 0").groupBy("s1", "s2")
-              .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("text"),
+              .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "g", "row")).alias("text"),
                    F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("short").alias("short"),
                    F.first("classes").alias("classes")))
     nodes = staged(groups.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
     prefixes = nodes.select("node", "n", F.col("short").alias("k"), F.posexplode("prefix").alias("pos", "token")).select(
         "token", "node", "n", "pos", (F.col("pos") < F.col("k")).alias("short"))
     met = staged(_shared_shingles(prefixes), "shared-shingles")
-    packed = map_batches(rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "h", "body"),
-                         _pack, "id long, no_id boolean, h int, z binary")
-
     def links(pairs: DataFrame, name: str) -> DataFrame:
         pairs = staged(_suffix_filter(pairs, nodes, num, den), f"{name}-pairs")
         asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        wanted = nodes.join(asked, "node").select("node", *_text_key())
-        # rows with equal doc_id and text hash hold the same text: one of them serves
-        bodies = packed.join(wanted, ["id", "no_id", "h"]).groupBy("node").agg(F.min("z").alias("z"))
+        wanted = nodes.join(asked, "node").select("node", F.col("text.row").alias("row"))
+        bodies = named.select("row", "z").join(wanted, "row").select("node", "z")
         return staged(_verified(pairs, staged(bodies, f"{name}-texts"), size, num, den), f"{name}-links")
     first = links(_pivot_pairs(met, num, den), "pivot")
     labels = staged(components(first), "pivot-components")
@@ -273,10 +275,6 @@ def _classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     return named, staged(placed.withColumn("component", F.coalesce("component", "node")), "placed-nodes")
 
 
-def _text_key() -> list[Column]:
-    return [F.coalesce("text.doc_id", F.lit(0)).alias("id"), F.col("text.no_id").alias("no_id"), F.col("text.h").alias("h")]
-
-
 def document_components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
     named, placed = _classes(docs, size, num, den)
@@ -290,14 +288,19 @@ def document_components(docs: DataFrame, size: int, num: int, den: int) -> DataF
 def one_of_each(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """One row of each class of linked documents, that of the least doc_id (a null doc_id counts as the greatest), with all
     its columns; rows without words stay."""
-    _, placed = _classes(docs, size, num, den)
-    chosen = placed.groupBy("component").agg(F.min("text").alias("text")).select(*(c.alias(f"__{n}") for c, n in zip(
-        _text_key(), ("id", "no_id", "h"), strict=True)))
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = (docs.withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__no_id", F.col("doc_id").isNull())
-             .withColumn("__h", F.hash(body.cast("binary"))))
-    keys = ["__id", "__no_id", "__h"]
-    worded = body.rlike(r"[^\x20\x09-\x0D]")
-    # a row that repeats with its doc_id and text is chosen once
-    kept = keyed.where(worded).join(chosen, keys, "left_semi").dropDuplicates(keys)
-    return kept.unionByName(keyed.where(~worded)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    named, placed = _classes(docs, size, num, den)
+    keys = ["__id", "__no_id", "__h", "__g"]
+
+    def keyed(df: DataFrame, doc_id: Column, h: Column, g: Column) -> DataFrame:
+        return df.withColumns(dict(zip(keys, (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), h, g), strict=True)))
+    chosen = placed.groupBy("component").agg(F.min("text").alias("t")).select(F.col("t.row").alias("row"))
+    rows = named.select("doc_id", "h", "g", "row", "n")
+    counts = keyed(rows, F.col("doc_id"), F.col("h"), F.col("g")).groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"))
+    chosen = keyed(rows.join(chosen, "row"), F.col("doc_id"), F.col("h"), F.col("g")).select(*keys).join(counts, keys)
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    docs_keyed = keyed(docs, F.col("doc_id").cast("long"), *text_hash(body))
+    worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    met = docs_keyed.where(worded).join(chosen, keys)
+    # only rows that repeat with their doc_id and text go through an aggregate
+    kept = met.where("__copies = 1").unionByName(met.where("__copies > 1").dropDuplicates(keys)).drop("__copies")
+    return kept.unionByName(docs_keyed.where(~worded)).select(*(F.col(f"`{c}`") for c in docs.columns))

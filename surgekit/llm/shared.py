@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import delete_at_exit, scratch_path
+from ..session import delete_at_exit, scratch_path, ship_package
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of one Arrow batch. Texts of a batch are cut again by bytes (``byte_chunks``), so this bounds what a
@@ -28,24 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends the package's source to the executors once per application, so that Python workers can import it wherever
-    they run (what ``--py-files`` does)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_surgekit_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="surgekit-src-"), "surgekit_src.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    sc.addPyFile(target)
-    sc._surgekit_shipped = True
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """What the Arrow stages rely on: bounded batches and the package on the executors."""
     ship_package(spark)
@@ -100,9 +82,42 @@ def byte_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES,
         row = end
 
 
+_CACHES: list = []
+_STAGE = [""]
+
+
+def worker_cache(store):
+    """Registers a dictionary or list that a Python worker keeps between tasks of one stage; another stage's first task empties it."""
+    _CACHES.append(store)
+    return store
+
+
+def _enter(stage: str) -> None:
+    """Workers are reused from stage to stage: what an earlier stage kept goes before another one begins."""
+    if _STAGE[0] != stage:
+        _STAGE[0] = stage
+        for store in _CACHES:
+            store.clear()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, which the allocators would keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with bounded batches; a worker's caches and freed memory don't outlive the stage."""
     prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    stage = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _enter(stage)
+        yield from fn(batches)
+        _give_back()
+    return df.mapInArrow(run, schema)
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoding import encode_texts
+from .encoding import encode_bodies
 from .shared import map_batches, staged, texts
 
 WIDTH, RANK_BITS, SEGMENT = 8, 512, 1 << 20
@@ -108,7 +108,7 @@ def write_codes(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
         size = 0
         for batch in batches:
-            encoded = encode_texts(tokenizer, batch.column("text").to_pylist(), end)
+            encoded = encode_bodies(tokenizer, batch.column("body"), end, special=True)
             for doc_id, e in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 if held and size + len(e) > 4 * SEGMENT:
                     yield flush()
@@ -118,8 +118,8 @@ def write_codes(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
                 size += len(e)
         if held:
             yield flush()
-    rows = texts(docs).select("doc_id", F.col("body").cast("string").alias("text"), F.xxhash64("body").alias("h"))
-    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = texts(docs).withColumn("h", F.xxhash64("body"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "body")
     return staged(map_batches(ordered, run, SEGMENT_SCHEMA), "token-codes")
 
 

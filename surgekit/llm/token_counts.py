@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoding import encode_texts
+from .encoding import encode_bodies
 from .shared import map_batches, staged, texts
 
 BLOCK = 1 << 20
@@ -53,7 +53,7 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_bytes: int
             block, names = block + 1, []
             return out
         for batch in batches:
-            encoded = encode_texts(tokenizer, batch.column("text").to_pylist(), separator)
+            encoded = encode_bodies(tokenizer, batch.column("body"), separator)
             for doc_id, e in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 ids = np.frombuffer(e, "<u4")
                 if int(ids.max()) >> (8 * width):
@@ -65,8 +65,7 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_bytes: int
                     del pending[:block_bytes]
         if pending or names:
             yield row(bytes(pending))
-    rows = texts(docs).select("doc_id", F.col("body").cast("string").alias("text"))
-    return staged(map_batches(rows, run, FLAT_SCHEMA), "flat-tokens")
+    return staged(map_batches(texts(docs), run, FLAT_SCHEMA), "flat-tokens")
 
 
 def scan(flat: DataFrame, separator: int, width: int = ID_BYTES) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from surgekit.llm import ngram_join
 from surgekit.llm.components import components
@@ -99,3 +100,16 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     got = {c["node"]: c["component"] for c in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for x in up}
+
+
+def test_null_ids_with_equal_short_hashes_are_kept_apart(spark):
+    """Two texts that a 32-bit hash can't tell apart, both without an id: neither is lost, and neither takes the other's links."""
+    some = spark.range(400_000).select(F.concat(F.lit("left or right text of number "), "id").alias("text"))
+    twins = some.groupBy(F.hash(F.col("text").cast("binary")).alias("k")).agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b")
+    a, b = twins.orderBy("k").select("a", "b").first()
+    near = a + " and more of the same words so that one word differs"
+    rows = [(None, a, 0, None, 0), (None, b, 0, None, 0), (7, b, 0, None, 0), (8, near, 0, None, 0), (None, near, 0, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in ngram_join.document_components(df, 3, 90, 100).collect())
+    assert got == brute(rows, 3, 90, 100)
+    assert sorted(r["text"] for r in ngram_join.one_of_each(df, 3, 90, 100).collect()) == sorted([a, b, near])

@@ -31,6 +31,6 @@ def test_stage_on_hostile_and_empty_rows(spark, hostile, k):
 def test_run(spark):
     docs = table(spark, SF_SMALL, "documents")
     out = corpus_pipeline.run(spark, SF_SMALL)
-    assert out.columns == ["doc_id", "n_tokens", "ids"]
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
     n = out.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     assert 0.3 * docs.count() < n[0] == n[1] <= docs.count()

@@ -4,12 +4,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from surgekit.llm import token_codes, token_counts
-from surgekit.llm.encoding import encode_texts
+from surgekit.llm.encoding import encode_bodies
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, h string"
@@ -25,16 +26,34 @@ def whole():
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def default():
+    """As the library does by itself: a special token's string gives its id."""
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(JSON)
+    return lambda s: t.encode(s, add_special_tokens=False).ids
+
+
 def random_texts(n=200):
     r = random.Random(3)
     alphabet = "ab cdé\n\t  '.,!?19 ñ漢"
     return ["".join(r.choice(alphabet) for _ in range(r.randint(0, 80))) for _ in range(n)]
 
 
-def test_chunks_give_the_ids_of_the_whole_text(whole):
-    texts = [t or "" for t in TEXTS] + random_texts()
-    for text, got in zip(texts, encode_texts(JSON, texts, 2), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == [*whole(text), 2], repr(text)
+MARK = "<|endoftext|>"
+
+
+@pytest.mark.parametrize("special", [False, True])
+def test_chunks_give_the_ids_of_the_whole_text(whole, default, special):
+    r = random.Random(4)
+    texts = [t or "" for t in TEXTS] + random_texts() + [f"a{x}{MARK}{y}b{MARK}" for x in ("", " ", "\n", ",") for y in ("", " ", "  ", "\t")]
+    texts += ["".join(r.choice(["a", " ", "\u00a0", "\u2003", "\u3000", "\u0085", "\u1680", "\u2028", "é", "漢", "\x1c", "\u205f", "\u200b"])
+                      for _ in range(30)) for _ in range(300)]
+    want = default if special else whole
+    bodies = pa.array([t.encode() for t in texts], pa.binary())
+    for text, got in zip(texts, encode_bodies(JSON, bodies, 2, special), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == [*want(text), 2], repr(text)
+    assert 50256 in want(f"x{MARK}") or not special
 
 
 def test_codes_round_trip_and_random_access():
@@ -45,13 +64,13 @@ def test_codes_round_trip_and_random_access():
         assert all(codes.token(i) == ids[i] for i in range(0, len(ids), 7))
 
 
-def test_op1_files(spark, whole):
+def test_op1_files(spark, default):
     rows = [(i * 3 % 101, t, "x") for i, t in enumerate(TEXTS + random_texts(80))] + [(None, "null id", None), (3, "again", None)]
     segments = token_codes.write_codes(spark.createDataFrame(rows, SCHEMA).repartition(4), JSON, 2)
     got = sorted(token_codes.read_back(segments).collect(), key=lambda r: r["start"])
     keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
     assert keys == sorted(keys) and len(got) == len(rows)
-    want = sorted((i is not None, i or 0, zlib.crc32(np.array([*whole(t or ""), 2], "<u4").tobytes())) for i, t, _ in rows)
+    want = sorted((i is not None, i or 0, zlib.crc32(np.array([*default(t or ""), 2], "<u4").tobytes())) for i, t, _ in rows)
     assert want == sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["ids_crc32"]) for r in got)
     start = 0
     for r in got:
@@ -62,7 +81,7 @@ def test_op1_files(spark, whole):
     assert flat[None]["start"] == 0
     tokens = {r["place"]: r["token"] for r in token_codes.tokens_at(segments, places).collect()}
     assert len(tokens) == len(range(0, start, 37))
-    assert tokens[0] == whole("null id")[0]
+    assert tokens[0] == default("null id")[0]
 
 
 def test_op1_empty(spark):
