@@ -37,7 +37,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document that is left."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document that is left: the digest is that of the bytes its ids decode to, which
+    are the text's own. Null and empty texts have no ids."""
     encoder = byte_bpe.make_encoder(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return byte_bpe.encode(docs, encoder)
 
