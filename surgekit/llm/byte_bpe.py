@@ -137,9 +137,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def _value(ids: list[int], decoded: bytes) -> tuple[bytes, bytes]:
-    """What is kept of a chunk: its ids as unsigned 32-bit integers, the bytes they decode to."""
-    return array("I", ids).tobytes(), decoded
+def _value(ids: list[int], decoded: bytes, decimal: bool) -> tuple[bytes, bytes]:
+    """What is kept of a chunk: its ids as unsigned 32-bit integers or in decimal, each with a space after it, and the bytes they decode to."""
+    return b"".join([b"%d " % i for i in ids]) if decimal else array("I", ids).tobytes(), decoded
 
 
 class Encoder:
@@ -148,11 +148,11 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, frequent: pa.Table):
         self.ranks, self.pattern, self.frequent = ranks, pattern, frequent
 
-    def coder(self) -> ChunkCoder:
+    def coder(self, decimal: bool = False) -> ChunkCoder:
         import regex
         cut, ranks = regex.compile(self.pattern), self.ranks
         token = {r: k for k, r in ranks.items()}
-        frequent = {b" " + w.as_py().encode(): _value(i.as_py(), d.as_py()) for w, i, d in zip(
+        frequent = {b" " + w.as_py().encode(): _value(i.as_py(), d.as_py(), decimal) for w, i, d in zip(
             *(self.frequent.column(c) for c in ("word", "ids", "decoded")), strict=True)}
         done: dict[str, tuple[bytes, bytes]] = {}
 
@@ -165,7 +165,7 @@ class Encoder:
                 ids = of_piece(unit.encode())
             else:
                 ids = [i for piece in cut.findall(unit) for i in of_piece(piece.encode())]
-            return _value(ids, b"".join([token[i] for i in ids]))
+            return _value(ids, b"".join([token[i] for i in ids]), decimal)
 
         def encode(chunks: list[str]) -> list[tuple[bytes, bytes]]:
             if len(done) > CACHED_UNITS:
@@ -237,17 +237,17 @@ _CODER: dict[str, ChunkCoder] = worker_cache({})
 
 
 def _map_encoded(docs: DataFrame, encoder: Encoder, make: Callable, schema: str) -> DataFrame:
-    """``make`` of a row's doc_id, its ids (a numpy array) and the bytes they decode to, for every row."""
+    """``make`` of a row's doc_id, its ids (bytes, as the digest or the encoding keeps them) and the bytes they decode to, for every row."""
     shared, key = docs.sparkSession.sparkContext.broadcast(encoder), uuid.uuid4().hex
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _CODER:
-            _CODER[key] = shared.value.coder()
+            _CODER[key] = shared.value.coder(schema == DIGEST)
         for batch in batches:
             doc_ids = iter(batch.column("doc_id").to_pylist())
             for ids, decoded in _CODER[key].columns(batch.column("body")):
-                rows = [make(next(doc_ids), np.frombuffer(i, "<u4"), d) for i, d in zip(ids, decoded, strict=True)]
+                rows = [make(next(doc_ids), i, d) for i, d in zip(ids, decoded, strict=True)]
                 yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema=_ARROW[schema])
     return map_batches(texts(docs), run, schema)
 
@@ -261,16 +261,16 @@ _ARROW = {DIGEST: pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), (
 
 def digest(docs: DataFrame, encoder: Encoder) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of ``docs``."""
-    def make(doc_id: int | None, ids: np.ndarray, decoded: memoryview) -> tuple:
-        listed = " ".join(map(str, ids.tolist())).encode()
-        return doc_id, len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    def make(doc_id: int | None, ids: memoryview, decoded: memoryview) -> tuple:
+        return doc_id, bytes(ids).count(b" "), hashlib.sha256(ids[:-1]).hexdigest(), hashlib.sha256(decoded).hexdigest()
     return _map_encoded(docs, encoder, make, DIGEST)
 
 
 def encode(docs: DataFrame, encoder: Encoder) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256), a row for each row of ``docs``; the digest is that of the bytes which the ids decode to."""
-    def make(doc_id: int | None, ids: np.ndarray, decoded: memoryview) -> tuple:
-        return doc_id, len(ids), ids.astype(np.int32), hashlib.sha256(decoded).hexdigest()
+    def make(doc_id: int | None, listed: memoryview, decoded: memoryview) -> tuple:
+        ids = np.frombuffer(listed, "<i4")
+        return doc_id, len(ids), ids, hashlib.sha256(decoded).hexdigest()
     return _map_encoded(docs, encoder, make, ENCODED)
 
 
