@@ -33,24 +33,26 @@ def label_inputs(engagement: DataFrame, summary: DataFrame, min_days: int = 7) -
              .drop("_avg"))
 
 
-def _rule(strategy: str, thr: float, vel_thr: float) -> F.Column:
-    if strategy == "existing":
-        return F.coalesce(F.col("is_potentially_viral"), F.lit(False)).cast("int")
-    if strategy == "ratio":
-        return (F.col("view_ratio") >= thr).cast("int")
-    if strategy == "combined":
-        return ((F.col("view_ratio") >= thr) | (F.col("velocity_score") >= vel_thr)).cast("int")
-    raise ValueError(f"unknown strategy {strategy!r}")
+def threshold_grid(thr0: float) -> list[float]:
+    """Every threshold the ±step walk can reach in ADJUST_MAX_ITER steps, in ascending order; the middle one is ``thr0``."""
+    return [thr0 if j == 0 else round(thr0 + ADJUST_STEP * j, 1) for j in range(-ADJUST_MAX_ITER, ADJUST_MAX_ITER + 1)]
 
 
-def threshold_grid(thr0: float) -> list[float]:
-    """Every threshold the ±step walk can reach in ADJUST_MAX_ITER steps."""
-    return sorted({round(thr0 + ADJUST_STEP * j, 1) for j in range(-ADJUST_MAX_ITER, ADJUST_MAX_ITER + 1)})
+def _existing() -> F.Column:
+    return F.coalesce(F.col("is_potentially_viral"), F.lit(False))
+
 
+def _combined(ratio: F.Column, vel_thr: float) -> F.Column:
+    return ratio | (F.col("velocity_score") >= vel_thr)
 
-def resolve_labelling(d: DataFrame, strategy: str = "auto", view_ratio_threshold: float = 3.0,
-                      velocity_threshold: float = 1.0) -> tuple[str, float]:
-    """C04 auto strategy + C05 threshold walk, from ONE aggregate over the whole candidate grid."""
+
+def labelling_decision(d: DataFrame, strategy: str = "auto", view_ratio_threshold: float = 3.0,
+                       velocity_threshold: float = 1.0) -> DataFrame:
+    """C04 auto strategy + C05 threshold walk as a one-row relation (label_strategy, view_ratio_threshold).
+
+    One aggregate gives the positive rate of every threshold of the grid; the walk is a fold over that row, moving one place
+    down the grid while the rate is too low and one up while it is too high. Nothing runs while the plan is built. Without
+    rows, or where no rate is known, the walk stays and ``auto`` resolves to 'combined'."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy={strategy!r} is invalid; choose from {STRATEGIES}")
     grid = threshold_grid(view_ratio_threshold)
@@ -58,43 +60,47 @@ def resolve_labelling(d: DataFrame, strategy: str = "auto", view_ratio_threshold
     # instead of each inlining the full ratio expressions (keeps the aggregate inside whole-stage codegen)
     n = d.select(F.explode(F.array(F.struct(
         F.col("view_ratio").alias("view_ratio"), F.col("velocity_score").alias("velocity_score"),
-        F.coalesce(F.col("is_potentially_viral"), F.lit(False)).alias("is_potentially_viral")))).alias("_r")) \
-        .select("_r.*")
-    aggs = [(F.avg(F.col("is_potentially_viral").cast("double")) * 100).alias("existing")]
-    for s_ in ("ratio", "combined"):
-        for i, t in enumerate(grid):
-            aggs.append((F.avg(_rule(s_, t, velocity_threshold).cast("double")) * 100).alias(f"{s_}_{i}"))
-    row = n.agg(*aggs).first()  # one row of 2*len(grid)+1 rates
-    if row is None or row["existing"] is None:
-        raise ValueError("no eligible rows to label")
-    resolved = strategy
+        _existing().alias("is_potentially_viral")))).alias("_r")).select("_r.*")
+
+    def rate(positive):
+        return F.avg(positive.cast("int").cast("double")) * 100
+
+    over = [F.col("view_ratio") >= t for t in grid]
+    rates = n.agg(rate(F.col("is_potentially_viral")).alias("_existing"),
+                  F.array(*[rate(c) for c in over]).alias("_ratio"),
+                  F.array(*[rate(_combined(c, velocity_threshold)) for c in over]).alias("_combined"))
     if strategy == "auto":
-        lo, hi = AUTO_EXISTING_RANGE
-        resolved = "existing" if lo <= row["existing"] <= hi else "combined"
-    thr = view_ratio_threshold
-    if resolved in ("ratio", "combined"):
-        rate = {t: row[f"{resolved}_{i}"] for i, t in enumerate(grid)}
-        for _ in range(ADJUST_MAX_ITER):
-            r = rate[round(thr, 1)]
-            if r < ADJUST_RANGE[0]:
-                thr = round(thr - ADJUST_STEP, 1)
-            elif r > ADJUST_RANGE[1]:
-                thr = round(thr + ADJUST_STEP, 1)
-            else:
-                break
-    return resolved, thr
+        resolved = F.when(F.col("_existing").between(*AUTO_EXISTING_RANGE), F.lit("existing")).otherwise(F.lit("combined"))
+    else:
+        resolved = F.lit(strategy)
+    rates = rates.select(resolved.alias("label_strategy"), "_ratio", "_combined")
+    rates = rates.select("label_strategy", F.when(F.col("label_strategy") == "ratio", F.col("_ratio"))
+                         .when(F.col("label_strategy") == "combined", F.col("_combined")).alias("_rates"))
+
+    def step(at, _):
+        r = F.get(F.col("_rates"), at)
+        return at + F.when(r < ADJUST_RANGE[0], -1).when(r > ADJUST_RANGE[1], 1).otherwise(0)
+
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(ADJUST_MAX_ITER)), F.lit(ADJUST_MAX_ITER), step)
+    return rates.select("label_strategy", F.get(F.array(*[F.lit(float(t)) for t in grid]), place)
+                        .alias("view_ratio_threshold"))
+
+
+def decided_label(velocity_threshold: float = 1.0) -> F.Column:
+    """The 0/1 label of a row that carries the decision's columns."""
+    ratio = F.col("view_ratio") >= F.col("view_ratio_threshold")
+    return F.when(F.col("label_strategy") == "existing", _existing()).when(F.col("label_strategy") == "ratio", ratio) \
+        .otherwise(_combined(ratio, velocity_threshold)).cast("int")
 
 
 def viral_label(engagement: DataFrame, summary: DataFrame, strategy: str = "auto",
                 view_ratio_threshold: float = 3.0, velocity_threshold: float = 1.0,
                 min_days_published: int = 7) -> DataFrame:
-    """C04 + C05: binary label per eligible item."""
+    """C04 + C05: binary label per eligible item; no eligible item gives no rows."""
     d = label_inputs(engagement, summary, min_days_published)
-    resolved, thr = resolve_labelling(d, strategy, view_ratio_threshold, velocity_threshold)
-    return d.select("video_id", "channel_id", "view_count", "days_since_published", "view_ratio",
-                    "velocity_score", _rule(resolved, thr, velocity_threshold).alias("is_viral"),
-                    F.lit(resolved).alias("label_strategy"),
-                    F.lit(float(thr)).alias("view_ratio_threshold"))
+    d = attach_scalars(d, labelling_decision(d, strategy, view_ratio_threshold, velocity_threshold))
+    return d.select("video_id", "channel_id", "view_count", "days_since_published", "view_ratio", "velocity_score",
+                    decided_label(velocity_threshold).alias("is_viral"), "label_strategy", "view_ratio_threshold")
 
 
 # --- label quality (A05–A08, A13) ---------------------------------------------------------
