@@ -202,14 +202,15 @@ def first_containing(queries: DataFrame, entities: DataFrame, qkey: str, qtext:
     (case-insensitive); queries without one are left out.
 
     A name holds a text if one of its substrings of that length equals it, so the search is an equi-join on substrings of the
-    lengths that query texts have (a short list: no length above the longest name matters). Each substring keeps its least
+    lengths that query texts have (a one-row relation: no length above the longest name matters, and nothing runs while the
+    plan is built). Each substring keeps its least
     entity before the join, so a substring common to all names is one row."""
-    longest = entities.agg(F.max(F.length(F.lower(F.col(cname))))).first()[0] or 0
     text = F.lower(F.col(qtext))
-    lengths = [r[0] for r in queries.select(F.length(text).alias("n")).where(F.col("n") <= longest).distinct().collect()]
-    sizes = F.array(*map(F.lit, sorted(lengths))) if lengths else F.expr("cast(array() as array<int>)")
     low = entities.where(F.col(cid).isNotNull()).select(cid, cname, F.lower(F.col(cname)).alias("_low"))
-    cut = low.select(cid, cname, "_low", F.explode(sizes).alias("_n")).where(F.length("_low") >= F.col("_n"))
+    longest = low.agg(F.max(F.length("_low")).alias("_longest"))
+    sizes = attach_scalars(queries.select(F.length(text).alias("_n")), longest).where(F.col("_n") <= F.col("_longest")) \
+        .agg(F.collect_set("_n").alias("_sizes"))
+    cut = attach_scalars(low, sizes).select(cid, cname, "_low", F.explode(F.filter("_sizes", lambda n: n <= F.length("_low"))).alias("_n"))
     cut = cut.select(cid, cname, "_low", "_n", F.explode(F.sequence(F.lit(1), F.length("_low") - F.col("_n") + 1)).alias("_at"))
     keys = cut.groupBy(F.expr("substring(_low, _at, _n)").alias("_key")).agg(
         F.min(F.struct(F.col(cid).alias("id"), F.col(cname).alias("name"))).alias("_e"))

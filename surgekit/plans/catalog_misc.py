@@ -199,12 +199,13 @@ _CONTRACT = T.StructType([T.StructField("video_id", T.StringType()), T.StructFie
 @register("p18_lenient_flatten", RAW_BASE + """
 SELECT video_id, coalesce(category_id, 'unknown') AS category_id, coalesce(definition, 'hd') AS definition,
   coalesce(view_count, 0) AS view_count, coalesce(like_count, 0) AS like_count, coalesce(has_caption, false) AS has_caption,
-  coalesce(default_language, CAST(NULL AS VARCHAR)) AS default_language, CAST(NULL AS VARCHAR) AS audio_language
-FROM stg_flat""")
+  coalesce(default_language, json_extract_string(raw, '$.snippet.defaultAudioLanguage')) AS default_language,
+  json_extract_string(raw, '$.snippet.defaultAudioLanguage') AS audio_language
+FROM stg_flat JOIN rv ON rv.id = stg_flat.video_id""")
 def q_p18(spark, sf):
     """P18 + P08 lenient flatten: every raw item conformed to a contract with per-field defaults
     (category 'unknown', definition 'hd', counts 0, caption false, language falls back to audio language)."""
-    f = EV.extract_json(EV.raw_videos(spark, sf), "raw", EV.VIDEO_PATHS, keep=[F.col("id").alias("video_id")],
+    f = EV.extract_json(EV.raw_videos(spark, sf), "raw", EV.LENIENT_VIDEO_PATHS, keep=[F.col("id").alias("video_id")],
                         strict=False)
     c = IO.conform(f, _CONTRACT, defaults={"category_id": "unknown", "definition": "hd", "view_count": 0,
                                            "like_count": 0, "has_caption": False})
@@ -272,15 +273,19 @@ _MATCH_SQL = """
 q AS (SELECT s_suppkey AS query_id,
         CASE WHEN s_suppkey % 3 = 0 THEN 'CUSTOMER#' || lpad(CAST(s_suppkey * 5 + 2 AS VARCHAR), 9, '0')
              WHEN s_suppkey % 3 = 1 THEN lpad(CAST(s_suppkey * 5 + 3 AS VARCHAR), 9, '0')
+             WHEN s_suppkey % 6 = 2 THEN lpad(CAST(s_suppkey * 11 + 7 AS VARCHAR), 9, '0')
+             WHEN s_suppkey % 12 = 5 THEN 'mer#0'
              ELSE 'zz' || CAST(s_suppkey AS VARCHAR) END AS query_text FROM supplier),
-cand AS (SELECT q.query_id, c.c_custkey AS cand_id, c.c_name AS cand_name, c.c_custkey - q.query_id * 5 + 1 AS cand_rank
-         FROM q JOIN customer c ON c.c_custkey BETWEEN q.query_id * 5 AND q.query_id * 5 + 4),
-j AS (SELECT q.query_id, q.query_text, cand.cand_id, cand.cand_name, cand.cand_rank,
-        lower(cand.cand_name) = lower(q.query_text) OR contains(lower(cand.cand_name), lower(q.query_text)) AS hit
-      FROM q LEFT JOIN cand ON q.query_id = cand.query_id),
+j AS (SELECT q.query_id, q.query_text, c.c_custkey AS cand_id, c.c_name AS cand_name,
+        CASE WHEN c.c_custkey BETWEEN q.query_id * 5 AND q.query_id * 5 + 4 THEN c.c_custkey - q.query_id * 5 + 1 END AS listed,
+        lower(c.c_name) = lower(q.query_text) OR contains(lower(c.c_name), lower(q.query_text)) AS hit
+      FROM q CROSS JOIN customer c),
 g AS (SELECT query_id, query_text,
-        arg_min(cand_id, cand_rank) FILTER (WHERE hit) AS m_id, arg_min(cand_name, cand_rank) FILTER (WHERE hit) AS m_name,
-        arg_min(cand_id, cand_rank) AS f_id, arg_min(cand_name, cand_rank) AS f_name, count(cand_id) AS n
+        arg_min(cand_id, (coalesce(listed, 6), cand_id)) FILTER (WHERE hit) AS m_id,
+        arg_min(cand_name, (coalesce(listed, 6), cand_id)) FILTER (WHERE hit) AS m_name,
+        arg_min(cand_id, listed) FILTER (WHERE listed IS NOT NULL) AS f_id,
+        arg_min(cand_name, listed) FILTER (WHERE listed IS NOT NULL) AS f_name,
+        count(CASE WHEN hit OR listed IS NOT NULL THEN 1 END) AS n
       FROM j GROUP BY query_id, query_text)"""
 
 
@@ -289,6 +294,7 @@ def _match_inputs(spark, sf):
     k = F.col("s_suppkey")
     q = s.select(k.alias("query_id"), F.when(k % 3 == 0, F.concat(F.lit("CUSTOMER#"), F.lpad((k * 5 + 2).cast("string"), 9, "0")))
                  .when(k % 3 == 1, F.lpad((k * 5 + 3).cast("string"), 9, "0"))
+                 .when(k % 6 == 2, F.lpad((k * 11 + 7).cast("string"), 9, "0")).when(k % 12 == 5, F.lit("mer#0"))
                  .otherwise(F.concat(F.lit("zz"), k.cast("string"))).alias("query_text"))
     # each query's search returns the 5 consecutive customer keys from 5 * id (ranked 1..5); every other customer whose name
     # holds the text follows them
@@ -381,3 +387,71 @@ def q_f15(spark, sf):
     return d.select("doc_id", "lang", *[c.alias(n) for n, c in fl.items()],
                     F.lower(F.col("text")).contains(F.lower(F.col("lang"))).alias("mentions_lang"),
                     F.substring("text", 1, 200).alias("preview"))
+
+
+# --- operators that no other query reaches --------------------------------------------------------
+
+@register("t03_control_listing", "WITH " + CONTROL_SQL.strip() + "SELECT * FROM control")
+def q_t03(spark, sf):
+    """T03 whole control table, priority desc, next run, key."""
+    return C.listing(fx.control_table(spark, sf))
+
+
+@register("j11_first_row_lookup", """
+SELECT o.o_orderkey AS order_key, f.s.d AS l_shipdate, f.s.n AS l_linenumber
+FROM orders o LEFT JOIN (SELECT l_orderkey, min({'d': l_shipdate, 'n': l_linenumber}) AS s FROM lineitem
+                         WHERE l_linenumber > 2 GROUP BY 1) f ON f.l_orderkey = o.o_orderkey""")
+def q_j11(spark, sf):
+    """J11 every order with its first shipped line after the second, looked up without fan-out (orders without one stay)."""
+    lines = fx.table(spark, sf, "lineitem").where(F.col("l_linenumber") > 2).withColumnRenamed("l_orderkey", "order_key")
+    orders = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_key"))
+    cols = ["l_shipdate", "l_linenumber"]
+    return TB.lookup_first(orders, lines, "order_key", cols, cols)
+
+
+@register("i02_additive_upsert", """
+SELECT CAST(ts AS DATE) AS date, CAST(sum(CASE WHEN event_type = 'view' THEN 10 ELSE 5 END) AS BIGINT) AS quota_used,
+  count(*) AS calls FROM events GROUP BY 1""")
+def q_i02(spark, sf):
+    """I02 daily usage of views, with the other events' usage added row by row (used = used + new)."""
+    ev = fx.table(spark, sf, "events").select(F.to_date("ts").alias("date"), (F.col("event_type") == "view").alias("_view"))
+    ev = ev.withColumn("calls", F.lit(1).cast("bigint"))
+    used = ev.where("_view").groupBy("date").agg((F.count(F.lit(1)) * 10).alias("quota_used"), F.count(F.lit(1)).alias("calls"))
+    new = ev.where("_view is not true").withColumn("quota_used", F.lit(5).cast("bigint"))
+    return TB.additive_upsert(used, new, ["date"], ["quota_used", "calls"])
+
+
+@register("p16_display_rows", """
+SELECT trim(c_name) AS id, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE CAST(c_custkey AS BIGINT) * 3 END AS subscribers
+FROM customer WHERE c_custkey % 10 <> 0""")
+def q_p16(spark, sf):
+    """P16 display rows: empty ids dropped, counts in text made numbers (0 where they are none), sorted by count."""
+    k = F.col("c_custkey")
+    shown = fx.table(spark, sf, "customer").select(
+        F.when(k % 20 == 0, F.lit("  ")).when(k % 10 != 0, F.col("c_name")).alias("id"),
+        F.when(k % 7 == 0, F.lit("n/a")).otherwise((k * 3).cast("string")).alias("subscribers"))
+    return IO.clean_for_display(shown, "id", ["subscribers"], "subscribers")
+
+
+@register("f19_value_texts", with_ctes("summary") + """,
+v AS (SELECT channel_id, 'total_views' AS feature, CAST(total_views AS DOUBLE) AS value FROM summary
+      UNION ALL SELECT channel_id, 'like_ratio', total_views / 7000000000.0 FROM summary
+      UNION ALL SELECT channel_id, 'view_trend', CASE WHEN channel_id % 4 = 0 THEN 0.0 ELSE (channel_id % 100) / 8.0 END FROM summary
+      UNION ALL SELECT channel_id, 'size_tier', CAST(channel_id % 9 AS DOUBLE) FROM summary
+      UNION ALL SELECT channel_id, 'consistency', channel_id / 16.0 FROM summary)
+SELECT channel_id, feature, CASE WHEN feature = 'like_ratio' THEN printf('%.2f%%', value * 100)
+  WHEN feature = 'total_views' AND value >= 1000000 THEN printf('%.1fM', value / 1000000)
+  WHEN feature = 'total_views' AND value > 1000 THEN printf('%.0fK', value / 1000)
+  WHEN feature = 'size_tier' THEN format('{:,}', CAST(pow(10, value) AS BIGINT)) || ' subscribers'
+  WHEN feature = 'view_trend' AND value = 0 THEN 'N/A' WHEN feature = 'view_trend' THEN printf('%.2fx', value)
+  ELSE printf('%.3f', value) END AS shown FROM v""")
+def q_f19(spark, sf):
+    """F19 values as text by the feature's kind (percent, M / K, subscribers, factor, plain)."""
+    s = base(spark, sf)["channel_summary"]
+    k = F.col("channel_id")
+    values = {"total_views": F.col("total_views").cast("double"), "like_ratio": F.col("total_views") / 7000000000.0,
+              "view_trend": F.when(k % 4 == 0, 0.0).otherwise((k % 100) / 8.0), "size_tier": (k % 9).cast("double"),
+              "consistency": k / 16.0}
+    long = s.select("channel_id", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("value"))
+                                                       for n, c in values.items()])).alias("_v")).select("channel_id", "_v.*")
+    return long.select("channel_id", "feature", X.feature_value_text("feature", "value").alias("shown"))

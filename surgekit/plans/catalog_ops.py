@@ -100,9 +100,10 @@ ra AS (SELECT channel_id, category_id, CAST(sum(view_count) AS BIGINT) AS total_
               count(*) AS n_items
        FROM fact GROUP BY channel_id, category_id),
 rb AS (SELECT channel_id, category_id,
-              total_views + CASE WHEN channel_id % 17 = 0 THEN 1 ELSE 0 END AS total_views,
-              total_likes, total_comments + CASE WHEN channel_id % 23 = 0 THEN 1 ELSE 0 END AS total_comments,
-              n_items
+              total_views + CASE WHEN channel_id % 17 = 0 OR channel_id % 7 = 3 THEN 1 ELSE 0 END AS total_views,
+              total_likes + CASE WHEN channel_id % 7 = 3 THEN 2 ELSE 0 END AS total_likes,
+              total_comments + CASE WHEN channel_id % 23 = 0 OR channel_id % 7 = 3 THEN 1 ELSE 0 END AS total_comments,
+              n_items + CASE WHEN channel_id % 7 = 3 THEN 1 ELSE 0 END AS n_items
        FROM ra WHERE channel_id % 19 <> 0),
 rj AS (SELECT coalesce(ra.channel_id, rb.channel_id) AS channel_id, coalesce(ra.category_id, rb.category_id) AS category_id,
               ra.total_views AS a_total_views, ra.total_likes AS a_total_likes, ra.total_comments AS a_total_comments,
@@ -124,10 +125,13 @@ def _recon_frames(spark, sf):
     a = f.groupBy("channel_id", "category_id").agg(
         F.sum("view_count").alias("total_views"), F.sum("like_count").alias("total_likes"),
         F.sum("comment_count").alias("total_comments"), F.count(F.lit(1)).alias("n_items"))
-    b = (a.where(F.col("channel_id") % 19 != 0)
-          .withColumn("total_views", F.col("total_views") + F.when(F.col("channel_id") % 17 == 0, 1).otherwise(0))
-          .withColumn("total_comments",
-                      F.col("total_comments") + F.when(F.col("channel_id") % 23 == 0, 1).otherwise(0)))
+    k = F.col("channel_id")
+    whole = k % 7 == 3                            # owners whose every measure differs
+    b = (a.where(k % 19 != 0)
+          .withColumn("total_views", F.col("total_views") + F.when((k % 17 == 0) | whole, 1).otherwise(0))
+          .withColumn("total_likes", F.col("total_likes") + F.when(whole, 2).otherwise(0))
+          .withColumn("total_comments", F.col("total_comments") + F.when((k % 23 == 0) | whole, 1).otherwise(0))
+          .withColumn("n_items", F.col("n_items") + F.when(whole, 1).otherwise(0)))
     return a, b
 
 

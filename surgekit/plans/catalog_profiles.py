@@ -10,6 +10,7 @@ from ..operators import labels as L
 from ..operators import profiles as PR
 from ..operators import quality as Q
 from ..sources import fixtures as fx
+from . import marts
 from .catalog import base, register
 from .catalog_ops import CONTROL_SQL
 from .oracle import with_ctes
@@ -378,32 +379,33 @@ def q_a29(spark, sf):
 # --- data quality ---------------------------------------------------------------------------------
 
 def _suite(spark, sf):
-    b = base(spark, sf)
-    fct, eng = b["fact"], b["engagement"]
-    orders = fx.table(spark, sf, "orders")
+    items = marts.fact(base(spark, sf)["enhanced"], extra=["days_since_published"])
     cust = fx.table(spark, sf, "customer")
-    li = fx.table(spark, sf, "lineitem")
-    ctl = fx.control_table(spark, sf)
-    return [
-        Q.Check("unique_item_id", Q.unique(fct, ["video_id"])),
-        Q.Check("unique_lineitem_key", Q.unique(li, ["l_orderkey", "l_linenumber"])),
-        Q.Check("not_null_owner", Q.not_null(fct, "channel_id")),
-        Q.Check("fk_items_owners", Q.relationships(fct, "channel_id", cust, "c_custkey")),
-        Q.Check("fk_lineitem_orders", Q.relationships(li, "l_orderkey", orders, "o_orderkey")),
-        Q.Check("fk_orders_building_customers", Q.relationships(
-            orders, "o_custkey", cust.where(F.col("c_mktsegment") == "BUILDING"), "c_custkey"), "warn"),
-        Q.Check("accepted_engagement_level", Q.accepted_values(eng, "engagement_level", ["low", "medium", "high"])),
-        Q.Check("accepted_length_class", Q.accepted_values(fct, "video_length_category",
-                                                           ["shorts", "short", "medium", "long"])),
-        Q.Check("accepted_status_urgent_only", Q.accepted_values(orders, "o_orderstatus", ["F", "O"],
-                                                                 where=F.col("o_orderpriority") == "1-URGENT"), "warn"),
-        Q.Check("range_like_rate", Q.accepted_range(eng, "like_rate_pct", 0, 100)),
-        Q.Check("range_days_open", Q.accepted_range(eng, "days_since_published", 0, None, inclusive=False)),
-        Q.Check("non_negative_statistics", Q.non_negative(fct, "video_id", ["view_count", "like_count", "comment_count"])),
-        Q.Check("valid_engagement_rates", Q.valid_rates(eng)),
-        Q.Check("formula_self_check", Q.formula_self_check(fct)),
-        Q.Check("stale_control_rows", Q.freshness(ctl, fx.AS_OF), "warn"),
+    relations = {"items": items, "orders": fx.table(spark, sf, "orders"), "lineitem": fx.table(spark, sf, "lineitem"),
+                 "control": fx.control_table(spark, sf), "customers": cust,
+                 "building_customers": cust.where(F.col("c_mktsegment") == "BUILDING")}
+    aged = F.col("days_since_published") > 0      # the engagement relation holds these items only
+    rules = [
+        Q.Rule("unique_item_id", "items", key=["video_id"]),
+        Q.Rule("unique_lineitem_key", "lineitem", key=["l_orderkey", "l_linenumber"]),
+        Q.Rule("not_null_owner", "items", F.col("channel_id").isNull()),
+        Q.Rule("fk_items_owners", "items", key=["channel_id"], parent=("customers", "c_custkey")),
+        Q.Rule("fk_lineitem_orders", "lineitem", key=["l_orderkey"], parent=("orders", "o_orderkey")),
+        Q.Rule("fk_orders_building_customers", "orders", key=["o_custkey"], parent=("building_customers", "c_custkey"),
+               severity="warn"),
+        Q.Rule("accepted_engagement_level", "items", Q.outside_values("engagement_level", ["low", "medium", "high"], aged)),
+        Q.Rule("accepted_length_class", "items",
+               Q.outside_values("video_length_category", ["shorts", "short", "medium", "long"])),
+        Q.Rule("accepted_status_urgent_only", "orders",
+               Q.outside_values("o_orderstatus", ["F", "O"], F.col("o_orderpriority") == "1-URGENT"), severity="warn"),
+        Q.Rule("range_like_rate", "items", aged & Q.outside_range("like_rate_pct", 0, 100)),
+        Q.Rule("range_days_open", "items", aged & Q.outside_range("days_since_published", 0, None, inclusive=False)),
+        Q.Rule("non_negative_statistics", "items", Q.any_negative(["view_count", "like_count", "comment_count"])),
+        Q.Rule("valid_engagement_rates", "items", aged & Q.invalid_rates()),
+        Q.Rule("formula_self_check", "items", Q.formula_differs()),
+        Q.Rule("stale_control_rows", "control", Q.stale(fx.AS_OF), severity="warn"),
     ]
+    return rules, relations
 
 
 SUITE_SQL = with_ctes("fact", extra=CONTROL_SQL) + f"""
@@ -441,7 +443,7 @@ UNION ALL SELECT 'stale_control_rows', 'warn', (SELECT count(*) FROM control WHE
 @register("q10_quality_suite", SUITE_SQL)
 def q_q10(spark, sf):
     """Q01–Q07, Q09, Q11 as one suite: failing-row count and status per check."""
-    return Q.run_suite(_suite(spark, sf))
+    return Q.run_rules(*_suite(spark, sf))
 
 
 @register("q03_orphan_rows", """

@@ -22,7 +22,9 @@ rv AS (
     json_object(
       'snippet', json_object('channelId', CAST(channel_id AS VARCHAR), 'title', title, 'description', description,
                              'tags', CASE WHEN tags IS NULL THEN NULL ELSE json(tags) END, 'categoryId', category_id,
-                             'defaultLanguage', default_language, 'publishedAt', strftime(published_at, {ISO})),
+                             'defaultLanguage', CASE WHEN video_id % 5 <> 0 THEN default_language END,
+                             'defaultAudioLanguage', CASE WHEN video_id % 3 = 0 THEN NULL WHEN video_id % 2 = 0 THEN 'de' ELSE 'fr' END,
+                              'publishedAt', strftime(published_at, {ISO})),
       'statistics', json_object('viewCount', CAST(view_count AS VARCHAR),
                                 'likeCount', CASE WHEN video_id % 13 <> 0 THEN CAST(like_count AS VARCHAR) END,
                                 'commentCount', CASE WHEN video_id % 17 <> 0 THEN CAST(comment_count AS VARCHAR) END),

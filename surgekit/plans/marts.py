@@ -16,6 +16,8 @@ Scale notes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,9 +73,9 @@ def engagement(enh: DataFrame) -> DataFrame:
         *ENGAGEMENT_COLUMNS, *[c.alias(n) for n, c in m.items()])
 
 
-def fact(enh: DataFrame) -> DataFrame:
+def fact(enh: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Fact table = C01 ⟕ C02; metrics are NULL for items of age 0 (computed as a projection
-    of C01, which is what the key join on the same items produces)."""
+    of C01, which is what the key join on the same items produces); ``extra`` columns of C01 follow."""
     m = _metric_columns()
     aged = F.col("days_since_published") > 0
     mcols = [F.when(aged, m[n]).alias(n) for n in
@@ -83,7 +85,7 @@ def fact(enh: DataFrame) -> DataFrame:
         "video_id", "channel_id", "category_id", "title", "published_at", "published_date", "published_year",
         "published_month", "channel_name", "country_code", "video_length_category", "duration_seconds",
         "view_count", "like_count", "comment_count", *mcols,
-        "has_caption", "is_embeddable", "is_made_for_kids", "definition", "crawled_at")
+        "has_caption", "is_embeddable", "is_made_for_kids", "definition", "crawled_at", *extra)
 
 
 def channel_summary(enh: DataFrame) -> DataFrame:

@@ -42,7 +42,8 @@ def raw_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.struct(
         F.struct(F.col("channel_id").cast("string").alias("channelId"), "title", "description",
                  F.from_json("tags", T.ArrayType(T.StringType())).alias("tags"),
-                 F.col("category_id").alias("categoryId"), F.col("default_language").alias("defaultLanguage"),
+                 F.col("category_id").alias("categoryId"), F.when(k % 5 != 0, F.col("default_language")).alias("defaultLanguage"),
+                 F.when(k % 3 != 0, F.when(k % 2 == 0, F.lit("de")).otherwise(F.lit("fr"))).alias("defaultAudioLanguage"),
                  F.date_format("published_at", ISO_Z).alias("publishedAt")).alias("snippet"),
         F.struct(F.col("view_count").cast("string").alias("viewCount"),
                  F.when(k % 13 != 0, F.col("like_count").cast("string")).alias("likeCount"),
@@ -242,6 +243,9 @@ VIDEO_PATHS = {
     "is_made_for_kids": ("$.status.madeForKids", "boolean"),
 }
 
+# the lenient flatten also reads the audio language, which stands in for a missing text language
+LENIENT_VIDEO_PATHS = {**VIDEO_PATHS, "audio_language": ("$.snippet.defaultAudioLanguage", "value")}
+
 CHANNEL_PATHS = {
     "channel_name": ("$.items[0].snippet.title", "value"),
     "description": ("$.items[0].snippet.description", "value"),
