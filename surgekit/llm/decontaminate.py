@@ -185,23 +185,26 @@ def align(item: bytes, text: bytes, most: int, low: int, high: int) -> tuple[int
         return 0, at, at + len(item)
     if most == 0:
         return None
-    first, ends = _last_row(item, text, low, high)
+    first, ends = _last_row(item, text, low, high, most)
     k = int(ends.argmin())
     if ends[k] > most:
         return None
     end = first + k
     shift = end - len(item)  # reversed, a diagonal d becomes end - m - d
-    back, starts = _last_row(item[::-1], text[:end][::-1], shift - high, shift - low)
+    back, starts = _last_row(item[::-1], text[:end][::-1], shift - high, shift - low, most)
     k = int(np.flatnonzero(starts <= ends[k])[0])
     return int(starts[k]), end - (back + k), end
 
 
 _FAR = 1 << 30
+#: Rows of the recurrence between two looks at whether the budget is spent.
+LOOK = 12
 
 
-def _last_row(item: bytes, text: bytes, low: int, high: int) -> tuple[int, np.ndarray]:
+def _last_row(item: bytes, text: bytes, low: int, high: int, most: int = _FAR) -> tuple[int, np.ndarray]:
     """(first place, least edits of the item against a part of the text that ends at it and at the following places), over paths on the
-    diagonals from ``low`` to ``high``. Row i of the recurrence holds the places i + low to i + high only."""
+    diagonals from ``low`` to ``high``. Row i of the recurrence holds the places i + low to i + high only. A row's least value
+    never falls from one row to the next, so once it is above ``most`` no end can be within it: then one far value is returned."""
     t = np.frombuffer(text, np.uint8)
     width, m = high - low + 1, len(item)
     padded = np.zeros(m + width + 2, np.int16) - 1  # text places low.. of the band's parallelogram, -1 outside of the text
@@ -220,6 +223,8 @@ def _last_row(item: bytes, text: bytes, low: int, high: int) -> tuple[int, np.nd
         row = np.minimum(np.minimum.accumulate(new - ramp) + ramp, _FAR)  # the one before: a text's character is left out
         if place[-1] > len(t):
             row[place > len(t)] = _FAR
+        if i % LOOK == 0 and row.min() > most:
+            return 0, np.array([_FAR])
     keep = np.flatnonzero((place >= 0) & (place <= len(t)))
     if not len(keep):
         return 0, np.array([_FAR])
