@@ -84,6 +84,26 @@ def apply_run_results(control: DataFrame, results: DataFrame, as_of) -> DataFram
           for c in control.columns])
 
 
+def append_run_log(log: DataFrame, results: DataFrame, as_of=None) -> DataFrame:
+    """The log with one row more for every run of ``results`` (channel_id, status, and what it has of the log's other columns).
+    New ids follow the log's greatest in the order of run time, channel and the rest of the row (distributed rank; an empty log starts
+    at 1). A successful run has no error text, a failed one neither records nor a run time; runs of any other status are not
+    logged. ``as_of`` stamps runs that bring no ``crawl_ts``. Equal runs are all logged."""
+    from .ordering import global_rank
+    from .tables import attach_scalars
+    ok, bad = F.col("status") == "success", F.col("status") == "failed"
+    only = {"records_fetched": ok, "execution_time_seconds": ok, "error_msg": bad}
+    stamp = F.lit(None) if as_of is None else _ts(as_of)
+    given = {c: F.col(c) if c in results.columns else F.lit(None) for c in log.columns if c != "log_id"}
+    given["crawl_ts"] = F.coalesce(given["crawl_ts"], stamp)
+    runs = results.where(ok | bad).select(*[(F.when(only[c], v) if c in only else v).cast(log.schema[c].dataType).alias(c)
+                                            for c, v in given.items()])
+    runs = global_rank(runs, ["crawl_ts", "channel_id", *[c for c in runs.columns if c not in ("crawl_ts", "channel_id")]], rank_col="_rk")
+    top = log.agg(F.coalesce(F.max("log_id"), F.lit(0)).alias("_top"))
+    runs = attach_scalars(runs, top).withColumn("log_id", (F.col("_top") + F.col("_rk")).cast(log.schema["log_id"].dataType))
+    return log.unionByName(runs.select(*log.columns))
+
+
 def high_water_marks(items: DataFrame, key: str = "channel_id", ts: str = "published_at") -> DataFrame:
     """Latest published item per entity."""
     return items.groupBy(key).agg(F.max(ts).alias("last_video_published_at"))

@@ -3,6 +3,9 @@ I11, S16, T03, P13, P15, P18), scoring (C17–C26, M05, S15) and explanations (C
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,9 +15,11 @@ from ..operators import labels as L
 from ..operators import scoring as SC
 from ..operators import tables as TB
 from ..operators.ml import TWO_STAGE_THRESHOLD
+from ..session import delete_at_exit, scratch_path
 from ..sources import envelopes as EV
 from ..sources import fixtures as fx
 from ..sources import io as IO
+from ..sources import layers as LY
 from .catalog import base, register
 from .catalog_ops import CONTROL_SQL, RUNLOG_SQL
 from .catalog_staging import BASE as RAW_BASE
@@ -455,3 +460,58 @@ def q_f19(spark, sf):
     long = s.select("channel_id", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("value"))
                                                        for n, c in values.items()])).alias("_v")).select("channel_id", "_v.*")
     return long.select("channel_id", "feature", X.feature_value_text("feature", "value").alias("shown"))
+
+
+# --- I03 log append, S10 / I01 layers -------------------------------------------------------------
+
+@register("i03_run_log_append", "WITH " + RUNLOG_SQL.strip() + """,
+old AS (SELECT * FROM runlog WHERE crawl_ts < TIMESTAMP '2024-01-25'),
+runs AS (SELECT * REPLACE (CASE WHEN status = 'success' THEN records_fetched END AS records_fetched,
+                           CASE WHEN status = 'success' THEN execution_time_seconds END AS execution_time_seconds)
+         FROM runlog WHERE crawl_ts >= TIMESTAMP '2024-01-25')
+SELECT * FROM old
+UNION ALL
+SELECT * REPLACE ((SELECT max(log_id) FROM old) + row_number() OVER (
+  ORDER BY crawl_ts, channel_id, records_fetched NULLS FIRST, status, error_msg NULLS FIRST, execution_time_seconds NULLS FIRST) AS log_id)
+FROM runs""", ["execution_time_seconds"])
+def q_i03_log(spark, sf):
+    """I03 second half: the runs since 25 January appended to the log of the runs before."""
+    log = fx.run_log(spark, sf)
+    cut = F.lit("2024-01-25").cast("timestamp")
+    return C.append_run_log(log.where(F.col("crawl_ts") < cut), log.where(F.col("crawl_ts") >= cut).drop("log_id"))
+
+
+def _order_layer(spark, sf):
+    """The orders as a mart partitioned by month, in a folder that goes when the application ends; (its path, the orders)."""
+    orders = fx.table(spark, sf, "orders")
+    root = f"{scratch_path(spark, 'order-layer')}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, root)
+    IO.materialize_layer(orders, root, "mart", "orders", "o_orderdate", cluster_by=["o_orderkey"])
+    return f"{IO.layer_path(root, 'mart')}/orders", orders
+
+
+@register("s10_layer_date_scan", """
+SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-10' AND o_orderdate < TIMESTAMP '1996-06-05'""", ["o_totalprice"])
+def q_s10(spark, sf):
+    """S10 a mart partitioned by month, read by a range of dates: only the months that overlap it are listed."""
+    path, _ = _order_layer(spark, sf)
+    return LY.scan_dates(spark, path, "o_orderdate", datetime(1996, 3, 10), datetime(1996, 6, 5))
+
+
+@register("i01_layer_merge", """
+WITH src AS (
+  SELECT o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 1000000000 ELSE 0 END AS o_orderkey, o_custkey, 'M' AS o_orderstatus,
+    o_totalprice + 1 AS o_totalprice, o_orderdate + to_days(CAST(o_orderkey % 60 AS INTEGER)) AS o_orderdate, o_orderpriority
+  FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-04-01')
+SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM src) UNION ALL SELECT * FROM src""", ["o_totalprice"])
+def q_i01_layer(spark, sf):
+    """I01 on that mart: the orders of a quarter come again, a third of them as new keys, the others changed and up to 59 days later;
+    only the months that lose or gain a row are rewritten."""
+    path, orders = _order_layer(spark, sf)
+    k, when = F.col("o_orderkey"), F.col("o_orderdate")
+    src = orders.where((when >= F.lit("1998-01-01").cast("timestamp")) & (when < F.lit("1998-04-01").cast("timestamp"))).select(
+        (k + F.when(k % 3 == 0, F.lit(10 ** 9)).otherwise(F.lit(0))).alias("o_orderkey"), "o_custkey", F.lit("M").alias("o_orderstatus"),
+        (F.col("o_totalprice") + 1).alias("o_totalprice"), (when + F.make_dt_interval(days=(k % 60).cast("int"))).alias("o_orderdate"),
+        "o_orderpriority")
+    LY.merge_layer(spark, path, src, ["o_orderkey"], "o_orderdate")
+    return spark.read.parquet(path).drop(LY.PART)

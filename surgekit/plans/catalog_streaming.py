@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, delete_at_exit
 from ..sources import fixtures as fx
 from ..streaming import streams as S
 from .catalog import register
@@ -23,6 +23,19 @@ def _events_stream(spark, sf):
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _scattered_stream(spark, sf, batches):
+    """The events as a stream of about ``batches`` micro-batches, each with events of all days: the rows are written in files by the hash
+    of their id, and a trigger takes its share of the files."""
+    path = _scratch(spark, "scattered")
+    ev = fx.table(spark, sf, "events")
+    files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ev.repartition(files, "event_id").write.parquet(path)
+    delete_at_exit(spark, path)
+    written = len(spark.read.parquet(path).inputFiles())
+    s = S.read_stream(spark, path, ev.schema, max_files=max(1, -(-written // batches)))
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _scratch(spark, name):
     return os.path.join(checkpoint_dir(spark), "stream-out", f"{name}-{uuid.uuid4().hex[:12]}")
 
@@ -81,10 +94,8 @@ def q_st4(spark, sf):
 @register("st5_stream_early_signals_additive", SIGNALS_SQL, ["v8_age_hours"])
 def q_st5(spark, sf):
     """I07 + M16 streaming: the polls of each micro-batch are appended to a log of (entity, poll time, count) via
-    foreachBatch; early signals are read from the log after a compaction."""
-    base = _scratch(spark, "signals-add")
-    log, small = os.path.join(base, "log"), os.path.join(base, "compacted")
-    S.run_available_now(_events_stream(spark, sf), os.path.basename(base), "append",
-                        foreach_batch=S.early_signal_batch_writer(log, "user_id", "ts"))
-    S.compact_early_signals(spark, log, small)
-    return S.read_early_signals(spark, small)
+    foreachBatch, which compacts the log after every second batch; the batches hold events of all days, so polls come late."""
+    log = os.path.join(_scratch(spark, "signals-add"), "log")
+    S.run_available_now(_scattered_stream(spark, sf, 4), os.path.basename(os.path.dirname(log)), "append",
+                        foreach_batch=S.early_signal_batch_writer(log, "user_id", "ts", compact_every=2))
+    return S.read_early_signals(spark, log)

@@ -8,6 +8,7 @@ restarted or re-planned query resumes exactly once from its file-source log.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators.tables import keep_latest
 from ..session import checkpoint_dir, path_exists
+from ..sources.pointers import listing, pointers, publish, remove
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -100,33 +102,86 @@ def hwm_batch_writer(marks_path: str, out_path: str, key: str, ts: str):
 SIGNAL_HOURS = (6, 24, 48)
 
 
-def early_signal_batch_writer(state_root: str, key: str, ts: str):
+def early_signal_batch_writer(state_root: str, key: str, ts: str, compact_every: int | None = None):
     """foreachBatch: append the batch's polls, counted per (key, poll time), as ``batch=<batch_id>``.
 
     The state is this log. Counts relative to an entity's first poll can't be kept ready-made, because a late poll may move
     the first poll back and with it every limit; poll times can, whatever order they come in. A replayed batch rewrites its
-    own directory; a hot entity's polls are pre-counted in every map task."""
+    own directory, or nothing once a published compaction holds it; a hot entity's polls are pre-counted in every map task.
+    With ``compact_every`` the log is compacted after every so many batches, and superseded files go one compaction later."""
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id <= max(pointers(spark, state_root), default=-1):
+            return
         (batch.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
               .groupBy("key", "ts").agg(F.count(F.lit(1)).alias("n"))
               .write.mode("overwrite").parquet(os.path.join(state_root, f"batch={batch_id}")))
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact_early_signals(spark, state_root)
+            expire_polls(spark, state_root, keep=2)
     return write
 
 
-def compact_early_signals(spark: SparkSession, state_root: str, target: str) -> None:
-    """Writes the log's polls into ``target`` as one batch that gives the same signals: poll times up to the last limit after
-    the first poll as they are, all later ones as a single count at the last poll. (A first poll can only move back, so
-    a poll beyond the last limit stays beyond it.)"""
-    polls = spark.read.parquet(state_root).groupBy("key", "ts").agg(F.sum("n").alias("n"))
+def _batches(spark: SparkSession, state_root: str) -> list[int]:
+    """The log's finished batches."""
+    found = [int(n.split("=")[1]) for n in listing(spark, state_root) if n.startswith("batch=")]
+    return sorted(b for b in found if path_exists(spark, f"{state_root}/batch={b}/_SUCCESS"))
+
+
+def read_polls(spark: SparkSession, state_root: str, version: int | None = None, upto: int | None = None) -> DataFrame:
+    """(key, ts, n): the polls of a version's base (the latest one's by default) and of the finished batches after it, up to ``upto``.
+    The files are fixed when this is called: a compaction that is published meanwhile changes nothing for this reader, whose files
+    stay until ``expire_polls`` drops their version."""
+    taken = pointers(spark, state_root)
+    if version is None:
+        version = max(taken, default=-1)
+    paths = [f"{state_root}/{taken[version]}"] if version >= 0 else []
+    paths += [f"{state_root}/batch={b}" for b in _batches(spark, state_root) if b > version and (upto is None or b <= upto)]
+    schema = "key long, ts timestamp, n long"
+    polls = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return polls.groupBy("key", "ts").agg(F.sum("n").alias("n"))
+
+
+def compact_early_signals(spark: SparkSession, state_root: str) -> int:
+    """Folds the published base and all finished batches into a new base that gives the same signals, publishes it and returns its
+    version, the last batch it holds (-1: nothing to fold). Poll times up to the last limit after the first poll stay as they are, all
+    later ones become a single count at the last poll; a first poll can only move back, so a poll beyond the last limit stays beyond
+    it. A key thus keeps its polls of the first 48 hours and one row more.
+
+    The base is written under a name of its own and takes its place by its pointer, set last: a compaction that stops before leaves
+    the log as it was. One compaction runs at a time, beside any number of readers and the stream's own writer."""
+    taken = max(pointers(spark, state_root), default=-1)
+    upto = max(_batches(spark, state_root), default=-1)
+    if upto <= taken:
+        return taken
+    polls = read_polls(spark, state_root, upto=upto)
     first = polls.groupBy("key").agg(F.min("ts").alias("t0"), F.max("ts").alias("last"))
     far = (F.unix_micros("ts") - F.unix_micros("t0")) > SIGNAL_HOURS[-1] * 3600 * 10 ** 6
     kept = polls.join(first, "key").withColumn("ts", F.when(far, F.col("last")).otherwise(F.col("ts")))
-    kept.groupBy("key", "ts").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(os.path.join(target, "batch=0"))
-
-
-def read_early_signals(spark: SparkSession, state_root: str) -> DataFrame:
+    body = f"base-{uuid.uuid4().hex}"
+    kept.groupBy("key", "ts").agg(F.sum("n").alias("n")).write.parquet(f"{state_root}/{body}")
+    publish(spark, state_root, upto, body)
+    return upto
+
+
+def expire_polls(spark: SparkSession, state_root: str, keep: int = 1) -> None:
+    """Drops what the ``keep`` latest versions don't need: batches that the oldest of them holds, older versions with their bases, and
+    bases that were never published and are older than the latest pointer. Readers of a dropped version must have ended."""
+    taken, names = pointers(spark, state_root), listing(spark, state_root)
+    kept = sorted(taken)[-keep:]
+    if not kept:
+        return
+    newest = names[f"current-{kept[-1]:09d}-{taken[kept[-1]]}"]
+    doomed = [f"current-{v:09d}-{taken[v]}" for v in taken if v not in kept]   # pointers first: nothing names what goes next
+    doomed += [n for n in names if n.startswith("base-") and n not in {taken[v] for v in kept} and (n in taken.values() or names[n] < newest)]
+    doomed += [n for n in names if n.startswith("batch=") and int(n.split("=")[1]) <= kept[0]]
+    for n in doomed:
+        remove(spark, f"{state_root}/{n}")
+
+
+def read_early_signals(spark: SparkSession, state_root: str, version: int | None = None) -> DataFrame:
     """Early-signal rows from all polls of the log: polls, polls within 6 / 24 / 48 h of the first one, age of the series."""
-    polls = spark.read.parquet(state_root).groupBy("key", "ts").agg(F.sum("n").alias("n"))
+    polls = read_polls(spark, state_root, version)
     first = polls.groupBy("key").agg(F.min("ts").alias("t0"), F.max("ts").alias("last"))
     age = F.unix_micros("ts") - F.unix_micros("t0")
     within = [F.sum(F.when(age <= h * 3600 * 10 ** 6, F.col("n")).otherwise(0)).alias(f"e{i}_views_{h}h")
@@ -138,4 +193,4 @@ def read_early_signals(spark: SparkSession, state_root: str) -> DataFrame:
 
 __all__ = ["read_stream", "dedup_stream", "daily_rollup_stream", "upsert_log_writer", "read_upsert_log",
            "run_available_now", "hwm_batch_writer", "early_signal_batch_writer", "compact_early_signals",
-           "read_early_signals", "keep_latest"]
+           "expire_polls", "read_polls", "read_early_signals", "keep_latest"]

@@ -79,7 +79,7 @@ def test_streaming_signals_across_microbatches(spark, tmp_path):
     from surgekit.streaming import streams as S
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     days = sorted((r[0] for r in ev.select(F.to_date("ts")).distinct().collect()), reverse=True)[-6:]
-    log, small = str(tmp_path / "log"), str(tmp_path / "small")
+    log = str(tmp_path / "log")
     write = S.early_signal_batch_writer(log, "user_id", "ts")
     for i, d in enumerate(days):
         write(ev.where(F.to_date("ts") == F.lit(d)), i)
@@ -87,8 +87,8 @@ def test_streaming_signals_across_microbatches(spark, tmp_path):
     some = ev.where(F.to_date("ts").isin(days))
     want = _signals(EF.early_signals(some, "user_id", "ts"))
     assert _signals(S.read_early_signals(spark, log)) == want
-    S.compact_early_signals(spark, log, small)
-    assert _signals(S.read_early_signals(spark, small)) == want
+    assert S.compact_early_signals(spark, log) == len(days) - 1
+    assert _signals(S.read_early_signals(spark, log)) == want
 
 
 def test_high_water_mark_batches_can_be_replayed(spark, tmp_path):
