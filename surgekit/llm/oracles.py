@@ -102,3 +102,42 @@ SELECT m.doc_id, coalesce(l.n_runs, 0) AS n_runs, l.best.start AS start, l.best.
        sha256(coalesce(k.collapsed, '')) AS collapsed_sha256
 FROM made m LEFT JOIN listed l ON m.row = l.row LEFT JOIN kept k ON m.row = k.row
 """
+
+
+def _reached(rows: str, node: str) -> str:
+    """(x, component_id) of every node of ``rows`` from the table ``links`` (x, y), both directions, each node linked to itself."""
+    return f"""
+reached AS (
+  SELECT {node} AS x, {node} AS y FROM {rows}
+  UNION
+  SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+components AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x)"""
+
+
+OP5 = rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM split),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (SELECT x, y FROM shared WHERE 100 * c >= 90 * (n + m - c)),{_reached("sets", "doc_id")}
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id FROM sets s JOIN components c ON c.x = s.doc_id
+"""
+
+OP8 = f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x),{_reached("embeddings", "vec_id")}
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN components c ON c.x = e.vec_id LEFT JOIN counts n ON n.x = e.vec_id
+"""

@@ -94,4 +94,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op8_embedding_dedup, op9_byte_bpe, op10_quality_classifier, op11_merkle_manifest, op12_sharding, op13_periodic_runs,
 )}
 
-ORACLES: dict[str, str] = {"op11_merkle_manifest": oracles.OP11, "op13_periodic_runs": oracles.OP13}
+ORACLES: dict[str, str] = {"op5_ngram_join": oracles.OP5, "op8_embedding_dedup": oracles.OP8, "op11_merkle_manifest": oracles.OP11,
+                          "op13_periodic_runs": oracles.OP13}
