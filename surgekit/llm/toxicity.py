@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Words become classes (insult, threat, target, negation, report, plain word). Three small transducers, for negation,
-reported speech and aim at a target, are composed into one; a clause is read through the composed machine and each insult
-or threat leaves it as a kind (aimed, plain, negated or reported) with a weight. A document's score is a logistic
-function of the summed weights of its matched clauses by kind, so a negated or quoted insult counts by the weight of its
-own kind, not as the bare word.
+Words become classes (learned insult stem, verb of violence, intent, intensifier, target, negation, report, plain word). Five
+small weighted transducers read them one after another: insults (a stem, heavier after an intensifier), threats (a verb, heavier
+after an announced intent or as the clause's first word), negation, reported speech, and aim at a target. They are composed into one
+machine whose arcs carry the sum of the weights; it is deterministic, so a clause has one path, which is its best one in the tropical
+semiring. Each insult or threat leaves a clause as a kind (aimed, plain, negated or reported) with the weight of its word and its arc.
+A document's score is a logistic function of the summed weights of its matched clauses by kind, so a negated or quoted insult
+counts by the weight of its own kind, not as the bare word.
 
 Insult stems and their weights are learned: document frequencies of word prefixes in toxic and clean training rows,
 counted by Spark over a sample of at most ``TOXIC`` and ``CLEAN`` labelled rows outside the held-out fold (hash order of
@@ -23,6 +25,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +49,13 @@ NEGATIONS = frozenset("not no never neither nor without isn aren wasn don doesn
                       "keine nie ohne nunca ni sin jamás".split())
 REPORTS = frozenset("said says say told called calls wrote writes quoted quote reported claimed dit disait écrit selon "
                     "sagte sagt schrieb laut dijo dice escribió según".split())
+INTENSIFIERS = frozenset("such very so total totally complete utter absolute real really tel telle très vraiment si sehr so "
+                         "total echt wirklich tan muy verdadero".split())
+INTENTS = frozenset("will gonna going shall must should want let vais va allons werde werden will wollen voy va vamos".split())
 THREATS = ("kill", "murder", "strangle", "tuer", "tuerai", "égorger", "umbringen", "töten", "matar", "mataré", "degollar")
 THREAT_WEIGHT = 2.0
+#: Weights of arcs: an intensified insult, a threat whose intent is announced, a threat as the clause's first word.
+INTENSE, ANNOUNCED, IMPERATIVE = 0.5, 1.0, 0.5
 
 #: Kinds that leave the composed machine, with the weight each has before fitting.
 PRIOR = {"insult": 1.0, "aimed insult": 1.5, "negated insult": 0.3, "reported insult": 0.5, "threat": 0.5, "aimed threat": 1.5}
@@ -56,69 +64,101 @@ EXTRA = ["heaviest", "stems", "per_word"]
 
 _WORD = re.compile(r"\w+")
 _CLAUSE_END = re.compile(r"[.,;:!?\n|]+")
-_SYMBOLS = ("insult", "threat", "target", "negation", "report", "word")
+_SYMBOLS = ("stem", "verb", "intent", "intensifier", "target", "negation", "report", "word")
 
 
 @dataclass
 class Transducer:
-    """Deterministic: (state, symbol) -> (next state, symbol out). A missing arc keeps state and symbol."""
-    arcs: dict[tuple[int, str], tuple[int, str]] = field(default_factory=dict)
+    """Deterministic: (state, symbol) -> (next state, symbol out, weight). A missing arc keeps state and symbol and weighs nothing.
+    State 0 is the first."""
+    arcs: dict[tuple[int, str], tuple[int, str, float]] = field(default_factory=dict)
 
-    def step(self, state: int, symbol: str) -> tuple[int, str]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 0.0))
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
-    """Feeds what leaves ``first`` to ``second``; only the product states that can be reached get arcs."""
+    """Feeds what leaves ``first`` to ``second`` and adds their weights; only the product states that can be reached get arcs."""
     number, arcs, todo = {(0, 0): 0}, {}, [(0, 0)]
     for a, b in todo:
         for symbol in {s for _, s in first.arcs} | set(_SYMBOLS):
-            a2, middle = first.step(a, symbol)
-            b2, out = second.step(b, middle)
+            a2, middle, w = first.step(a, symbol)
+            b2, out, v = second.step(b, middle)
             if (a2, b2) not in number:
                 number[a2, b2] = len(number)
                 todo.append((a2, b2))
-            arcs[number[a, b], symbol] = number[a2, b2], out
+            arcs[number[a, b], symbol] = number[a2, b2], out, w + v
     return Transducer(arcs)
 
 
+def insults() -> Transducer:
+    """A stem is an insult, a heavier one right after an intensifier."""
+    t = Transducer({(0, "intensifier"): (1, "intensifier", 0.0), (0, "stem"): (0, "insult", 0.0), (1, "stem"): (0, "insult", INTENSE)})
+    for symbol in _SYMBOLS:
+        if symbol not in ("stem", "intensifier"):
+            t.arcs[1, symbol] = 0, symbol, 0.0
+    return t
+
+
+def threats(reach: int = 4) -> Transducer:
+    """A verb of violence is a threat, a heavier one within ``reach`` words after an intent or as the first word (state 0; state 1 is
+    any later place without an intent)."""
+    t = Transducer({(0, "verb"): (1, "threat", IMPERATIVE), (1, "verb"): (1, "threat", 0.0)})
+    symbols = {*_SYMBOLS, "insult"} - {"verb", "intent", "stem"}
+    for s in range(reach + 2):
+        t.arcs[s, "intent"] = reach + 1, "word", 0.0
+        for symbol in symbols:
+            t.arcs[s, symbol] = max(1, s - 1), symbol, 0.0
+        if s > 1:
+            t.arcs[s, "verb"] = 1, "threat", ANNOUNCED
+    return t
+
+
 def negation(reach: int = 2) -> Transducer:
     """A negation turns an insult within the next ``reach`` words into a negated one and hides a threat there."""
     t = Transducer()
     for s in range(reach + 1):
-        t.arcs[s, "negation"] = reach, "negation"
+        t.arcs[s, "negation"] = reach, "negation", 0.0
         for symbol in ("word", "target", "report"):
-            t.arcs[s, symbol] = max(0, s - 1), symbol
+            t.arcs[s, symbol] = max(0, s - 1), symbol, 0.0
         if s:
-            t.arcs[s, "insult"] = 0, "negated insult"
-            t.arcs[s, "threat"] = 0, "word"
+            t.arcs[s, "insult"] = 0, "negated insult", 0.0
+            t.arcs[s, "threat"] = 0, "word", 0.0
     return t
 
 
 def reported() -> Transducer:
     """After a verb of saying, the rest of the clause is somebody else's words."""
-    t = Transducer({(0, "report"): (1, "report")})
-    t.arcs[1, "insult"] = t.arcs[1, "negated insult"] = 1, "reported insult"
-    t.arcs[1, "threat"] = 1, "word"
+    t = Transducer({(0, "report"): (1, "report", 0.0)})
+    t.arcs[1, "insult"] = t.arcs[1, "negated insult"] = 1, "reported insult", 0.0
+    t.arcs[1, "threat"] = 1, "word", 0.0
     return t
 
 
 def aimed() -> Transducer:
     """Once a target is named, the clause's insults and threats are aimed."""
-    return Transducer({(0, "target"): (1, "target"), (1, "insult"): (1, "aimed insult"), (1, "threat"): (1, "aimed threat")})
+    return Transducer({(0, "target"): (1, "target", 0.0), (1, "insult"): (1, "aimed insult", 0.0),
+                       (1, "threat"): (1, "aimed threat", 0.0)})
+
+
+MACHINES = (insults(), threats(), negation(), reported(), aimed())
+GRAMMAR = reduce(compose, MACHINES)
 
 
-GRAMMAR = compose(compose(negation(), reported()), aimed())
+def word_class(word: str) -> str:
+    """The class of a word without a stem or verb."""
+    return ("target" if word in TARGETS else "negation" if word in NEGATIONS else "report" if word in REPORTS
+            else "intent" if word in INTENTS else "intensifier" if word in INTENSIFIERS else "word")
 
 
 def matcher(lexicon: dict[str, float]):
     import ahocorasick
     machine = ahocorasick.Automaton()
     for stem, weight in lexicon.items():
-        machine.add_word(stem, (len(stem), "insult", weight, stem))
+        machine.add_word(stem, (len(stem), "stem", weight, stem))
     for stem in THREATS:
         if stem not in lexicon:
-            machine.add_word(stem, (len(stem), "threat", THREAT_WEIGHT, stem))
+            machine.add_word(stem, (len(stem), "verb", THREAT_WEIGHT, stem))
     machine.make_automaton()
     return machine
 
@@ -145,11 +185,9 @@ def describe(text: str, machine) -> list[float]:
         done, state = clause, 0
         for m in _WORD.finditer(text, opens[clause], closes[clause]):
             hit, word = hits.get(m.start()), m.group()
-            symbol = (hit[1] if hit else "target" if word in TARGETS else "negation" if word in NEGATIONS
-                      else "report" if word in REPORTS else "word")
-            state, out = GRAMMAR.step(state, symbol)
+            state, out, weight = GRAMMAR.step(state, hit[1] if hit else word_class(word))
             if out in total and hit:
-                total[out] += hit[2]
+                total[out] += hit[2] + weight
                 heaviest = max(heaviest, hit[2] if out != "negated insult" else 0.0)
                 stems.add(hit[3])
     words = max(1, len(text) // 6)

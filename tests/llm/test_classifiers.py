@@ -1,5 +1,6 @@
 """Quality and toxicity classifiers and the url filter: held-out accuracy, hostile rows, rules against a plain loop."""
 
+import itertools
 import random
 import re
 import zlib
@@ -107,6 +108,34 @@ def test_grammar_scores_clauses():
     assert kinds("not here, idiot; you idiot") == {"insult", "aimed insult"}
 
 
+def test_composed_machine_is_the_five_machines_in_turn():
+    """Every clause of up to five symbols: the same symbols out and the same weight as through one machine after another."""
+    for n in range(1, 6):
+        for clause in itertools.product(toxicity._SYMBOLS, repeat=n):
+            state, states, weight, plain = 0, [0] * len(toxicity.MACHINES), 0.0, 0.0
+            for symbol in clause:
+                state, out, w = toxicity.GRAMMAR.step(state, symbol)
+                weight += w
+                for i, machine in enumerate(toxicity.MACHINES):
+                    states[i], symbol, w = machine.step(states[i], symbol)
+                    plain += w
+                assert out == symbol
+            assert weight == plain
+
+
+def test_weights_of_patterns():
+    machine = toxicity.matcher({"idiot": 2.0})
+    weight = lambda kind, text: float(np.expm1(toxicity.describe(text, machine)[toxicity.KINDS.index(kind)]))
+    assert weight("aimed insult", "you idiot") == pytest.approx(2.0)
+    assert weight("aimed insult", "you total idiot") == pytest.approx(2.0 + toxicity.INTENSE)
+    assert weight("aimed insult", "you total and idiot") == pytest.approx(2.0)
+    assert weight("aimed threat", "they kill") == pytest.approx(toxicity.THREAT_WEIGHT)
+    assert weight("aimed threat", "I will find you and kill") == pytest.approx(toxicity.THREAT_WEIGHT + toxicity.ANNOUNCED)
+    assert weight("threat", "Kill them") == pytest.approx(toxicity.THREAT_WEIGHT + toxicity.IMPERATIVE)
+    assert weight("negated insult", "not a very idiot") == pytest.approx(2.0 + toxicity.INTENSE)
+    assert not any(toxicity.describe("I will not kill you", machine)[:len(toxicity.KINDS)])
+
+
 def brute_url(url):
     at = (url or "").find("://")
     rest = url[at + 3:] if url is not None and at >= 0 else ""
