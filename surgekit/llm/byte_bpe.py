@@ -7,8 +7,8 @@ of least rank, leftmost first, until no pair has a rank. The ranks stand in the
 addressed by the key's hash, so that a look-up is O(1). Decoding concatenates each id's bytes from a literal array.
 
 The finished words (a table of at most FREQUENT rows and FREQUENT * ``WORD_CHARS`` characters, so it may be broadcast) serve the
-documents' tasks. A task meets words that are not among them; those are folded in the task by the same ranked merges and
-kept in a bounded cache. Sending rare words through a join with the whole dictionary instead gives the same rows; README
+documents' tasks. A task meets words that are not among them; those are folded in the task by the same ranked merges, many
+words at once (``PairRanks``), and kept in a bounded cache. Sending rare words through a join with the whole dictionary instead gives the same rows; README
 has the figures why it isn't done.
 
 Defined cases: null text counts as empty and has no ids; any bytes that UTF-8 text can hold round-trip; repeated rows are
@@ -22,7 +22,6 @@ import hashlib
 import json
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import attach_scalars
 from .encoding import CACHED_UNITS, SLICE_BYTES, ChunkCoder, chunks, is_one_piece, units
-from .shared import byte_chunks, map_batches, staged, texts, worker_cache
+from .shared import binary_views, byte_chunks, map_batches, staged, texts, worker_cache
 
 FREQUENT, WORD_CHARS = 1 << 17, 64
 SLOTS = 1 << 16
@@ -137,9 +136,126 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def _value(ids: list[int], decoded: bytes, decimal: bool) -> tuple[bytes, bytes]:
+#: Longest piece that is folded together with others, and how many of them at once.
+TOGETHER_BYTES, TOGETHER = 48, 1 << 14
+
+
+class PairRanks:
+    """The ranks of adjacent tokens as arrays, by which many pieces are merged at once: those of equal length are the rows of a matrix,
+    and each round joins every row's pair of least rank, the leftmost of equals. A merged pair's id is its rank."""
+    NONE = np.int32(2 ** 31 - 1)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs = [(a, b, r) for token, r in ranks.items() for i in range(1, len(token))
+                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
+        left, right, rank = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.shift = np.uint64(64 - max(4, (2 * len(pairs)).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.values = np.full(len(self.slots), self.NONE, np.int32)
+        keys = (left << 32) | right
+        at, todo = self._hash(keys), np.arange(len(keys))
+        while len(todo):  # the first that comes to a free slot takes it, the others go on to the next one
+            free = np.flatnonzero(self.slots[at] < 0)
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.slots[at[first]], self.values[at[first]] = keys[todo[first]], rank[todo[first]]
+            left_over = np.ones(len(todo), bool)
+            left_over[first] = False
+            todo, at = todo[left_over], (at[left_over] + 1) & (len(self.slots) - 1)
+        self.of_bytes = self.of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE if their bytes are no token."""
+        keys = (left.astype(np.int64) << 32) | right
+        out, todo, at = np.full(len(keys), self.NONE, np.int32), np.arange(len(keys)), self._hash(keys)
+        while len(todo):
+            found = self.slots[at]
+            hit = found == keys
+            out[todo[hit]] = self.values[at[hit]]
+            on = ~hit & (found >= 0)
+            todo, at, keys = todo[on], (at[on] + 1) & (len(self.slots) - 1), keys[on]
+        return out
+
+    def _rounds(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their ids) of a matrix of bytes, as they are done."""
+        rows, ids = np.arange(len(data)), self.byte_ids[data]
+        ranks = self.of_bytes[data[:, :-1].astype(np.int32) * 256 + data[:, 1:]]
+        while len(rows):
+            if ids.shape[1] == 1:
+                yield rows, ids
+                return
+            at = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(rows)), at]
+            on = least != self.NONE
+            if not on.all():
+                yield rows[~on], ids[~on]
+                rows, ids, ranks, at, least = rows[on], ids[on], ranks[on], at[on], least[on]
+            column, place = np.arange(ids.shape[1]), np.arange(len(rows))
+            ids = np.where(column[:-1] <= at[:, None], ids[:, :-1], ids[:, 1:])
+            ids[place, at] = least
+            ranks = np.where(column[:-2] < at[:, None], ranks[:, :-1], ranks[:, 1:])
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < ids.shape[1] - 1)
+            ranks[before, at[before] - 1] = self.of(ids[before, at[before] - 1], least[before])
+            ranks[after, at[after]] = self.of(least[after], ids[after, at[after] + 1])
+
+    def fold(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, each piece's first one and one end more): those of ``merge``, or one id where a piece is a token."""
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        ids = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        whole = np.flatnonzero(ids >= 0)
+        done.append((whole, ids[whole, None]))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        size[whole] = 0
+        for n in np.unique(size[size > 0]).tolist():
+            group = np.flatnonzero(size == n)
+            if n > TOGETHER_BYTES:
+                for k in group.tolist():
+                    merged = merge(pieces[k], self.ranks) if n <= 256 else merge_long(pieces[k], self.ranks)
+                    done.append((np.array([k]), np.array([merged])))
+                continue
+            for a in range(0, len(group), TOGETHER):
+                some = group[a:a + TOGETHER]
+                data = np.frombuffer(b"".join([pieces[k] for k in some.tolist()]), np.uint8).reshape(-1, n)
+                done += [(some[rows], found) for rows, found in self._rounds(data)]
+        count = np.zeros(len(pieces) + 1, np.int64)
+        for rows, found in done:
+            count[rows + 1] = found.shape[1]
+        first = count.cumsum()
+        flat = np.zeros(first[-1], np.int32)
+        for rows, found in done:
+            flat[first[rows][:, None] + np.arange(found.shape[1])] = found
+        return flat, first
+
+
+class Values:
     """What is kept of a chunk: its ids as unsigned 32-bit integers or in decimal, each with a space after it, and the bytes they decode to."""
-    return b"".join([b"%d " % i for i in ids]) if decimal else array("I", ids).tobytes(), decoded
+
+    def __init__(self, ranks: dict[bytes, int], decimal: bool):
+        token: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for k, r in ranks.items():
+            token[r] = k
+        self.token = pa.array(token, pa.large_binary())
+        self.decimal = pa.array([b"%d " % i for i in range(len(token))], pa.large_binary()) if decimal else None
+
+    def of(self, ids: np.ndarray, first: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """The values of runs of ids; ``first``: each run's first id and one end more."""
+        at = pa.array(ids, pa.int32())
+        return list(zip(self._cut(self.decimal, at, first) if self.decimal is not None else _slices(ids.astype("<u4").tobytes(), 4 * first),
+                        self._cut(self.token, at, first), strict=True))
+
+    @staticmethod
+    def _cut(values: pa.Array, at: pa.Array, first: np.ndarray) -> list[bytes]:
+        data, places = binary_views(values.take(at))
+        return _slices(data.tobytes(), places[first])
+
+
+def _slices(data: bytes, cuts: np.ndarray) -> list[bytes]:
+    ends = cuts.tolist()
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class Encoder:
@@ -150,37 +266,45 @@ class Encoder:
 
     def coder(self, decimal: bool = False) -> ChunkCoder:
         import regex
-        cut, ranks = regex.compile(self.pattern), self.ranks
-        token = {r: k for k, r in ranks.items()}
-        frequent = {b" " + w.as_py().encode(): _value(i.as_py(), d.as_py(), decimal) for w, i, d in zip(
-            *(self.frequent.column(c) for c in ("word", "ids", "decoded")), strict=True)}
+        cut, pairs, values = regex.compile(self.pattern), PairRanks(self.ranks), Values(self.ranks, decimal)
+        listed = self.frequent.column("ids").combine_chunks()
+        first = np.append(0, np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
+        found = values.of(listed.flatten().to_numpy(zero_copy_only=False).astype(np.int32), first)
+        frequent = {b" " + w.encode(): (ids, d) for w, (ids, _), d in zip(
+            self.frequent.column("word").to_pylist(), found, self.frequent.column("decoded").to_pylist(), strict=True)}
         done: dict[str, tuple[bytes, bytes]] = {}
 
-        def of_piece(raw: bytes) -> list[int]:
-            whole = ranks.get(raw)
-            return [whole] if whole is not None else merge(raw, ranks) if len(raw) <= 256 else merge_long(raw, ranks)
-
-        def of_unit(unit: str) -> tuple[bytes, bytes]:
-            if is_one_piece(unit):
-                ids = of_piece(unit.encode())
-            else:
-                ids = [i for piece in cut.findall(unit) for i in of_piece(piece.encode())]
-            return _value(ids, b"".join([token[i] for i in ids]), decimal)
+        def of_units(fresh: list[str]) -> list[tuple[bytes, bytes]]:
+            pieces, ends = [], [0]
+            for u in fresh:
+                if is_one_piece(u):
+                    pieces.append(u.encode())
+                else:
+                    pieces += [p.encode() for p in cut.findall(u)]
+                ends.append(len(pieces))
+            ids, first = pairs.fold(pieces)
+            return values.of(ids, first[ends])
 
         def encode(chunks: list[str]) -> list[tuple[bytes, bytes]]:
-            if len(done) > CACHED_UNITS:
+            if len(done) >= CACHED_UNITS:
                 done.clear()
-            out = []
-            for chunk in chunks:
-                values = []
-                for u in units(chunk):
-                    v = done.get(u) or (frequent.get(u.encode()) if u[0] == " " else None)
-                    if v is None:
-                        v = of_unit(u)
-                        if len(u) <= WORD_CHARS:
-                            done[u] = v
-                    values.append(v)
-                out.append(values[0] if len(values) == 1 else tuple(b"".join(x) for x in zip(*values, strict=True)) if values else (b"", b""))
+            out: list = [None] * len(chunks)
+            alone, several, fresh = [], [], {}
+            for k, chunk in enumerate(chunks):
+                parts = (chunk,) if is_one_piece(chunk) else units(chunk)
+                if len(parts) == 1:
+                    alone.append(k)
+                else:
+                    several.append((k, parts))
+                    fresh.update((u, None) for u in parts if u not in done and not (u[0] == " " and u.encode() in frequent))
+            for k, v in zip(alone, of_units([chunks[k] for k in alone]), strict=True):
+                out[k] = v
+            fresh = dict(zip(fresh, of_units(list(fresh)), strict=True))
+            for k, parts in several:
+                parts = [fresh.get(u) or done.get(u) or frequent[u.encode()] for u in parts]
+                out[k] = tuple(b"".join(x) for x in zip(*parts, strict=True)) if parts else (b"", b"")
+            room = CACHED_UNITS - len(done)
+            done.update((u, v) for u, v in list(fresh.items())[:room] if len(u) <= WORD_CHARS)
             return out
         return ChunkCoder(encode, 2, frequent)
 

@@ -68,27 +68,30 @@ class ChunkCoder:
         self.older: dict[bytes, tuple[bytes, ...]] = {}
 
     def _values(self, distinct: list[bytes]) -> list[tuple[bytes, ...]]:
-        """The chunks' values. A full generation of the cache becomes the older one, from which chunks that are met again come back."""
+        """The chunks' values. A full generation of the cache becomes the older one, from which chunks that are met again come back; one
+        slice's new chunks fill a generation up to half beyond that, so that neither outgrows its bound."""
         if len(self.known) > CACHED:
             self.older, self.known = self.known, {}
         known, older, frequent = self.known, self.older, self.frequent
-        out, missing = [], []
-        for k, c in enumerate(distinct):
-            v = known.get(c)
+        out = list(map(known.get, distinct))
+        missing = []
+        for k in [k for k, v in enumerate(out) if v is None]:
+            c = distinct[k]
+            v = frequent.get(c)
             if v is None:
-                v = frequent.get(c)
+                v = older.get(c)
                 if v is None:
-                    v = older.get(c)
-                    if v is None:
-                        missing.append(k)
-                    else:
-                        known[c] = v
-            out.append(v)
+                    missing.append(k)
+                    continue
+                known[c] = v
+            out[k] = v
         if missing:
+            room = CACHED + CACHED // 2 - len(known)
             for k, v in zip(missing, self.encode([distinct[k].decode() for k in missing]), strict=True):
                 out[k] = v
-                if len(distinct[k]) <= CACHED_CHARS:
+                if room > 0 and len(distinct[k]) <= CACHED_CHARS:
                     known[distinct[k]] = v
+                    room -= 1
         return out
 
     def columns(self, body: pa.Array) -> Iterator[list[list[memoryview]]]:
@@ -146,9 +149,12 @@ _BYTE_CHARS = _byte_chars()
 #: Below this character all Unicode versions agree what a letter is.
 _LATIN_END = "\u0370"
 
+_LETTERS = re.compile(" ?[" + "".join([c for c in map(chr, range(ord(_LATIN_END))) if c.isalpha()]) + "]+").fullmatch
+
+
 def is_one_piece(unit: str) -> bool:
     """Whether a unit is letters, with or without a space before them: one piece of the pattern."""
-    return (unit[1:] if unit[0] == " " else unit).isalpha() and max(unit) < _LATIN_END
+    return _LETTERS(unit) is not None
 
 
 #: Plain chunks that are encoded as one text.
@@ -178,9 +184,14 @@ def library_coder(path: str, special: bool = False) -> ChunkCoder:
             """Plain chunks have one space, in front, which only one id of theirs can begin with: many of them are encoded as one text and
             told apart by those ids. The others are encoded each."""
             out: list = [None] * len(chunks)
-            plain = [k for k, c in enumerate(chunks) if _PLAIN(c) and not any(m in c for m in marked)]
+            plain = [k for k, c in enumerate(chunks) if _PLAIN(c)]
             groups = [plain[a:a + JOINED] for a in range(0, len(plain), JOINED)]
-            for group, e in zip(groups, tokenizer.encode_batch_fast(["".join([chunks[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+            joined = ["".join([chunks[k] for k in g]) for g in groups]
+            for i, text in enumerate(joined):
+                if any(m in text for m in marked):  # rare: only then is each chunk looked at
+                    groups[i] = [k for k in groups[i] if not any(m in chunks[k] for m in marked)]
+                    joined[i] = "".join([chunks[k] for k in groups[i]])
+            for group, e in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, np.uint32)
                 starts = np.flatnonzero(opens[ids])
                 if len(starts) == len(group):
