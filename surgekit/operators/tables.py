@@ -203,19 +203,25 @@ def first_containing(queries: DataFrame, entities: DataFrame, qkey: str, qtext:
 
     A name holds a text if one of its substrings of that length equals it, so the search is an equi-join on substrings of the
     lengths that query texts have (a one-row relation: no length above the longest name matters, and nothing runs while the
-    plan is built). Each substring keeps its least
-    entity before the join, so a substring common to all names is one row."""
+    plan is built). A name becomes many substrings, so names are dealt out before they are cut, and only substrings that are query texts go
+    on. Each of those keeps its least entity's id before the shuffle, so that a substring common to all names is one row a task, and
+    takes its name from the entities at last."""
+    from ..session import shuffle_tasks
     text = F.lower(F.col(qtext))
     low = entities.where(F.col(cid).isNotNull()).select(cid, cname, F.lower(F.col(cname)).alias("_low"))
+    dealt = low.select(F.col(cid).alias("_id"), "_low").repartition(shuffle_tasks(queries.sparkSession))
     longest = low.agg(F.max(F.length("_low")).alias("_longest"))
     sizes = attach_scalars(queries.select(F.length(text).alias("_n")), longest).where(F.col("_n") <= F.col("_longest")) \
         .agg(F.collect_set("_n").alias("_sizes"))
-    cut = attach_scalars(low, sizes).select(cid, cname, "_low", F.explode(F.filter("_sizes", lambda n: n <= F.length("_low"))).alias("_n"))
-    cut = cut.select(cid, cname, "_low", "_n", F.explode(F.sequence(F.lit(1), F.length("_low") - F.col("_n") + 1)).alias("_at"))
-    keys = cut.groupBy(F.expr("substring(_low, _at, _n)").alias("_key")).agg(
-        F.min(F.struct(F.col(cid).alias("id"), F.col(cname).alias("name"))).alias("_e"))
-    return queries.select(F.col(qkey), text.alias("_key")).join(keys, "_key").select(
-        qkey, F.col("_e.id").alias(cid), F.col("_e.name").alias(cname))
+    cut = attach_scalars(dealt, sizes).select("_id", "_low", F.explode(F.filter("_sizes", lambda n: n <= F.length("_low"))).alias("_n"))
+    cut = cut.select("_id", "_low", "_n", F.explode(F.sequence(F.lit(1), F.length("_low") - F.col("_n") + 1)).alias("_at"))
+    wanted = queries.select(text.alias("_key")).distinct()
+    keys = cut.select(F.expr("substring(_low, _at, _n)").alias("_key"), "_id").join(wanted, "_key", "left_semi").groupBy("_key").agg(
+        F.min("_id").alias("_id"))
+    # of several entities with that id, the least name that holds the text
+    named = keys.join(low, F.col("_id") == F.col(cid)).where(F.contains("_low", "_key")).groupBy("_key", "_id").agg(F.min(cname).alias("_name"))
+    return queries.select(F.col(qkey), text.alias("_key")).join(named, "_key").select(
+        qkey, F.col("_id").alias(cid), F.col("_name").alias(cname))
 
 
 def upsert_plan(candidates: DataFrame, existing: DataFrame, key: str, update_existing: bool = True) -> DataFrame:
