@@ -84,14 +84,14 @@ def load_summary(tables: Mapping[str, DataFrame], key: str = "channel_id", flag_
 
 
 def group_stats(df: DataFrame, group: str, features: Sequence[str], label: str | None = None,
-                min_n: int = MIN_STATS_GROUP) -> DataFrame:
+                min_n: int = MIN_STATS_GROUP, reread: bool = False) -> DataFrame:
     """Per group count, positive rate, and min / p25 / median / p75 / max per feature; percentiles
-    only for groups with at least ``min_n`` rows (medians always)."""
+    only for groups with at least ``min_n`` rows (medians always). ``reread``: the frame is a written table, cheap to read twice."""
     base = df.groupBy(group).agg(F.count(F.lit(1)).alias("count"),
                                  *([F.avg(F.col(label).cast("double")).alias("viral_rate")] if label else []),
                                  *[F.min(f).cast("double").alias(f"min_{f}") for f in features],
                                  *[F.max(f).cast("double").alias(f"max_{f}") for f in features])
-    q = quantiles_long(df, features, {"p25": 0.25, "p50": 0.50, "p75": 0.75}, by=[group])
+    q = quantiles_long(df, features, {"p25": 0.25, "p50": 0.50, "p75": 0.75}, by=[group], reread=reread)
     wide = q.groupBy(group).agg(*[F.max(F.when(F.col("feature") == f, F.col(p))).alias(f"{p}_{f}")
                                  for f in features for p in ("p25", "p50", "p75")])
     j = base.join(wide, group, "left")
