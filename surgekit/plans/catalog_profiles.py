@@ -11,9 +11,10 @@ from ..operators import profiles as PR
 from ..operators import quality as Q
 from ..sources import fixtures as fx
 from . import marts
-from .catalog import base, register
+from .catalog import base, owner_features, owner_labels, register
 from .catalog_ops import CONTROL_SQL
 from .oracle import with_ctes
+from .relations import shared
 
 LAB0_SQL = """
 lab0 AS (
@@ -290,15 +291,13 @@ ofl AS (SELECT f.*, o.segment, l.is_viral_owner FROM ofeat f LEFT JOIN owners o
 
 
 def _owner_frame(spark, sf):
-    b = base(spark, sf)
-    feats = EF.owner_features(b["enhanced"], b["channel_summary"])
-    lab = L.owner_labels(b["channel_summary"]).select("channel_id", "is_viral_owner")
     seg = fx.owners(spark, sf).select("channel_id", "segment")
-    return feats.join(seg, "channel_id", "left").join(lab, "channel_id", "left")
+    return shared(spark, sf, "owner-segments", lambda: owner_features(spark, sf).join(seg, "channel_id", "left").join(
+        owner_labels(spark, sf), "channel_id", "left"))
 
 
 def _group_stats(spark, sf):
-    return PR.group_stats(_owner_frame(spark, sf), "segment", _OF, label="is_viral_owner")
+    return PR.group_stats(_owner_frame(spark, sf), "segment", _OF, label="is_viral_owner", reread=True)
 
 
 @register("a20_group_stats", with_ctes("summary", "owners", extra=GROUP_STATS_SQL) + "SELECT * FROM gs", _STAT_DOUBLES)
