@@ -5,22 +5,34 @@ space always opens the next piece. So a text may be cut before each of them, eve
 concatenated; the result equals that of the whole text. A space beside other white space, or beside a character that might be,
 is no cut. Cuts are found on the bytes; the chunks of a batch are one Arrow array over the texts' own bytes, which is
 dictionary-encoded, and the values of its dictionary are put back in order by ``take``: no Python loop over occurrences.
+
+``fine_chunks`` cuts further where the pattern always cuts: words with and without a mark or a line feed beside them are then one
+entry of the dictionary, and fewer of them are new.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .shared import binary_views, worker_cache
 
 #: Cached chunks of a generation and units of one Python worker, the longest that is kept, and the bytes of text worked on at once.
 CACHED, CACHED_UNITS, CACHED_CHARS, SLICE_BYTES = 120_000, 60_000, 200, 8 << 20
+#: The same of chunks that are kept in arrays: at most so many, of at most so many bytes.
+KNOWN, KNOWN_BYTES = 400_000, 64
+
+
+#: ASCII punctuation that may end a chunk.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_ALNUM, _MARK = (np.array([chr(b) in found for b in range(256)]) for found in (string.ascii_letters + string.digits, _MARKS))
 
 
 def _no_space_left(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -39,18 +51,26 @@ def _no_space_right(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (first > 0x20) & ~two & ~three
 
 
-def chunks(data: np.ndarray, off: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
-    """(the chunks of all rows' texts, each row's first chunk and one end more). A chunk has the space before it."""
+def _lone(data: np.ndarray, byte: int, ends: np.ndarray) -> np.ndarray:
+    """Places of a white byte inside a text, between characters that surely are no white space."""
+    at = np.flatnonzero(data == byte)
+    at = at[~ends[at]]
+    return at[_no_space_left(data, at) & _no_space_right(data, at)]
+
+
+def chunks(data: np.ndarray, off: np.ndarray, fine: bool = False) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """(the chunks of all rows' texts, each row's first chunk and one end more). A chunk has the space before it. ``fine``: also cut
+    around a lone line feed and between an ASCII letter or digit and the ASCII mark after it."""
     first = np.zeros(len(data) + 1, bool)
-    at = np.flatnonzero(data == 0x20)
-    inner = np.ones(len(at), bool)
-    lone = off[:-1][np.diff(off) > 0]
-    first[lone] = True
-    last = np.zeros(len(data) + 1, bool)
-    last[off[1:][np.diff(off) > 0] - 1] = True
-    inner = ~first[at] & ~last[at]
-    at = at[inner]
-    first[at[_no_space_left(data, at) & _no_space_right(data, at)]] = True
+    filled = np.diff(off) > 0
+    first[off[:-1][filled]] = True
+    ends = first.copy()
+    ends[off[1:][filled] - 1] = True
+    first[_lone(data, 0x20, ends)] = True
+    if fine:
+        feeds = _lone(data, 0x0A, ends)
+        first[feeds] = first[feeds + 1] = True
+        first[1:-1] |= _ALNUM[data[:-1]] & _MARK[data[1:]]
     first[len(data)] = False
     starts = np.flatnonzero(first)
     offsets = np.append(starts, len(data)).astype(np.int64)
@@ -58,6 +78,31 @@ def chunks(data: np.ndarray, off: np.ndarray) -> tuple[pa.LargeBinaryArray, np.n
     return array_, np.searchsorted(starts, off)
 
 
+def fine_chunks(data: np.ndarray, off: np.ndarray, marked: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """Fine chunks; where a text holds a marked string, which must stay whole, the plain ones."""
+    text = data.tobytes() if marked else b""
+    return chunks(data, off, not any(m in text for m in marked))
+
+
+def coded_slices(body: pa.Array, cut: Callable[[np.ndarray, np.ndarray], tuple[pa.LargeBinaryArray, np.ndarray]]) -> Iterator[
+        tuple[pa.DictionaryArray, np.ndarray]]:
+    """Slices of rows in order: for each its chunks, dictionary-encoded, and each row's first chunk and one end more."""
+    data, off = binary_views(body)
+    row, n = 0, len(off) - 1
+    while row < n:
+        end = min(n, max(row + 1, int(np.searchsorted(off, off[row] + SLICE_BYTES, side="right")) - 1))
+        parts, first = cut(data[off[row]:off[end]], off[row:end + 1] - off[row])
+        yield parts.dictionary_encode(), first
+        row = end
+
+
+def _rows(values: pa.LargeBinaryArray, coded: pa.DictionaryArray, first: np.ndarray) -> list[memoryview]:
+    """The rows' bytes: the values of their chunks, concatenated."""
+    flat, places = binary_views(values.take(coded.indices))
+    view, cuts = memoryview(np.ascontiguousarray(flat)), places[first].tolist()
+    return [view[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class ChunkCoder:
     """``encode`` maps chunks (strings) to tuples of ``width`` byte strings; ``columns`` gives each text's, concatenated."""
 
@@ -96,25 +141,40 @@ class ChunkCoder:
 
     def columns(self, body: pa.Array) -> Iterator[list[list[memoryview]]]:
         """Slices of rows in order: for each, by column, the rows' bytes."""
-        data, off = binary_views(body)
-        row, n = 0, len(off) - 1
-        while row < n:
-            end = min(n, max(row + 1, int(np.searchsorted(off, off[row] + SLICE_BYTES, side="right")) - 1))
-            parts, first = chunks(data[off[row]:off[end]], off[row:end + 1] - off[row])
-            coded = parts.dictionary_encode()
+        for coded, first in coded_slices(body, chunks):
             values = self._values(coded.dictionary.to_pylist())
-            out = []
-            for c in range(self.width):
-                joined = pa.array([v[c] for v in values], pa.large_binary()).take(coded.indices)
-                flat, places = binary_views(joined)
-                view, cuts = memoryview(np.ascontiguousarray(flat)), places[first].tolist()
-                out.append([view[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            yield out
-            row = end
+            yield [_rows(pa.array([v[c] for v in values], pa.large_binary()), coded, first) for c in range(self.width)]
+
+
+class ArrayCoder:
+    """``encode`` maps an array of distinct chunks to the array of their values, ``cut`` makes the chunks; ``rows`` gives each text's
+    values, concatenated. Known chunks and their values are two arrays too, so that a slice's are looked up at once; when they are
+    full, those of the last slice take their place."""
+
+    def __init__(self, encode: Callable[[pa.LargeBinaryArray], pa.LargeBinaryArray],
+                 cut: Callable[[np.ndarray, np.ndarray], tuple[pa.LargeBinaryArray, np.ndarray]]):
+        self.encode, self.cut = encode, cut
+        self.known = self.values = pa.array([], pa.large_binary())
+
+    def _values(self, distinct: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        at = pc.index_in(distinct, value_set=self.known)
+        new = at.is_null()
+        missing, place = distinct.filter(new), at.fill_null(0).to_numpy().astype(np.int64)
+        place[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(missing))
+        fresh = self.encode(missing)
+        out = pa.concat_arrays([self.values, fresh]).take(pa.array(place))
+        if len(self.known) + len(missing) > KNOWN:
+            self.known = self.values = pa.array([], pa.large_binary())
+            missing, fresh = distinct, out
+        short = pc.less_equal(pc.binary_length(missing), KNOWN_BYTES)
+        self.known = pa.concat_arrays([self.known, missing.filter(short)[:KNOWN]])
+        self.values = pa.concat_arrays([self.values, fresh.filter(short)[:KNOWN]])
+        return out
 
-
-#: ASCII punctuation that may end a chunk.
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    def rows(self, body: pa.Array) -> Iterator[memoryview]:
+        """The rows' bytes in order."""
+        for coded, first in coded_slices(body, self.cut):
+            yield from _rows(self._values(coded.dictionary), coded, first)
 
 
 def units(chunk: str) -> list[str]:
@@ -159,12 +219,12 @@ def is_one_piece(unit: str) -> bool:
 
 #: Plain chunks that are encoded as one text.
 JOINED = 500
-_PLAIN = re.compile(r" [^\x00-\x20]+").fullmatch
+_PLAIN = r"^ [^\x00-\x20]+$"
 
-_CODERS: dict[tuple[str, bool], ChunkCoder] = worker_cache({})
+_CODERS: dict[tuple[str, bool], ArrayCoder] = worker_cache({})
 
 
-def library_coder(path: str, special: bool = False) -> ChunkCoder:
+def library_coder(path: str, special: bool = False) -> ArrayCoder:
     """Chunk -> ids as (little-endian) unsigned 32-bit bytes, by the tokenizers library. ``special``: the strings of special tokens in
     a text give their ids, as the library does by default; else they are ordinary text."""
     if (path, special) not in _CODERS:
@@ -180,30 +240,34 @@ def library_coder(path: str, special: bool = False) -> ChunkCoder:
         opens = np.zeros(max(vocabulary.values()) + 1, bool)
         opens[[i for t, i in vocabulary.items() if t.startswith(_BYTE_CHARS[0x20])]] = True
 
-        def encode(chunks: list[str]) -> list[tuple[bytes, ...]]:
+        def encode(missing: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
             """Plain chunks have one space, in front, which only one id of theirs can begin with: many of them are encoded as one text and
-            told apart by those ids. The others are encoded each."""
-            out: list = [None] * len(chunks)
-            plain = [k for k, c in enumerate(chunks) if _PLAIN(c)]
-            groups = [plain[a:a + JOINED] for a in range(0, len(plain), JOINED)]
-            joined = ["".join([chunks[k] for k in g]) for g in groups]
-            for i, text in enumerate(joined):
-                if any(m in text for m in marked):  # rare: only then is each chunk looked at
-                    groups[i] = [k for k in groups[i] if not any(m in chunks[k] for m in marked)]
-                    joined[i] = "".join([chunks[k] for k in groups[i]])
-            for group, e in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.uint32)
+            told apart by those ids. The others are encoded each, as are plain ones beside the string of a special token."""
+            words = missing.cast(pa.large_string())
+            plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+            places, left = np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
+            data, off = binary_views(missing.filter(pa.array(plain)))
+            groups = [places[a:a + JOINED] for a in range(0, len(places), JOINED)]
+            joined = [data[off[a]:off[min(a + JOINED, len(places))]].tobytes().decode() for a in range(0, len(places), JOINED)]
+            order, flat, lengths = [], [], []
+            for group, text, e in zip(groups, joined, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
                 starts = np.flatnonzero(opens[ids])
-                if len(starts) == len(group):
-                    flat, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                    for k, a, b in zip(group, cuts[:-1], cuts[1:], strict=True):
-                        out[k] = (flat[a:b],)
-            left = [k for k, v in enumerate(out) if v is None]
-            for k, v in zip(left, encode_each([chunks[k] for k in left]), strict=True):
-                out[k] = v
-            return out
-
-        def encode_each(chunks: list[str]) -> list[tuple[bytes, ...]]:
+                if len(starts) == len(group) and not any(m in text for m in marked):
+                    order.append(group)
+                    flat.append(ids)
+                    lengths.append(np.diff(starts, append=len(ids)))
+                else:
+                    left += group.tolist()
+            each = encode_each(words.take(pa.array(left, pa.int64())).to_pylist())
+            order.append(np.array(left, np.int64))
+            flat.append(np.frombuffer(b"".join(each), "<u4"))
+            lengths.append(np.array([len(v) // 4 for v in each], np.int64))
+            ends = np.append(0, 4 * np.cumsum(np.concatenate(lengths))).astype(np.int64)
+            values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(missing), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(flat))])
+            return values.take(pa.array(np.argsort(np.concatenate(order))))
+
+        def encode_each(chunks: list[str]) -> list[bytes]:
             if len(done) > CACHED_UNITS:
                 done.clear()
             out, rest = [], []
@@ -226,14 +290,13 @@ def library_coder(path: str, special: bool = False) -> ChunkCoder:
                 values[k] = array("I", e.ids).tobytes()
                 if len(u) <= CACHED_CHARS:
                     done[u] = values[k]
-            return [(v[0] if len(v) == 1 else b"".join(v),) for v in out]
-        _CODERS[path, special] = ChunkCoder(encode, 1)
+            return [v[0] if len(v) == 1 else b"".join(v) for v in out]
+        _CODERS[path, special] = ArrayCoder(encode, lambda data, off: fine_chunks(data, off, [m.encode() for m in marked]))
     return _CODERS[path, special]
 
 
 def encode_bodies(path: str, body: pa.Array, end: int, special: bool = False) -> Iterator[bytes]:
     """Each text's ids with ``end`` after them, as little-endian unsigned 32-bit bytes; ``body`` has the texts' UTF-8 bytes."""
     close = array("I", [end]).tobytes()
-    for (ids,) in library_coder(path, special).columns(body):
-        for v in ids:
-            yield bytes(v) + close
+    for ids in library_coder(path, special).rows(body):
+        yield bytes(ids) + close

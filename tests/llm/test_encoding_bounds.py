@@ -28,3 +28,30 @@ def test_one_slice_does_not_outgrow_the_cache(monkeypatch):
         rows = [bytes(v) for (column,) in coder.columns(body) for v in column]
         assert rows == [bytes(x).upper() for x in body.to_pylist()]
         assert len(coder.known) <= 151 and len(coder.older) <= 151
+
+
+def test_words_beside_marks_and_line_feeds_are_not_new(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for special in (False, True):
+        monkeypatch.setattr(encoding, "_CODERS", {})
+        list(encoding.encode_bodies(path, pa.array([b"x one two three,\nfour", b"! ? ..."], pa.binary()), 2, special))
+        asked = []
+        coder = encoding.library_coder(path, special)
+        monkeypatch.setattr(coder, "encode", lambda missing, f=coder.encode: asked.extend(missing.to_pylist()) or f(missing))
+        text = b"x one, two, three,\nfour two\nx! one"
+        got = list(encoding.encode_bodies(path, pa.array([text], pa.binary()), 2, special))
+        assert set(asked) <= {b"!"}
+        monkeypatch.setattr(encoding, "_CODERS", {})
+        assert got == list(encoding.encode_bodies(path, pa.array([text], pa.binary()), 2, special))
+
+
+def test_known_chunks_are_bounded(monkeypatch):
+    monkeypatch.setattr(encoding, "KNOWN", 100)
+    monkeypatch.setattr(encoding, "SLICE_BYTES", 500)
+    coder = encoding.ArrayCoder(lambda missing: pa.array([c.upper() for c in missing.to_pylist()], pa.large_binary()), encoding.chunks)
+    r = random.Random(5)
+    for _ in range(5):
+        body = pa.array([" ".join(f"w{r.randint(0, 300)}" for _ in range(r.randint(0, 60))).encode() for _ in range(40)] + [b"long" * 50], pa.binary())
+        assert [bytes(v) for v in coder.rows(body)] == [b.upper() for b in body.to_pylist()]
+        assert len(coder.known) == len(coder.values) <= 100
+        assert max(map(len, coder.known.to_pylist())) <= encoding.KNOWN_BYTES
