@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .components import components
+from .components import between, components
 from .shared import byte_chunks, map_batches, staged, texts
 
 BUCKET_BITS, SLICES = 20, 64
@@ -270,9 +270,12 @@ def _classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     first = links(_pivot_pairs(met, num, den), "pivot")
     labels = staged(components(first), "pivot-components")
     second = links(_open_pairs(met, nodes, labels, num, den), "open")
-    labels = components(first.unionByName(second))
-    placed = nodes.select("s1", "s2", "node", "least", "text").join(labels, "node", "left")
-    return named, staged(placed.withColumn("component", F.coalesce("component", "node")), "placed-nodes")
+    # the second links only join components of the first ones: their rounds run on components, not on all nodes again
+    joined = components(between(second, labels)).select(F.col("node").alias("component"), F.col("component").alias("least_component"))
+    placed = (nodes.select("s1", "s2", "node", "least", "text").join(labels, "node", "left")
+              .withColumn("component", F.coalesce("component", "node")).join(joined, "component", "left")
+              .withColumn("component", F.coalesce("least_component", "component")).drop("least_component"))
+    return named, staged(placed, "placed-nodes")
 
 
 def document_components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:

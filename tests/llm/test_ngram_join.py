@@ -1,5 +1,6 @@
 """The Jaccard join against all pairs, and components against a union-find."""
 
+import importlib
 import random
 import re
 from itertools import combinations
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from surgekit.llm import ngram_join
-from surgekit.llm.components import components
+from surgekit.llm.components import between, components
+from surgekit.llm.shared import staged
 
 SCHEMA = "doc_id long, text string, n long, token string, h int"
 
@@ -102,6 +104,35 @@ def test_components(spark):
     assert got == {x: root(x) for x in up}
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    """Edges that are stars already are written once; each round that is run changes them."""
+    module = importlib.import_module("surgekit.llm.components")
+    written = []
+    monkeypatch.setattr(module, "staged", lambda df, name: written.append(staged(df, name)) or written[-1])
+    star = [(1000 + i, 1000) for i in range(1, 50)] + [(7, 3), (3, 7), (9, 9)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert got == {1000 + i: 1000 for i in range(50)} | {7: 3, 3: 3} and len(written) == 1
+    written.clear()
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == [] and len(written) == 1
+    written.clear()
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 4)], "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(1, 6), 1)
+    rounds = [sorted(map(tuple, w.collect())) for w in written]
+    assert all(a != b for a, b in zip(rounds, rounds[1:], strict=False))
+
+
+def test_later_edges_join_components(spark):
+    """Labels of all edges, and those of some with the others between their components, are the same."""
+    r = random.Random(8)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(300, 301), (301, 302)]
+    frame = lambda e: spark.createDataFrame(e, "u long, v long")
+    labels = components(frame(edges[:80]))
+    over = {x["node"]: x["component"] for x in components(between(frame(edges[80:]), labels)).collect()}
+    first = {x["node"]: x["component"] for x in labels.collect()}
+    want = {x["node"]: x["component"] for x in components(frame(edges)).collect()}
+    assert {n: over.get(first.get(n, n), first.get(n, n)) for n in want} == want
+
+
 def test_null_ids_with_equal_short_hashes_are_kept_apart(spark):
     """Two texts that a 32-bit hash can't tell apart, both without an id: neither is lost, and neither takes the other's links."""
     some = spark.range(400_000).select(F.concat(F.lit("left or right text of number "), "id").alias("text"))
